@@ -8,6 +8,7 @@ from ..session import table
 from .grid_components import match_groups
 from .leaks import leaks
 from .refine import formatting_copies
+from .sentences import sentence_units
 
 
 def p2_found(spark, d):
@@ -46,6 +47,15 @@ def p8_items(spark, d):
     return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def p9_found(spark, d):
+    return sentence_units(table(spark, d, "documents"))
+
+
+def p9_counts(spark, d):
+    """Sentences per document, and the longest of them."""
+    return p9_found(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.max(F.col("end_char") - F.col("start_char")).alias("longest"))
+
+
 _LINKS = """
 WITH RECURSIVE links AS (
   SELECT run_id, normalized_label AS a, candidate_concept_id AS b FROM tail_to_head_candidates WHERE starts_with(decision_status, 'accepted')
@@ -62,7 +72,7 @@ keyed AS (SELECT DISTINCT tbl, scope, member_key, array_to_string(list_sort(list
 groups AS (SELECT tbl, scope, k, min(member_key) AS group_key, count(DISTINCT member_key) AS copies FROM keyed WHERE k <> '' GROUP BY ALL HAVING copies > 1)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_found": p8_found, "p8_items": p8_items}
+QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_counts": p9_counts}
 ORACLES = {
     "p2_found": _LINKS + "SELECT run_id, member_key, group_id FROM found",
     "p2_group_sizes": _LINKS + "SELECT run_id, group_id, count(*) AS members FROM found GROUP BY ALL",
