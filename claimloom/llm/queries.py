@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
+from .canonical import UNMATCHED, map_labels, unresolved_labels
 from .grid_components import match_groups
 from .leaks import leaks
 from .refine import formatting_copies
@@ -19,6 +20,18 @@ def p2_group_sizes(spark, d):
     return p2_found(spark, d).groupBy("run_id", "group_id").agg(F.count(F.lit(1)).alias("members"))
 
 
+def p5_found(spark, d):
+    labels = unresolved_labels(table(spark, d, "instance_mappings_hard"), table(spark, d, "nodes"))
+    return map_labels(labels, table(spark, d, "head_concepts")).select("custom_id", "node_id", "concept_id")
+
+
+def p5_misses(spark, d):
+    """Labels that name no entry of the list, with the number of instances."""
+    labels = unresolved_labels(table(spark, d, "instance_mappings_hard"), table(spark, d, "nodes"))
+    misses = map_labels(labels, table(spark, d, "head_concepts")).where(F.col("concept_id") == UNMATCHED)
+    return misses.groupBy("label").agg(F.count(F.lit(1)).alias("instances"))
+
+
 def _copies(spark, d):
     heads = table(spark, d, "head_selection_metrics").select(F.lit("head_selection_metrics").alias("tbl"), F.lit("h").alias("scope"), F.lpad(F.col("row_id").cast("string"), 10, "0").alias("member_key"), F.col("normalized_label").alias("label"))
     nodes = table(spark, d, "nodes").select(F.lit("nodes").alias("tbl"), F.concat(F.lit("n"), "custom_id").alias("scope"), F.concat_ws("/", "custom_id", "node_id").alias("member_key"), "label")
@@ -72,7 +85,7 @@ keyed AS (SELECT DISTINCT tbl, scope, member_key, array_to_string(list_sort(list
 groups AS (SELECT tbl, scope, k, min(member_key) AS group_key, count(DISTINCT member_key) AS copies FROM keyed WHERE k <> '' GROUP BY ALL HAVING copies > 1)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_counts": p9_counts}
+QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p5_found": p5_found, "p5_misses": p5_misses, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_counts": p9_counts}
 ORACLES = {
     "p2_found": _LINKS + "SELECT run_id, member_key, group_id FROM found",
     "p2_group_sizes": _LINKS + "SELECT run_id, group_id, count(*) AS members FROM found GROUP BY ALL",
