@@ -9,6 +9,7 @@ from .canonical import UNMATCHED, map_labels, unresolved_labels
 from .grid_components import match_groups
 from .leaks import leaks
 from .refine import formatting_copies
+from .residue import residue, residue_scores
 from .sentences import sentence_units
 
 
@@ -20,6 +21,16 @@ def p2_group_sizes(spark, d):
     return p2_found(spark, d).groupBy("run_id", "group_id").agg(F.count(F.lit(1)).alias("members"))
 
 
+def p3_found(spark, d):
+    return residue(table(spark, d, "works_abstracts"), table(spark, d, "works_base"))
+
+
+def p3_hosts(spark, d):
+    """Texts and cases per host."""
+    scored, _ = residue_scores(table(spark, d, "works_abstracts"), table(spark, d, "works_base"))
+    return scored.groupBy("host").agg(F.count(F.lit(1)).alias("texts"), F.count_if("is_case").alias("cases"))
+
+
 def p5_found(spark, d):
     labels = unresolved_labels(table(spark, d, "instance_mappings_hard"), table(spark, d, "nodes"))
     return map_labels(labels, table(spark, d, "head_concepts")).select("custom_id", "node_id", "concept_id")
@@ -85,7 +96,7 @@ keyed AS (SELECT DISTINCT tbl, scope, member_key, array_to_string(list_sort(list
 groups AS (SELECT tbl, scope, k, min(member_key) AS group_key, count(DISTINCT member_key) AS copies FROM keyed WHERE k <> '' GROUP BY ALL HAVING copies > 1)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p5_found": p5_found, "p5_misses": p5_misses, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_counts": p9_counts}
+QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p3_found": p3_found, "p3_hosts": p3_hosts, "p5_found": p5_found, "p5_misses": p5_misses, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_counts": p9_counts}
 ORACLES = {
     "p2_found": _LINKS + "SELECT run_id, member_key, group_id FROM found",
     "p2_group_sizes": _LINKS + "SELECT run_id, group_id, count(*) AS members FROM found GROUP BY ALL",
