@@ -8,6 +8,7 @@ from ..session import table
 from .canonical import UNMATCHED, map_labels, unresolved_labels
 from .grid_components import match_groups
 from .leaks import leaks
+from .packing import pack
 from .refine import formatting_copies
 from .residue import residue, residue_scores
 from .sentences import sentence_units
@@ -62,6 +63,17 @@ def p6_collapsed(spark, d):
     return _copies(spark, d).select(_table_of("scope").alias("tbl"), "group_key", "copies").distinct()
 
 
+def p7_packing(spark, d):
+    return pack(table(spark, d, "documents"))[0]
+
+
+def p7_certificate(spark, d):
+    """Containers used, the lower bound that certifies them, and the share of room wasted."""
+    _, r = pack(table(spark, d, "documents"))
+    waste = 1 - r["tokens"] / max(1, r["containers"] * r["capacity"])
+    return spark.createDataFrame([(r["containers"], r["bound"], r["tokens"], r["rounds"], waste)], "containers long, lower_bound long, tokens long, rounds int, waste double")
+
+
 def p8_found(spark, d):
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -96,7 +108,7 @@ keyed AS (SELECT DISTINCT tbl, scope, member_key, array_to_string(list_sort(list
 groups AS (SELECT tbl, scope, k, min(member_key) AS group_key, count(DISTINCT member_key) AS copies FROM keyed WHERE k <> '' GROUP BY ALL HAVING copies > 1)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p3_found": p3_found, "p3_hosts": p3_hosts, "p5_found": p5_found, "p5_misses": p5_misses, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_counts": p9_counts}
+QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p3_found": p3_found, "p3_hosts": p3_hosts, "p5_found": p5_found, "p5_misses": p5_misses, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p7_packing": p7_packing, "p7_certificate": p7_certificate, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_counts": p9_counts}
 ORACLES = {
     "p2_found": _LINKS + "SELECT run_id, member_key, group_id FROM found",
     "p2_group_sizes": _LINKS + "SELECT run_id, group_id, count(*) AS members FROM found GROUP BY ALL",
