@@ -71,8 +71,8 @@ def heterogeneity(claims: DataFrame) -> DataFrame:
     """First-seen edges by source field, decade, causal flag, and field x causal, as grouping sets of one pass."""
     e = claims.groupBy("src", "dst").agg(F.min(F.struct("year", (~F.col("is_causal")).alias("not_causal"))).alias("f"))
     e = e.select(F.substring("src", 1, 1).alias("source_field"), (F.floor(F.col("f.year") / 10) * 10).cast("int").alias("decade"), (~F.col("f.not_causal")).cast("int").alias("causal"))
-    sets = [[e["source_field"]], [e["decade"]], [e["causal"]], [e["source_field"], e["causal"]]]
-    return e.groupingSets(sets, e["source_field"], e["decade"], e["causal"]).agg(F.count(F.lit(1)).alias("edges"))
+    sets = [["source_field"], ["decade"], ["causal"], ["source_field", "causal"]]
+    return e.groupingSets(sets, "source_field", "decade", "causal").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def realization(ranked: DataFrame, first: DataFrame, cutoff: int, horizon: int) -> DataFrame:
