@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that initialisms skip.
 STOPWORDS = ["a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with"]
@@ -30,7 +31,7 @@ def normalized(c: Column) -> Column:
     return _squeezed(F.regexp_replace(x, r"[^0-9a-z()\-\s]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compatible(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
@@ -84,7 +85,7 @@ def tokens(raw: Column) -> Column:
     return F.array_distinct(F.filter(F.split(plain(normalized(without_acronym(raw))), " "), lambda w: w != ""))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks (gestalt matching); edit distance is not equivalent."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

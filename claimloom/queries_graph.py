@@ -76,7 +76,7 @@ def candidate_scores(spark, d):
 
 
 def candidate_top100(spark, d):
-    return R.top_ranked(_scored(spark, d), 100).select("u", "v", F.round("score", 5).alias("score"), F.col("rank").cast("int").alias("rank"))
+    return R.top_ranked(_scored(spark, d), 100).select("u", "v", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def missing_pairs_antijoin(spark, d):
@@ -390,7 +390,7 @@ p3 AS (SELECT a.src AS u, c.dst AS v, a.weight * b.weight * c.weight / ((1 + ln(
     "motif_support": _B + _edges(f"year <= {CUTOFF}") + _hops("n", NEIGHBORS) + _END + "SELECT u, v, count(*) AS motif_count, round(sum(sqrt(a * b)), 6) AS motif_bonus_raw FROM hops GROUP BY ALL",
     "top_mediators": _B + _paths(1996) + _END + "SELECT u, v, w AS mediator, round(support, 6) AS support, CAST(row_number() OVER (PARTITION BY u, v ORDER BY round(support, 6) DESC, w) AS INT) AS rank FROM paths2 QUALIFY rank <= 3",
     "candidate_scores": _B + _cand(CUTOFF) + _END + "SELECT u, v, round(path_support_norm, 5) AS path_support_norm, round(motif_bonus_norm, 5) AS motif_bonus_norm, round(hub_penalty, 5) AS hub_penalty, round(gap_bonus, 5) AS gap_bonus, round(score, 5) AS score, mediator_count, motif_count, cooc_count FROM cand",
-    "candidate_top100": _B + _cand(CUTOFF) + _END + "SELECT u, v, round(round(score, 6), 5) AS score, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, u, v) AS INT) AS rank FROM cand QUALIFY rank <= 100",
+    "candidate_top100": _B + _cand(CUTOFF) + _END + "SELECT u, v, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, u, v) AS INT) AS rank FROM cand QUALIFY rank <= 100",
     "missing_pairs_antijoin": _B + _END + f"SELECT src, dst FROM claims GROUP BY ALL HAVING min(year) > {CUTOFF}",
     "explain_neighborhoods": _B + _edges() + _END + "SELECT node, direction, neighbor, weight, CAST(row_number() OVER (PARTITION BY node, direction ORDER BY weight DESC, neighbor) AS INT) AS rank FROM (SELECT src AS node, 'out' AS direction, dst AS neighbor, weight FROM edges UNION ALL SELECT dst, 'in', src, weight FROM edges) QUALIFY rank <= 5",
     "neighborhoods_top15": _B + _edges() + _NB + _END + "SELECT node, x AS neighbor, round(sum(weight), 6) AS weight, CAST(row_number() OVER (PARTITION BY node ORDER BY round(sum(weight), 6) DESC, x) AS INT) AS rank FROM nb GROUP BY node, x QUALIFY rank <= 15",
