@@ -104,7 +104,7 @@ _SAME = """
 WITH rows_ AS (
   SELECT DISTINCT 'head_selection_metrics' AS tbl, '' AS scope, lpad(row_id::VARCHAR, 10, '0') AS member_key, normalized_label AS label FROM head_selection_metrics
   UNION SELECT 'nodes', custom_id, custom_id || '/' || node_id, label FROM nodes),
-keyed AS (SELECT DISTINCT tbl, scope, member_key, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(upper(label)), '[^\\p{L}\\p{N}\\p{M}]+'), lambda w: w <> '')), ' ') AS k FROM rows_ WHERE label IS NOT NULL),
+keyed AS (SELECT DISTINCT tbl, scope, member_key, array_to_string(list_sort(list_filter(regexp_split_to_array(translate(replace(lower(label), 'ß', 'ss'), 'ςſ', 'σs'), '[^\\p{L}\\p{N}\\p{M}]+'), lambda w: w <> '')), ' ') AS k FROM rows_ WHERE label IS NOT NULL),
 groups AS (SELECT tbl, scope, k, min(member_key) AS group_key, count(DISTINCT member_key) AS copies FROM keyed WHERE k <> '' GROUP BY ALL HAVING copies > 1)
 """
 

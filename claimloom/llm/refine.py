@@ -21,8 +21,8 @@ SEPARATORS = r"[^\p{L}\p{N}\p{M}]+"
 
 
 def folded(c):
-    """Case-folded text (upper first, so that letters with several lower forms meet)."""
-    return F.lower(F.upper(c))
+    """Case-folded text; the letters whose lower case depends on the spelling or place are brought to one form."""
+    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
 
 
 def _several(rows: DataFrame, key: str) -> DataFrame:
