@@ -5,7 +5,7 @@ window's features are hashed character n-grams (folded text, and its shape of le
 how many words of the work's title it uses.  Weak labels come from phrases (``SEEDS``) and from the stored status: a window that holds a
 phrase is positive; windows of texts without any phrase are negative unless the status calls the text a placeholder; the rest are left
 out.  A logistic regression with an L2 penalty is fitted on a bounded sample of labelled windows from four fifths of the hosts; the threshold is, of
-those with the best F1 on the texts of the unseen fifth, the one nearest to even odds.  Every text is then scored as a whole, window by window, where it is read.
+those with the best F1 on the texts of the unseen fifth, the one nearest to even odds.  Every text is then scored as a whole, window by window.
 
 The sample has at most ``sample_windows`` windows of each label, those of the smallest hash, so it is the same on every run; everything else
 (candidates, scores, threshold use) covers all rows.  Null and blank texts are no case.  Of several rows of one work each is judged;
@@ -23,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch
+from ..plans.skew import topn_per_key
+
 BITS = 18
 WINDOW, STRIDE = 64, 16
 TEXT_GRAMS, SHAPE_GRAMS = (3, 4, 5), (3, 5)
@@ -74,28 +77,30 @@ REAL = [
 ]
 
 
-def real_examples(negatives: list[tuple[str, "str | None"]]) -> Iterator[tuple[str, "str | None"]]:
-    """The real sentences alone and between other real text."""
+def real_examples(windows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(text, words, shared title words) of the real sentences alone and beside other real text; windows are (text, words, shared)."""
     for k, example in enumerate(REAL):
-        yield example, None
-        for j in range(3 if negatives else 0):
-            text, title = negatives[(k * 11 + j * 97) % len(negatives)]
-            yield (f"{text} {example}" if j else f"{example} {text}"), title
+        own = len(example.split())
+        yield example, own, -1
+        for j in range(3 if windows else 0):
+            text, words, shared = windows[(k * 11 + j * 97) % len(windows)]
+            yield (f"{text} {example}" if j else f"{example} {text}"), words + own, shared
 
 
-def planted(negatives: list[tuple[str, "str | None"]]) -> Iterator[tuple[str, int, int, "str | None"]]:
-    """(text, start, end, title): each example alone, each passage also inside real texts, at varying places."""
+def planted(windows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(text, start, end, words, shared): each example alone, each passage also inside real text, at varying places."""
     for k, example in enumerate(PAGES + PASSAGES):
-        yield example, 0, len(example), None
-        for j in range(3 if negatives else 0):
-            text, title = negatives[(k * 7 + j * 131) % len(negatives)]
+        own = len(example.split())
+        yield example, 0, len(example), own, -1
+        for j in range(3 if windows else 0):
+            text, words, shared = windows[(k * 7 + j * 131) % len(windows)]
             if k < len(PAGES):
-                yield example, 0, len(example), title
+                yield example, 0, len(example), own, 0
                 break
             cut = text.find(" ", (k * 29 + j * 53) % max(1, len(text)))
             cut = len(text) if cut < 0 else cut
             left, right = text[:cut], text[cut:] if j else ""
-            yield f"{left} {example}{right}", len(left) + 1, len(left) + 1 + len(example), title
+            yield f"{left} {example}{right}", len(left) + 1, len(left) + 1 + len(example), words + own, shared
 
 
 def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -128,13 +133,18 @@ def positions(text: str) -> np.ndarray:
     return np.stack([grams(points, n, n) for n in TEXT_GRAMS] + [grams(shape, n, 10 + n) for n in SHAPE_GRAMS])
 
 
-def context(text: str, title: str | None) -> list[int]:
-    """Features of the text as a whole: length, and words shared with the title."""
+def about(text: str, title: str | None) -> tuple[int, int]:
+    """Number of words of a text, and how many quarters of the title's words it uses (-1: no title)."""
     words = text.split()
-    mine = {w.strip(".,;:").lower() for w in words}
     named = {w.strip(".,;:").lower() for w in (title or "").split() if len(w) > 3}
-    shared = -1 if not named else min(3, 4 * len(named & mine) // len(named))
-    return [hash_of(f"len{min(9, len(words).bit_length())}"), hash_of(f"few{len(words) if len(words) < 8 else 8}"), hash_of(f"title{shared}")]
+    if not named:
+        return len(words), -1
+    return len(words), min(3, 4 * len(named & {w.strip(".,;:").lower() for w in words}) // len(named))
+
+
+def context(words: int, shared: int) -> list[int]:
+    """Features of the text as a whole: its length, and its use of the title."""
+    return [hash_of(f"len{min(9, words.bit_length())}"), hash_of(f"few{min(words, 8)}"), hash_of(f"title{shared}")]
 
 
 def hash_of(name: str) -> int:
@@ -154,7 +164,7 @@ def score(text: str, title: str | None, weights: np.ndarray, bias: float) -> flo
     total = np.concatenate([[0.0], np.cumsum(per_sign)])
     s = np.array(starts(len(text)))
     e = np.minimum(s + WINDOW, len(text))
-    whole = bias + weights[context(text, title)].sum()
+    whole = bias + weights[context(*about(text, title))].sum()
     return float(whole + ((total[e] - total[s]) / np.sqrt(5 * (e - s))).max())
 
 
@@ -192,10 +202,11 @@ def fit(rows: list[tuple[np.ndarray, list[int], int]], l2: float = 1e-6, rate: f
 def residue_scores(abstracts: DataFrame, works: DataFrame, sample_windows: int = 12_000, unseen_share: int = 5) -> tuple[DataFrame, dict]:
     """(work_id, host, score, is_case) of every text, and the report of the fit: windows, threshold, precision and recall on unseen hosts."""
     spark = abstracts.sparkSession
-    about = works.where("work_id is not null").groupBy("work_id").agg(F.min("display_name").alias("title"), F.min("source_id").alias("host"))
-    texts = abstracts.where("trim(abstract_text) <> ''").select("work_id", F.col("abstract_text").alias("text"), (F.coalesce("abstract_is_placeholder", F.lit(0)) == 1).alias("flagged")).distinct().join(about, "work_id", "left")
-    unseen = F.pmod(F.xxhash64(F.coalesce("host", F.lit(""))), F.lit(unseen_share)) == 0
-    texts = texts.withColumn("unseen", unseen)
+    scratch = Scratch(spark, "residue")
+    named = works.where("work_id is not null").groupBy("work_id").agg(F.min("display_name").alias("title"), F.min("source_id").alias("host"))
+    texts = abstracts.where("trim(abstract_text) <> ''").select("work_id", F.col("abstract_text").alias("text"), (F.coalesce("abstract_is_placeholder", F.lit(0)) == 1).alias("flagged")).distinct().join(named, "work_id", "left")
+    texts = texts.withColumn("unseen", F.pmod(F.xxhash64(F.coalesce("host", F.lit(""))), F.lit(unseen_share)) == 0)
+    reach = max(TEXT_GRAMS + SHAPE_GRAMS) - 1  # signs beyond a window that its n-grams touch
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -204,37 +215,32 @@ def residue_scores(abstracts: DataFrame, works: DataFrame, sample_windows: int =
                 spans = [(m.start(), m.end()) for m in SEEDS.finditer(text)]
                 if not spans and flagged:
                     continue
+                words, shared = about(text, title)
                 for s in starts(len(text)):
                     e = min(s + WINDOW, len(text))
                     held = [max(0, min(e, y) - max(s, x)) / min(y - x, WINDOW) for x, y in spans]
                     if not spans or max(held) >= 0.9:
-                        rows.append((text[s:e], text, title, int(bool(spans)), s))
-            yield pd.DataFrame(rows, columns=["window", "text", "title", "label", "at"])
+                        rows.append((text[s : e + reach], e - s, words, shared, int(bool(spans))))
+            yield pd.DataFrame(rows, columns=["window", "width", "words", "shared", "label"])
 
-    windows = texts.where(~F.col("unseen")).mapInPandas(label, "window string, text string, title string, label int, at int")
+    windows = texts.where(~F.col("unseen")).mapInPandas(label, "window string, width int, words int, shared int, label int")
     # one window of each wording, those of the smallest hash: bounded, the same on every run, and not led by common texts
-    keyed = windows.withColumn("h", F.xxhash64(F.regexp_replace("window", "[0-9]+", "0")))
-    taken = []
-    for value in (1, 0):
-        part = keyed.where(F.col("label") == value).groupBy("h").agg(F.min(F.struct("window", "text", "title", "at")).alias("w"))
-        taken += [(value, r["w"]) for r in part.orderBy("h").limit(sample_windows).collect()]
-    rows = []
-    for value, w in taken:
-        f = positions(w["text"])[:, w["at"] : w["at"] + WINDOW].ravel()
-        rows.append((f, context(w["text"], w["title"]), value))
-    negatives = [(w["text"], w["title"]) for v, w in taken if v == 0][:2000]
-    for text, title in real_examples(negatives):
-        features, about_text = positions(text), context(text, title)
-        rows += [(features[:, at : at + WINDOW].ravel(), about_text, 0) for at in starts(len(text))]
-    for text, x, y, title in planted(negatives):
-        features, about_text = positions(text), context(text, title)
+    wording = windows.groupBy("label", F.xxhash64(F.regexp_replace("window", "[0-9]+", "0")).alias("h")).agg(F.min(F.struct("window", "width", "words", "shared")).alias("w"))
+    taken = topn_per_key(wording, ["label"], [F.asc("h")], sample_windows).orderBy("label", "h").collect()
+    rows = [(positions(r["w"]["window"])[:, : r["w"]["width"]].ravel(), context(r["w"]["words"], r["w"]["shared"]), r["label"]) for r in taken]
+    negatives = [(r["w"]["window"], r["w"]["words"], r["w"]["shared"]) for r in taken if r["label"] == 0]
+    if not negatives:
+        empty = spark.createDataFrame([], "work_id string, host string, score double, is_case boolean")
+        return empty, {"windows": len(rows), "threshold": None, "precision": None, "recall": None}
+    for text, words, shared in real_examples(negatives):
+        features, ctx = positions(text), context(words, shared)
+        rows += [(features[:, at : at + WINDOW].ravel(), ctx, 0) for at in starts(len(text))]
+    for text, x, y, words, shared in planted(negatives):
+        features, ctx = positions(text), context(words, shared)
         for at in starts(len(text)):
             e = min(at + WINDOW, len(text))
             if max(0, min(e, y) - max(at, x)) >= 0.9 * min(y - x, WINDOW):
-                rows.append((features[:, at:e].ravel(), about_text, 1))
-    if all(v for v, _ in taken):
-        empty = spark.createDataFrame([], "work_id string, host string, score double, is_case boolean")
-        return empty, {"windows": len(rows), "threshold": None, "precision": None, "recall": None}
+                rows.append((features[:, at:e].ravel(), ctx, 1))
     weights, bias = fit(rows)
     model = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
 
@@ -247,7 +253,7 @@ def residue_scores(abstracts: DataFrame, works: DataFrame, sample_windows: int =
             seeded = [SEEDS.search(t) is not None for t in texts_]
             yield pa.RecordBatch.from_arrays([c["work_id"], c["host"], c["unseen"], c["flagged"], pa.array(seeded, pa.bool_()), pa.array(got, pa.float64())], ["work_id", "host", "unseen", "flagged", "seeded", "score"])
 
-    judged = texts.mapInArrow(judge, "work_id string, host string, unseen boolean, flagged boolean, seeded boolean, score double")
+    judged = scratch.write(texts.mapInArrow(judge, "work_id string, host string, unseen boolean, flagged boolean, seeded boolean, score double"), "judged")
     # the threshold from a histogram of the unseen hosts' scores: bounded, whatever the number of texts
     step = 20
     hist = judged.where("unseen and (seeded or not flagged)").groupBy(F.floor(F.least(F.greatest(F.col("score"), F.lit(-50.0)), F.lit(50.0)) * step).alias("k"), "seeded").count().toPandas()
