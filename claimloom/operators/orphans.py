@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
-from ..plans.skew import salted_join
+from ..plans.skew import hot_keys, salted_join
 
 SEP = "\u0001"
 NEVER = "9999-12-31 00:00:00"
@@ -50,6 +50,7 @@ class OrphanTracker:
         self.spark, self.scratch, self.epoch = spark, Scratch(spark, "orphans"), 0
         self.parent_logs: list[str] = []
         self.status_logs: list[str] = []
+        self.hot: set[str] = set()
 
     def parent_index(self) -> DataFrame:
         """One row per parent key ever seen: mergeable summaries of the batches' logs."""
@@ -72,12 +73,13 @@ class OrphanTracker:
         self.parent_logs.append(f"parents-{e}")
         first = F.min(F.struct(_when("ref_at").alias("ref_at"), F.col("pkey")))
         new = references.groupBy(*REF_ID).agg(first.alias("f")).select(*REF_ID, F.col("f.pkey").alias("pkey"), F.col("f.ref_at").alias("ref_at"), F.lit(None).cast("string").alias("was"), F.lit(True).alias("fresh"))
+        self.hot |= set(hot_keys(references, "pkey"))  # a key that was hot once stays salted
         touched = new
         if self.status_logs:  # references that wait for, or were resolved by, a parent this batch speaks of
             known = self._log().join(delta.select("pkey"), "pkey", "left_semi")
             latest = known.groupBy(*REF_ID, "pkey", "ref_at").agg(F.max_by("reason", "epoch").alias("was"))
             touched = new.unionByName(latest.withColumn("fresh", F.lit(False)))
-        judged = salted_join(touched, self.parent_index(), "pkey", "left")
+        judged = salted_join(touched, self.parent_index(), "pkey", "left", hot=sorted(self.hot))
         reason = (
             F.when(F.col("pkey").isNull(), F.lit(None))
             .when(F.col("first_at").isNull(), "missing")

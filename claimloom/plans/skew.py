@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than this share of the rows; there can be at most 1 / HOT_SHARE of them.
@@ -11,25 +11,27 @@ HOT_SHARE = 1 / 256
 HOT_FLOOR = 20_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> list:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, floor: int = HOT_FLOOR, count: str | None = None) -> list:
     """Keys of ``df`` that hold more than ``share`` of its rows: at most ``1 / share`` values, so safe to collect.
 
-    One job: counts are combined map-side, and the result is bounded by construction.  Nulls are never hot (they
-    match nothing in an equi-join).
+    One job over the key column: counts are combined map-side, only the largest ``1 / share`` come to the driver, the total is observed on the way.
+    ``count`` names a column of counts where ``df`` is aggregated already.  Nulls are never hot (they match nothing in an equi-join).
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("t"))
-    big = counts.where(F.col("n") > floor).crossJoin(F.broadcast(total)).where(F.col("n") > F.col("t") * share)
-    return [r["k"] for r in big.select("k").collect()]
+    n = F.sum(count) if count else F.count(F.lit(1))
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(n.alias("n"))
+    seen = Observation()
+    top = counts.observe(seen, F.sum("n").alias("t")).orderBy(F.desc("n")).limit(int(1 / share)).collect()
+    total = seen.get["t"] if top else 0
+    return [r["k"] for r in top if r["n"] > floor and r["n"] > total * share]
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 32) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 32, hot: list | None = None) -> DataFrame:
     """Equi-join on ``key`` where ``left`` may be skewed and ``right`` has one row per key.
 
     Rows of hot keys get a salt from a hash of the whole left row; the matching right rows, at most ``1 / HOT_SHARE`` of
-    them, are copied once per salt.  Without hot keys the plan is the plain join.
+    them, are copied once per salt.  Without hot keys the plan is the plain join.  ``hot`` spares the count where the keys are known.
     """
-    hot = hot_keys(left, key)
+    hot = hot_keys(left, key) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)
