@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import salted_join
+from ..plans.scratch import Scratch
+from ..plans.skew import hot_keys, salted_join
 
 SEPARATORS = r"[^\p{L}\p{N}\p{M}]+"
 
@@ -25,19 +26,22 @@ def folded(c):
     return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
 
 
-def _several(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose class on ``key`` has at least two distinct members."""
-    classes = rows.groupBy(key).agg(F.min("member_key").alias("lo"), F.max("member_key").alias("hi")).where("lo <> hi").select(key)
-    return salted_join(rows, classes, key, "inner")
+def _several(scratch: Scratch, rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows whose class on ``key`` has at least two distinct members; the classes' counts also tell which are hot."""
+    counted = rows.groupBy(key).agg(F.min("member_key").alias("lo"), F.max("member_key").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    classes = scratch.write(counted.select(key, "n"), f"classes-{name}")
+    return salted_join(rows, classes.drop("n"), key, "inner", hot=hot_keys(classes, key, count="n"))
 
 
 def formatting_copies(rows: DataFrame) -> DataFrame:
     """(scope, member_key, group_key, copies) for rows (scope, member_key, label) in groups of two or more."""
     text = rows.where("label is not null and member_key is not null").select("scope", "member_key", folded(F.col("label")).alias("label"))
+    scratch = Scratch(rows.sparkSession, "refine")
     bare = F.regexp_replace("label", SEPARATORS, "")
     one = text.withColumn("bare", bare).where("bare <> ''").withColumn("c1", F.xxhash64("scope", F.length("bare")))
-    two = _several(one, "c1").withColumn("c2", F.xxhash64("scope", F.array_join(F.array_sort(F.split("bare", "")), ""))).drop("bare", "c1")
+    two = _several(scratch, one, "c1", "length").withColumn("c2", F.xxhash64("scope", F.array_join(F.array_sort(F.split("bare", "")), ""))).drop("bare", "c1")
     words = F.array_sort(F.filter(F.split("label", SEPARATORS), lambda w: w != ""))
-    three = _several(two, "c2").select("scope", "member_key", F.concat_ws("\u0001", F.coalesce("scope", F.lit("")), F.array_join(words, " ")).alias("key")).distinct()
-    groups = three.groupBy("key").agg(F.min("member_key").alias("group_key"), F.count_distinct("member_key").alias("copies")).where("copies > 1")
-    return salted_join(three, groups, "key", "inner").select("scope", "member_key", "group_key", "copies")
+    three = _several(scratch, scratch.write(two, "same-length"), "c2", "letters").select("scope", "member_key", F.concat_ws("\u0001", F.coalesce("scope", F.lit("")), F.array_join(words, " ")).alias("key")).distinct()
+    three = scratch.write(three, "same-letters")
+    groups = scratch.write(three.groupBy("key").agg(F.min("member_key").alias("group_key"), F.count_distinct("member_key").alias("copies")).where("copies > 1"), "groups")
+    return salted_join(three, groups, "key", "inner", hot=hot_keys(groups, "key", count="copies")).select("scope", "member_key", "group_key", "copies")
