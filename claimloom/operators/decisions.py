@@ -67,7 +67,12 @@ def direct_to_path(claims: DataFrame, cutoff: int, horizon: int) -> DataFrame:
     a = edge.select(F.col("src").alias("u"), F.col("dst").alias("w"), F.col("year").alias("y1"))
     b = edge.select(F.col("src").alias("w"), F.col("dst").alias("v"), F.col("year").alias("y2"))
     direct = edge.where(F.col("year") <= cutoff).select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    opened = a.join(b, "w").join(direct, ["u", "v"], "left_semi").groupBy("u", "v").agg(F.min(F.greatest("y1", "y2")).alias("opened"))
+    out, inn = edge.groupBy(F.col("src").alias("u")).agg(F.count(F.lit(1)).alias("o")), edge.groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("i"))
+    # each link is opened from its end of fewer neighbours, so hubs cost the power 1.5 of the edges at most, not their square
+    ends = direct.join(out, "u", "left").join(inn, "v", "left")
+    low = ends.where("o <= i").select("u", "v").join(a, "u").join(b, ["w", "v"])
+    high = ends.where("o > i").select("u", "v").join(b, "v").join(a, ["u", "w"])
+    opened = low.select("u", "v", "y1", "y2").unionByName(high.select("u", "v", "y1", "y2")).groupBy("u", "v").agg(F.min(F.greatest("y1", "y2")).alias("opened"))
     j = direct.join(opened, ["u", "v"], "left").where(F.col("opened").isNull() | (F.col("opened") > cutoff))
     return j.select("u", "v", F.when(F.col("opened") <= cutoff + horizon, F.col("opened")).alias("first_path_year"))
 

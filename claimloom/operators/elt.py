@@ -116,10 +116,10 @@ def mention_series(documents: DataFrame, pattern: str, year_from: int, year_to:
 def stratified_sample(df: DataFrame, strata: str, key: str, per_stratum: int, target: int, seed: int = 7) -> DataFrame:
     """A quota per stratum by a seeded hash, filled up to ``target`` from the rest."""
     h = F.xxhash64(F.lit(seed), F.col(key))
-    ranked = df.withColumn("_h", h).withColumn("_r", F.row_number().over(Window.partitionBy(strata).orderBy("_h", key)))
-    first = ranked.where(F.col("_r") <= per_stratum).withColumn("stage", F.lit("quota"))
-    rest = ranked.where(F.col("_r") > per_stratum).withColumn("stage", F.lit("backfill"))
-    return first.unionByName(rest).orderBy(F.when(F.col("stage") == "quota", 0).otherwise(1), "_h", key).limit(target).drop("_h", "_r")
+    hashed = df.withColumn("_h", h)
+    first = topn_per_key(hashed, [strata], [F.asc("_h"), F.asc(key)], per_stratum).withColumn("stage", F.lit("quota"))
+    rest = hashed.join(first.select(key), key, "left_anti").orderBy("_h", key).limit(target).withColumn("stage", F.lit("backfill"))
+    return first.unionByName(rest).orderBy(F.when(F.col("stage") == "quota", 0).otherwise(1), "_h", key).limit(target).drop("_h")
 
 
 def blinded_items(arms: list[tuple[str, DataFrame]], per_arm: int, seed: int = 7) -> DataFrame:

@@ -7,10 +7,12 @@ not the square of the nodes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import decile
+from ..plans.order import running_before
+from ..plans.skew import topn_per_key
 
 
 def first_appearance(claims: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def attachment_ranks(train_edges: DataFrame, positives: DataFrame) -> DataFrame:
     known = train_edges.select("src", "dst").distinct().where("src <> dst").join(out, "src").join(inn, "dst").select((F.col("o") * F.col("i")).alias("p"))
     taken = loops.unionByName(known).groupBy("p").agg(F.count(F.lit(1)).alias("gone"))
     free = products.join(taken, "p", "left").select("p", (F.col("pairs") - F.coalesce("gone", F.lit(0))).alias("free"))
-    above = free.withColumn("above", F.coalesce(F.sum("free").over(Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    above = running_before(free, [F.desc("p")], F.col("free"), "above")
     return pos.join(above, "p").select("u", "v", "p", "above", "free")
 
 
@@ -105,15 +107,14 @@ def gap_boundary(panel: DataFrame) -> DataFrame:
 def weighted_metrics(ranks: DataFrame, by: list[str], k: int) -> DataFrame:
     """Metrics with impact weights (1 + ln(1 + papers)): weighted MRR and recall, NDCG at k."""
     g = F.col("gain")
-    w = Window.partitionBy(*by).orderBy(F.desc("gain"), "u", "v")
-    rows = ranks.withColumn("gain", 1 + F.log1p("papers")).withColumn("ideal", F.row_number().over(w))
-    dcg = F.sum(F.when(F.col("rank") <= k, g / F.log2(F.col("rank") + 1)).otherwise(0.0))
-    best = F.sum(F.when(F.col("ideal") <= k, g / F.log2(F.col("ideal") + 1)).otherwise(0.0))
-    return rows.groupBy(*by).agg(
+    rows = ranks.withColumn("gain", 1 + F.log1p("papers"))
+    ideal = topn_per_key(rows, by, [F.desc("gain"), F.asc("u"), F.asc("v")], k, "ideal").groupBy(*by).agg(F.sum(g / F.log2(F.col("ideal") + 1)).alias("best"))
+    got = rows.groupBy(*by).agg(
         F.round(F.sum(F.when(F.col("rank").isNotNull(), g / F.col("rank")).otherwise(0.0)) / F.sum(g), 6).alias("weighted_mrr"),
         F.round(F.sum(F.when(F.col("rank") <= k, g).otherwise(0.0)) / F.sum(g), 6).alias("weighted_recall"),
-        F.round(dcg / best, 6).alias("ndcg"),
+        F.sum(F.when(F.col("rank") <= k, g / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
     )
+    return got.join(ideal, by).select(*by, "weighted_mrr", "weighted_recall", F.round(F.col("dcg") / F.col("best"), 6).alias("ndcg"))
 
 
 def power(deltas: DataFrame, by: list[str], alpha_z: float = 1.96, power_z: float = 0.84) -> DataFrame:

@@ -27,7 +27,8 @@ def node_degree(edges: DataFrame) -> DataFrame:
 def underexplored_pairs(claims: DataFrame, tau: int = 2, cutoff: int | None = None) -> DataFrame:
     """Concepts of one paper in unordered pairs (u < v): papers with both, first and last year, gap below ``tau``.
 
-    A paper's year is its smallest row year; papers whose only claims are self-loops have no pair.
+    A paper's year is its smallest row year; papers whose only claims are self-loops have no pair.  All pairs of a paper are the result itself; what
+    is gathered per paper is its distinct concepts, never its rows.
     """
     c = until(claims, cutoff)
     member = c.select("paper_id", "year", F.explode(F.array("src", "dst")).alias("code"))

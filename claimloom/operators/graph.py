@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
+from ..plans.skew import hot_keys, salted_join
 
 
 def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.85, every: int = 5) -> DataFrame:
@@ -22,9 +23,10 @@ def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.85, every:
     n = nodes.count()
     if n == 0:
         return spark.createDataFrame([], "node string, pagerank double")
+    hubs = hot_keys(step, "src")
     rank = nodes.withColumn("pagerank", F.lit(1.0 / n))
     for r in range(1, iterations + 1):
-        sent = step.join(rank.select(F.col("node").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
+        sent = salted_join(step, rank.select(F.col("node").alias("src"), "pagerank"), "src", "inner", hot=hubs).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
         dangling = rank.agg(F.coalesce(F.sum(F.when(F.col("has_out").isNull(), F.col("pagerank"))), F.lit(0.0)).alias("loose"))
         rank = nodes.join(sent, "node", "left").crossJoin(F.broadcast(dangling)).select("node", "has_out", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("pagerank"))
         if r % every == 0 or r == iterations:
@@ -41,9 +43,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     scratch = Scratch(spark, "components")
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u is not null and v is not null").distinct()
     both = scratch.write(both, "edges")
+    hubs = hot_keys(both, "v")
     label = scratch.write(both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")), "label-0")
     for r in range(1, max_rounds + 1):
-        near = both.join(label.select(F.col("node").alias("v"), "component"), "v").select(F.col("u").alias("node"), "component")
+        near = salted_join(both, label.select(F.col("node").alias("v"), "component"), "v", "inner", hot=hubs).select(F.col("u").alias("node"), "component")
         low = near.unionByName(label.select("node", "component")).groupBy("node").agg(F.min("component").alias("component"))
         jump = low.join(low.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"))
         new = scratch.write(jump, f"label-{r}")

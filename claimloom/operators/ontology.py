@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.scale import z_score
+from ..plans.order import running_before
 from ..plans.skew import salted_join, topn_per_key
 
 
@@ -35,15 +36,11 @@ def top_values(rows: DataFrame, key: str, value: str, k: int = 5) -> DataFrame:
 def head_pool(support: DataFrame, least: int, coverage: float) -> DataFrame:
     """Labels above a support threshold, or before cumulative coverage reaches the target (share counted before the label).
 
-    The running share needs one global order: it runs over the distinct support levels (few), then inside a level by position.
+    The running share follows one global order, over a range partitioning: many labels of equal support are spread like any others.
     """
-    level = support.groupBy("instances").agg(F.count(F.lit(1)).alias("labels"))
-    w = Window.orderBy(F.desc("instances"))
-    total = F.sum(F.col("labels") * F.col("instances")).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    level = level.withColumn("before", F.coalesce(F.sum(F.col("labels") * F.col("instances")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", total)
-    inside = F.row_number().over(Window.partitionBy("instances").orderBy("normalized_label"))
-    rows = support.withColumn("k", inside).join(level, "instances")
-    share = (F.col("before") + (F.col("k") - 1) * F.col("instances")) / F.col("total")
+    total = support.agg(F.sum("instances").alias("total"))
+    rows = running_before(support, [F.desc("instances"), F.asc("normalized_label")], F.col("instances"), "before").crossJoin(F.broadcast(total))
+    share = F.col("before") / F.col("total")
     return rows.where((F.col("instances") >= least) | (share < coverage)).select("normalized_label", "instances", F.round(share, 6).alias("share_before"))
 
 

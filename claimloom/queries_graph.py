@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluate as E
@@ -11,6 +11,7 @@ from .operators import features as T
 from .operators import graph as G
 from .operators import ranking as R
 from .plans.claims import claims, concepts, papers, with_evidence
+from .plans.order import running_before
 from .plans.skew import topn_per_key
 
 CUTOFF, NEIGHBORS = 1998, 120
@@ -131,9 +132,8 @@ def _ranked_future(spark, d, cutoff, horizon):
     p = T.path_features(c, cutoff - 1, 2, NEIGHBORS).select("u", "v", F.round("path_support_raw", 6).alias("s"))
     pos = E.future_links(E.first_appearance(c), [cutoff], [horizon])
     hits = pos.join(p, ["u", "v"], "left")
-    # rank by counting better scores: a histogram of distinct scores, cumulated, joined to the positives alone
-    hist = p.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    above = hist.withColumn("above", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # rank by counting better scores: a histogram of distinct scores, cumulated over ranges, joined to the positives alone
+    above = running_before(p.groupBy("s").agg(F.count(F.lit(1)).alias("n")), [F.desc("s")], F.col("n"), "above")
     return hits.join(above.select("s", "above"), "s", "left").select("cutoff", "horizon", "u", "v", (F.col("above") + 1).alias("rank"))
 
 
