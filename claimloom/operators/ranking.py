@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scale import min_max
+from ..plans.scratch import Scratch
 
 #: Blends of the priority presets: column and weight; a leading minus takes 1 - column.
 PRESETS = {
@@ -39,6 +40,7 @@ def candidate_scores(pairs: DataFrame, paths: DataFrame, motifs: DataFrame, alph
     rows = rows.withColumn("lo", F.least("u", "v")).withColumn("hi", F.greatest("u", "v")).join(keyed, ["lo", "hi"], "left").drop("lo", "hi")
     rows = rows.withColumn("gap_bonus", F.coalesce("gap_bonus", F.lit(1.0))).withColumn("cooc_count", F.coalesce("cooc_count", F.lit(0)).cast("long"))
     rows = rows.where("path_support_raw > 0 or motif_bonus_raw > 0 or gap_bonus > 0").withColumnRenamed("hub_penalty", "hub_penalty_raw")
+    rows = Scratch(rows.sparkSession, "candidates").write(rows, "features")  # read twice: for the ranges and for the scores
     rows = min_max(rows, {"path_support_raw": "path_support_norm", "motif_bonus_raw": "motif_bonus_norm", "hub_penalty_raw": "hub_penalty"})
     return rows.withColumn("score", alpha * F.col("path_support_norm") + beta * F.col("gap_bonus") + gamma * F.col("motif_bonus_norm") - delta * F.col("hub_penalty"))
 

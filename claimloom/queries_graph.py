@@ -12,6 +12,7 @@ from .operators import graph as G
 from .operators import ranking as R
 from .plans.claims import claims, concepts, papers, with_evidence
 from .plans.order import running_before
+from .plans.scratch import Scratch
 from .plans.skew import topn_per_key
 
 CUTOFF, NEIGHBORS = 1998, 120
@@ -22,8 +23,13 @@ def _c(spark: SparkSession, d: str) -> DataFrame:
     return claims(spark, d)
 
 
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The claim view as a written table, for queries that read it several times."""
+    return Scratch(spark, "corpus").write(claims(spark, d), "claims")
+
+
 def _scored(spark, d, cutoff=CUTOFF):
-    c = _c(spark, d)
+    c = _corpus(spark, d)
     return R.candidate_scores(T.underexplored_pairs(c, 2, cutoff), T.path_features(c, cutoff, 2, NEIGHBORS), T.motif_features(c, cutoff, NEIGHBORS))
 
 
@@ -101,7 +107,7 @@ def edge_papers_newest(spark, d):
 
 
 def explain_papers(spark, d):
-    c = _c(spark, d)
+    c = _corpus(spark, d)
     links = R.top_ranked(T.path_features(c, 1996, 2, NEIGHBORS), 50, "path_support_raw")
     return X.supporting_papers(links, T.ranked_paths(c, 1996, NEIGHBORS, 3), c.where("year <= 1996"), 2).withColumn("paper_rank", F.col("paper_rank").cast("int"))
 
@@ -126,10 +132,9 @@ def leakage_audit(spark, d):
     return E.leakage(E.first_appearance(c), c, CUTOFFS, HORIZONS)
 
 
-def _ranked_future(spark, d, cutoff, horizon):
+def _ranked_future(spark, c, cutoff, horizon):
     """Positives of a cutoff with their rank among path-supported candidates trained before it."""
-    c = _c(spark, d)
-    p = T.path_features(c, cutoff - 1, 2, NEIGHBORS).select("u", "v", F.round("path_support_raw", 6).alias("s"))
+    p = Scratch(spark, "paths").write(T.path_features(c, cutoff - 1, 2, NEIGHBORS).select("u", "v", F.round("path_support_raw", 6).alias("s")), "scores")
     pos = E.future_links(E.first_appearance(c), [cutoff], [horizon])
     hits = pos.join(p, ["u", "v"], "left")
     # rank by counting better scores: a histogram of distinct scores, cumulated over ranges, joined to the positives alone
@@ -138,21 +143,21 @@ def _ranked_future(spark, d, cutoff, horizon):
 
 
 def backtest_metrics(spark, d):
-    rows = None
+    c, rows = _corpus(spark, d), None
     for t in (1996, 1997):
-        part = _ranked_future(spark, d, t, 3)
+        part = _ranked_future(spark, c, t, 3)
         rows = part if rows is None else rows.unionByName(part)
     return E.ranking_metrics(rows, ["cutoff", "horizon"], [100, 1000])
 
 
 def weighted_metrics_ndcg(spark, d):
-    c = _c(spark, d)
+    c = _corpus(spark, d)
     n = c.groupBy(F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.count_distinct("paper_id").alias("papers"))
-    return E.weighted_metrics(_ranked_future(spark, d, 1996, 3).join(n, ["u", "v"]), ["cutoff", "horizon"], 1000)
+    return E.weighted_metrics(_ranked_future(spark, c, 1996, 3).join(n, ["u", "v"]), ["cutoff", "horizon"], 1000)
 
 
 def baseline_pref_attach(spark, d):
-    c = _c(spark, d)
+    c = _corpus(spark, d)
     train = T.edge_aggregate(c, 1996)
     pos = E.future_links(E.first_appearance(c), [1997], [1]).select("u", "v")
     return E.attachment_ranks(train, pos).select("u", "v", F.col("p").alias("product"), "above", F.col("free").alias("tied"))
@@ -163,7 +168,7 @@ def heterogeneity_grouping_sets(spark, d):
 
 
 def _panel(spark, d):
-    c = _c(spark, d)
+    c = _corpus(spark, d)
     p = T.path_features(c, 1996, 2, NEIGHBORS)
     ranked = R.top_ranked(p.join(T.underexplored_pairs(c, 2, 1996).select(F.col("u").alias("lo"), F.col("v").alias("hi"), "cooc_count"), (F.least("u", "v") == F.col("lo")) & (F.greatest("u", "v") == F.col("hi")), "left").fillna({"cooc_count": 0}), 2000, "path_support_raw")
     return R.novelty(ranked), E.realization(ranked, E.first_appearance(c), 1996, 4)
@@ -243,7 +248,7 @@ def expert_pack(spark, d):
 def regime_overlap(spark, d):
     from .operators.elt import regime_overlap as overlap
 
-    c = _c(spark, d)
+    c = _corpus(spark, d)
     tops = [(str(t), R.top_ranked(T.path_features(c, t, 2, NEIGHBORS), 500, "path_support_raw")) for t in (1996, 1997)]
     return overlap(tops)
 
