@@ -29,6 +29,8 @@ from ..plans.skew import topn_per_key
 BITS = 18
 WINDOW, STRIDE = 64, 16
 TEXT_GRAMS, SHAPE_GRAMS = (3, 4, 5), (3, 5)
+_DIGIT, _SPACE = re.compile(r"\d"), re.compile(r"\s")
+STRETCH = 200_000
 
 # Phrases that label a text weakly.
 SEEDS = re.compile(
@@ -50,6 +52,23 @@ SEEDS = re.compile(
     re.I | re.S,
 )
 
+# A text of more than SHORT signs that holds none of these has no phrase (each phrase contains one).
+NEEDLES = (
+    "{{ ${ <% {% [[ << %% @@ <!-- &lt; author_name manuscript_no article_title journal_name lorem utenim dolori lipsum paragraph javascript scripts cookies browse human upstream traceback http/ nicht erreur introuvable encontrada compruebe найдена 页面 脚本 abstract".split()
+    + [" text", "click to add", "to be completed", "error ", "not found", "could not be", "went wrong", "unexpected error", "undefined variable", "can't seem", "no longer exists", "temporarily unable", "permission to view", "is restricted", "has expired", "log in again", "sign in or", "try again later", "reload the page"]
+)
+SHORT = 80
+
+
+def phrases(text: str) -> list[tuple[int, int]]:
+    """Spans of the phrases in a text; most texts are dismissed by plain substring tests."""
+    if len(text) > SHORT:
+        low = text.lower()
+        if not any(n in low for n in NEEDLES) and not low.lstrip(" \t\r\n-*#([").startswith("xxx"):
+            return []
+    return [(m.start(), m.end()) for m in SEEDS.finditer(text)]
+
+
 # Examples of residue, by kind, that are planted into real windows as further weak labels.
 _OPEN_CLOSE = [("{{", "}}"), ("{{ ", " }}"), ("${", "}"), ("<%= ", " %>"), ("{%", "%}"), ("[[", "]]"), ("<<", ">>"), ("%%", "%%"), ("@@", "@@")]
 _NAMES = ["title", "abstract", "year", "country", "summary", "body_text", "article.abstract", "record.description", "AbstractText", "journal_name", "n_obs", "effect_size", "author", "null"]
@@ -103,21 +122,20 @@ def planted(windows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int
             yield f"{left} {example}{right}", len(left) + 1, len(left) + 1 + len(example), words + own, shared
 
 
-def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the folded text, digits as 0 and white space as one blank each, and of its shape."""
-    low = re.sub(r"\s", " ", re.sub(r"\d", "0", text.lower()))
-    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    shape = raw.copy()
-    upper, lower, digit = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122), (raw >= 48) & (raw <= 57)
-    shape[upper], shape[lower], shape[digit], shape[raw > 127] = 65, 97, 48, 128
-    if len(points) != len(raw):  # a few capitals fold to two signs
-        points = np.resize(points, len(raw))
-    return points, shape
+def fold(text: str) -> tuple[str, str]:
+    """The folded text (lower case, digits as 0, white space as one blank each) and the text itself, of equal length."""
+    low = text.lower()
+    if len(low) != len(text):  # a few capitals fold to two signs
+        low = "".join(c.lower()[:1] or c for c in text)
+    return _SPACE.sub(" ", _DIGIT.sub("0", low)), text
+
+
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
 def grams(points: np.ndarray, n: int, salt: int) -> np.ndarray:
-    """Hashed n-grams, one per position (short at the end)."""
+    """Hashed n-grams, one per position."""
     m = len(points)
     h = np.full(m, salt * 0x9E3779B97F4A7C15 % 2**64, dtype=np.uint64)
     for i in range(n):
@@ -127,10 +145,23 @@ def grams(points: np.ndarray, n: int, salt: int) -> np.ndarray:
     return (h >> np.uint64(64 - BITS - 8) & np.uint64(2**BITS - 1)).astype(np.int32)
 
 
+def positions_of(texts: list[str]) -> Iterator[np.ndarray]:
+    """Features of each text: one row per channel, one column per sign.  Texts are hashed in one stretch, each followed by end signs."""
+    folded, plain = zip(*(fold(t) for t in texts), strict=True) if texts else ((), ())
+    gap = "\0" * (max(TEXT_GRAMS + SHAPE_GRAMS) - 1)
+    points, raw = points_of("".join(t + gap for t in folded)), points_of("".join(t + gap for t in plain))
+    shape = raw.copy()
+    upper, lower, digit = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122), (raw >= 48) & (raw <= 57)
+    shape[upper], shape[lower], shape[digit], shape[raw > 127] = 65, 97, 48, 128
+    every = np.stack([grams(points, n, n) for n in TEXT_GRAMS] + [grams(shape, n, 10 + n) for n in SHAPE_GRAMS])
+    at = 0
+    for t in plain:
+        yield every[:, at : at + len(t)]
+        at += len(t) + len(gap)
+
+
 def positions(text: str) -> np.ndarray:
-    """Features of a text: one row per channel, one column per sign."""
-    points, shape = fold(text)
-    return np.stack([grams(points, n, n) for n in TEXT_GRAMS] + [grams(shape, n, 10 + n) for n in SHAPE_GRAMS])
+    return next(positions_of([text]))
 
 
 def about(text: str, title: str | None) -> tuple[int, int]:
@@ -158,14 +189,22 @@ def starts(length: int) -> list[int]:
     return [0] if length <= WINDOW else [*range(0, length - WINDOW, STRIDE), length - WINDOW]
 
 
-def score(text: str, title: str | None, weights: np.ndarray, bias: float) -> float:
-    """Largest window score of a text."""
-    per_sign = weights[positions(text)].sum(axis=0)
-    total = np.concatenate([[0.0], np.cumsum(per_sign)])
-    s = np.array(starts(len(text)))
-    e = np.minimum(s + WINDOW, len(text))
-    whole = bias + weights[context(*about(text, title))].sum()
-    return float(whole + ((total[e] - total[s]) / np.sqrt(5 * (e - s))).max())
+def scores(texts: list[str], titles: list, weights: np.ndarray, bias: float) -> list[float]:
+    """Largest window score of each text."""
+    out: list[float] = []
+    at = 0
+    while at < len(texts):
+        part, size = at, 0
+        while at < len(texts) and (at == part or size + len(texts[at]) <= STRETCH):  # bounded memory, whatever the texts
+            size += len(texts[at])
+            at += 1
+        for text, title, features in zip(texts[part:at], titles[part:at], positions_of(texts[part:at]), strict=True):
+            total = np.concatenate([[0.0], np.cumsum(weights[features].sum(axis=0))])
+            s = np.array(starts(len(text)))
+            e = np.minimum(s + WINDOW, len(text))
+            whole = bias + weights[context(*about(text, title))].sum()
+            out.append(float(whole + ((total[e] - total[s]) / np.sqrt(np.maximum(5 * (e - s), 1))).max()))
+    return out
 
 
 def fit(rows: list[tuple[np.ndarray, list[int], int]], l2: float = 1e-6, rate: float = 0.3, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -187,11 +226,9 @@ def fit(rows: list[tuple[np.ndarray, list[int], int]], l2: float = 1e-6, rate: f
         for part in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 256)):
             z = (w[x[part]] * scale[part]).sum(axis=1) + bias
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight_of[part] / len(part)
-            flat = x[part].ravel()
-            touched, back = np.unique(flat, return_inverse=True)
-            grad = np.bincount(back, (err[:, None] * scale[part]).ravel()) + l2 * w[touched]
-            g2[touched] += grad**2
-            w[touched] -= rate * grad / np.sqrt(g2[touched])
+            grad = np.bincount(x[part].ravel(), (err[:, None] * scale[part]).ravel(), minlength=len(w)) + l2 * w
+            g2 += grad**2
+            w -= rate * grad / np.sqrt(g2)
             w[-1] = 0
             bias2 += err.sum() ** 2
             bias -= rate * err.sum() / np.sqrt(bias2)
@@ -212,7 +249,7 @@ def residue_scores(abstracts: DataFrame, works: DataFrame, sample_windows: int =
         for b in batches:
             rows = []
             for text, title, flagged in zip(b["text"], b["title"], b["flagged"], strict=True):
-                spans = [(m.start(), m.end()) for m in SEEDS.finditer(text)]
+                spans = phrases(text)
                 if not spans and flagged:
                     continue
                 words, shared = about(text, title)
@@ -227,20 +264,20 @@ def residue_scores(abstracts: DataFrame, works: DataFrame, sample_windows: int =
     # one window of each wording, those of the smallest hash: bounded, the same on every run, and not led by common texts
     wording = windows.groupBy("label", F.xxhash64(F.regexp_replace("window", "[0-9]+", "0")).alias("h")).agg(F.min(F.struct("window", "width", "words", "shared")).alias("w"))
     taken = topn_per_key(wording, ["label"], [F.asc("h")], sample_windows).orderBy("label", "h").collect()
-    rows = [(positions(r["w"]["window"])[:, : r["w"]["width"]].ravel(), context(r["w"]["words"], r["w"]["shared"]), r["label"]) for r in taken]
+    rows = [(f[:, : r["w"]["width"]].ravel(), context(r["w"]["words"], r["w"]["shared"]), r["label"]) for r, f in zip(taken, positions_of([r["w"]["window"] for r in taken]), strict=True)]
     negatives = [(r["w"]["window"], r["w"]["words"], r["w"]["shared"]) for r in taken if r["label"] == 0]
     if not negatives:
         empty = spark.createDataFrame([], "work_id string, host string, score double, is_case boolean")
         return empty, {"windows": len(rows), "threshold": None, "precision": None, "recall": None}
-    for text, words, shared in real_examples(negatives):
-        features, ctx = positions(text), context(words, shared)
-        rows += [(features[:, at : at + WINDOW].ravel(), ctx, 0) for at in starts(len(text))]
-    for text, x, y, words, shared in planted(negatives):
-        features, ctx = positions(text), context(words, shared)
+    real = list(real_examples(negatives))
+    for (text, words, shared), f in zip(real, positions_of([x[0] for x in real]), strict=True):
+        rows += [(f[:, at : at + WINDOW].ravel(), context(words, shared), 0) for at in starts(len(text))]
+    put = list(planted(negatives))
+    for (text, x, y, words, shared), f in zip(put, positions_of([x[0] for x in put]), strict=True):
         for at in starts(len(text)):
             e = min(at + WINDOW, len(text))
             if max(0, min(e, y) - max(at, x)) >= 0.9 * min(y - x, WINDOW):
-                rows.append((features[:, at:e].ravel(), ctx, 1))
+                rows.append((f[:, at:e].ravel(), context(words, shared), 1))
     weights, bias = fit(rows)
     model = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
 
@@ -249,8 +286,8 @@ def residue_scores(abstracts: DataFrame, works: DataFrame, sample_windows: int =
         for b in batches:
             c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             texts_, titles = c["text"].to_pylist(), c["title"].to_pylist()
-            got = [score(t, h, w, b0) for t, h in zip(texts_, titles, strict=True)]
-            seeded = [SEEDS.search(t) is not None for t in texts_]
+            got = scores(texts_, titles, w, b0)
+            seeded = [bool(phrases(t)) for t in texts_]
             yield pa.RecordBatch.from_arrays([c["work_id"], c["host"], c["unseen"], c["flagged"], pa.array(seeded, pa.bool_()), pa.array(got, pa.float64())], ["work_id", "host", "unseen", "flagged", "seeded", "score"])
 
     judged = scratch.write(texts.mapInArrow(judge, "work_id string, host string, unseen boolean, flagged boolean, seeded boolean, score double"), "judged")
