@@ -24,20 +24,19 @@ def candidate_scores(pairs: DataFrame, paths: DataFrame, motifs: DataFrame, alph
     Both directions of every pair with a gap are candidates, observed or not (``observed``: edges (src, dst) to leave out); a pair that never
     occurred has gap 1.  Ranges are taken after the filter on positive evidence.
     """
-    gaps = pairs.where("gap_bonus > 0")
-    keys = [gaps.select("u", "v"), gaps.select(F.col("v").alias("u"), F.col("u").alias("v"))]
-    zero = {"path_support_raw": 0.0, "mediator_count": 0, "hub_penalty": 0.0, "motif_count": 0, "motif_bonus_raw": 0.0}
-    parts = [paths.select("u", "v", *[F.col(c) if c in paths.columns else F.lit(z).alias(c) for c, z in zero.items()]), motifs.select("u", "v", *[F.col(c) if c in motifs.columns else F.lit(z).alias(c) for c, z in zero.items()])]
-    parts += [k.select("u", "v", *[F.lit(z).alias(c) for c, z in zero.items()]) for k in keys]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    # one aggregation over the union stands for the outer joins of the feature tables
-    rows = rows.groupBy("u", "v").agg(*[F.sum(c).alias(c) for c in zero]).where("u <> v")
+    sums = {"path_support_raw": 0.0, "mediator_count": 0, "hub_penalty": 0.0, "motif_count": 0, "motif_bonus_raw": 0.0}
+    seen = {"gap_bonus": "double", "cooc_count": "long", "first_year_seen": "int", "last_year_seen": "int"}
+
+    def part(df: DataFrame, u: str, v: str, linked: int) -> DataFrame:
+        have = lambda c, other: F.col(c) if c in df.columns else other
+        cols = [have(c, F.lit(z)).alias(c) for c, z in sums.items()] + [have(c, F.lit(None)).cast(t).alias(c) for c, t in seen.items()]
+        return df.select(F.col(u).alias("u"), F.col(v).alias("v"), F.lit(linked).alias("linked"), *cols)
+
+    # one aggregation over the union stands for the outer joins of the feature tables; pairs enter in both directions
+    rows = part(paths, "u", "v", 1).unionByName(part(motifs, "u", "v", 1)).unionByName(part(pairs, "u", "v", 0)).unionByName(part(pairs, "v", "u", 0))
+    rows = rows.groupBy("u", "v").agg(F.max("linked").alias("linked"), *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in seen]).where("u <> v and (linked = 1 or gap_bonus > 0)").drop("linked")
     if observed is not None:
         rows = rows.join(observed.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti")
-    keyed = pairs.select(F.col("u").alias("lo"), F.col("v").alias("hi"), "gap_bonus", "cooc_count", "first_year_seen", "last_year_seen")
-    rows = rows.withColumn("lo", F.least("u", "v")).withColumn("hi", F.greatest("u", "v")).join(keyed, ["lo", "hi"], "left").drop("lo", "hi")
     rows = rows.withColumn("gap_bonus", F.coalesce("gap_bonus", F.lit(1.0))).withColumn("cooc_count", F.coalesce("cooc_count", F.lit(0)).cast("long"))
     rows = rows.where("path_support_raw > 0 or motif_bonus_raw > 0 or gap_bonus > 0").withColumnRenamed("hub_penalty", "hub_penalty_raw")
     rows = Scratch(rows.sparkSession, "candidates").write(rows, "features")  # read twice: for the ranges and for the scores
