@@ -74,6 +74,23 @@ def paths_3(claims: DataFrame, cutoff: int | None = None, n: int = 30) -> DataFr
     return rows.select("u", "w1", "w2", "v", (total * disc).alias("support"), (total * (1 - disc)).alias("penalty"))
 
 
+def support_3(claims: DataFrame, cutoff: int | None = None, n: int = 30) -> DataFrame:
+    """Number and summed support of the paths of ``paths_3`` per missing link (u, v).
+
+    The last two hops are summed per (w1, v) once and the first hop joins those sums, so single paths are never written; observed links are
+    dropped after the aggregation, when there is one row per link.
+    """
+    edges = edge_aggregate(claims, cutoff)
+    top = _strongest(edges, "src", "dst", "weight", min(n, 30)).select("src", "dst", "weight")
+    degree = node_degree(edges).select("node", (1 + F.log1p("degree")).alias("h"))
+    disc = top.join(degree, top["dst"] == degree["node"]).select("src", "dst", (F.col("weight") / F.col("h")).alias("x"))
+    b, c = disc.select(F.col("src").alias("w1"), F.col("dst").alias("w2"), F.col("x").alias("y")), top.select(F.col("src").alias("w2"), F.col("dst").alias("v"), F.col("weight").alias("z"))
+    tails = b.join(c, "w2").groupBy("w1", "v").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("y") * F.col("z")).alias("t"))
+    rows = disc.select(F.col("src").alias("u"), F.col("dst").alias("w1"), "x").join(tails, "w1").where("u <> v")
+    sums = rows.groupBy("u", "v").agg(F.sum("k").alias("paths"), F.sum(F.col("x") * F.col("t")).alias("support"))
+    return sums.join(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti")
+
+
 def path_features(claims: DataFrame, cutoff: int | None = None, max_len: int = 2, n: int = 120, top_k: int = 10) -> DataFrame:
     """Support, hub penalty, mediators and best paths per missing link.  Three-hop paths add support but no mediators."""
     two = paths_2(claims, cutoff, n)

@@ -68,6 +68,10 @@ def path_support_3hop(spark, d):
     return p.where("paths >= 2")
 
 
+def path_support_3hop_whole(spark, d):
+    return T.support_3(_c(spark, d), CUTOFF, NEIGHBORS).select("u", "v", "paths", F.round("support", 5).alias("support"))
+
+
 def motif_support(spark, d):
     return T.motif_features(_c(spark, d), CUTOFF, NEIGHBORS).select("u", "v", "motif_count", F.round("motif_bonus_raw", 6).alias("motif_bonus_raw"))
 
@@ -282,7 +286,7 @@ def ego_rings(spark, d):
     return G.ego_rings(T.edge_aggregate(_c(spark, d)), "E0000001", [10, 20]).where("ring > 0").select("node", "ring", "strength")
 
 
-QUERIES = {f.__name__: f for f in (corpus_build, edge_aggregate, evidence_filtered_edges, node_degree, cooccurrence_pairs, path_support_2hop, path_support_3hop, motif_support, top_mediators, candidate_scores, candidate_top100, missing_pairs_antijoin, explain_neighborhoods, neighborhoods_top15, edge_papers_newest, explain_papers, concept_opportunities, first_appearance, future_edges, leakage_audit, backtest_metrics, weighted_metrics_ndcg, baseline_pref_attach, heterogeneity_grouping_sets, vintage_realization, calibration_deciles, time_to_fill_curve, gap_boundary_panel, boundary_rerank, preset_priorities, slice_flags, recency_weighted_edges, cooc_trend, power_calibration, bootstrap_ci, expert_pack, regime_overlap, enrichment_topk, centrality_metrics, pagerank_5, connected_components, backbone_component, ego_rings)}
+QUERIES = {f.__name__: f for f in (corpus_build, edge_aggregate, evidence_filtered_edges, node_degree, cooccurrence_pairs, path_support_2hop, path_support_3hop, path_support_3hop_whole, motif_support, top_mediators, candidate_scores, candidate_top100, missing_pairs_antijoin, explain_neighborhoods, neighborhoods_top15, edge_papers_newest, explain_papers, concept_opportunities, first_appearance, future_edges, leakage_audit, backtest_metrics, weighted_metrics_ndcg, baseline_pref_attach, heterogeneity_grouping_sets, vintage_realization, calibration_deciles, time_to_fill_curve, gap_boundary_panel, boundary_rerank, preset_priorities, slice_flags, recency_weighted_edges, cooc_trend, power_calibration, bootstrap_ci, expert_pack, regime_overlap, enrichment_topk, centrality_metrics, pagerank_5, connected_components, backbone_component, ego_rings)}
 
 # ---------------------------------------------------------------- SQL
 
