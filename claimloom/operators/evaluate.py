@@ -7,7 +7,7 @@ not the square of the nodes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import decile
@@ -69,6 +69,39 @@ def attachment_ranks(train_edges: DataFrame, positives: DataFrame) -> DataFrame:
     return pos.join(above, "p").select("u", "v", "p", "above", "free")
 
 
+def _mean_rank() -> Column:
+    return F.col("above") + (F.col("n") + 1) / 2
+
+
+def scored_ranks(scored: DataFrame, positives: DataFrame, by: str = "score") -> DataFrame:
+    """Rank of each positive (u, v) among scored links by a score of 6 digits, ties at their mean rank; null where it is not scored.
+
+    Counted from a histogram of the distinct scores, cumulated over ranges; only the positives are joined.  A first place for every tied link
+    would let a model of few distinct scores look perfect.
+    """
+    s = scored.select("u", "v", F.round(by, 6).alias("s"))
+    above = running_before(s.groupBy("s").agg(F.count(F.lit(1)).alias("n")), [F.desc("s")], F.col("n"), "above").select("s", _mean_rank().alias("rank"))
+    return positives.join(s, ["u", "v"], "left").join(above, "s", "left").select(*positives.columns, "rank")
+
+
+def gap_ranks(pairs: DataFrame, train_edges: DataFrame, positives: DataFrame, n_nodes: int) -> DataFrame:
+    """Rank of each positive (u, v) among all missing ordered pairs of ``n_nodes`` concepts by co-occurrence gap (1 for a pair that never occurred), ties at their mean rank.
+
+    Pairs that never occurred are counted, not written: all ordered pairs less both directions of the occurring ones.  Observed edges, which
+    are no candidates, are left out of either class; a positive that is an edge of the training has no rank.
+    """
+    both = pairs.select("u", "v", "gap_bonus").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "gap_bonus"))
+    known = train_edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct()
+    seen = both.join(known, ["u", "v"], "left_anti").groupBy(F.round("gap_bonus", 6).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    # an observed edge lies within a paper, so it is one of the occurring pairs: missing and never occurred = all - both directions of the occurring
+    never = pairs.agg((F.lit(n_nodes) * F.lit(n_nodes - 1) - 2 * F.count(F.lit(1))).cast("long").alias("n")).select(F.lit(1.0).alias("g"), "n")
+    free = seen.unionByName(never).groupBy("g").agg(F.sum("n").alias("n"))
+    above = running_before(free, [F.desc("g")], F.col("n"), "above").select("g", _mean_rank().alias("rank"))
+    hits = positives.join(known, ["u", "v"], "left_anti").join(both, ["u", "v"], "left").withColumn("g", F.round(F.coalesce("gap_bonus", F.lit(1.0)), 6))
+    ranks = hits.join(above, "g").select("u", "v", "rank").distinct()
+    return positives.join(ranks, ["u", "v"], "left").select(*positives.columns, "rank")
+
+
 def heterogeneity(claims: DataFrame) -> DataFrame:
     """First-seen edges by source field, decade, causal flag, and field x causal, as grouping sets of one pass."""
     e = claims.groupBy("src", "dst").agg(F.min(F.struct("year", (~F.col("is_causal")).alias("not_causal"))).alias("f"))

@@ -17,6 +17,7 @@ from .plans.skew import topn_per_key
 
 CUTOFF, NEIGHBORS = 1998, 120
 CUTOFFS, HORIZONS = [1997, 1998, 1999, 2000], [1, 3]
+BACKTEST_HORIZONS, BACKTEST_KS = [1, 3, 5], [50, 100, 500, 1000]
 
 
 def _c(spark: SparkSession, d: str) -> DataFrame:
@@ -154,12 +155,50 @@ def backtest_metrics(spark, d):
     return E.ranking_metrics(rows, ["cutoff", "horizon"], [100, 1000])
 
 
+def _backtest(spark, c):
+    """Positives (model, cutoff, horizon, u, v, rank) of the three models, for every cutoff min + 1 .. max - 1 and horizon that the years hold; tied links share their mean rank."""
+    years, rows = c.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).first(), None
+    nodes = c.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
+    scratch = Scratch(spark, "backtest")
+    first = scratch.write(E.first_appearance(c), "first")
+    for t in range(years["lo"] + 1, years["hi"]):
+        hs = [h for h in BACKTEST_HORIZONS if t + h <= years["hi"]]
+        if not hs:
+            continue
+        pos = scratch.write(E.future_links(first, [t], hs).select("cutoff", "horizon", "u", "v"), f"pos-{t}")
+        pairs = scratch.write(T.underexplored_pairs(c, 2, t - 1), f"pairs-{t}")
+        train = scratch.write(T.edge_aggregate(c, t - 1), f"train-{t}")
+        main = R.candidate_scores(pairs, T.path_features(c, t - 1, 2, NEIGHBORS), T.motif_features(c, t - 1, NEIGHBORS))
+        attach = E.attachment_ranks(train, pos.select("u", "v").distinct()).select("u", "v", (F.col("above") + (F.col("free") + 1) / 2).alias("rank"))
+        models = {
+            "main": E.scored_ranks(scratch.write(main.select("u", "v", F.round("score", 6).alias("score")), f"main-{t}"), pos), "cooc_gap": E.gap_ranks(pairs, train, pos, nodes),
+            "pref_attach": pos.join(attach, ["u", "v"], "left").select(*pos.columns, "rank"),
+        }
+        for name, ranks in models.items():
+            part = scratch.write(ranks.withColumn("model", F.lit(name)), f"{name}-ranks-{t}")
+            rows = part if rows is None else rows.unionByName(part)
+        for name in (f"pairs-{t}", f"train-{t}", f"main-{t}"):
+            scratch.drop(name)
+    return rows
+
+
+def backtest_metrics_whole(spark, d):
+    c = _corpus(spark, d)
+    return E.ranking_metrics(_backtest(spark, c), ["model", "cutoff", "horizon"], BACKTEST_KS)
+
+
 def weighted_metrics_ndcg(spark, d):
     c = _corpus(spark, d)
     n = c.groupBy(F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.count_distinct("paper_id").alias("papers"))
     return E.weighted_metrics(_ranked_future(spark, c, 1996, 3).join(n, ["u", "v"]), ["cutoff", "horizon"], 1000)
 
 
+def weighted_metrics_ndcg_whole(spark, d):
+    c = _corpus(spark, d)
+    n = c.groupBy(F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.count_distinct("paper_id").alias("papers"))
+    return E.weighted_metrics(_backtest(spark, c).join(n, ["u", "v"]), ["model", "cutoff", "horizon"], 1000)
+
+
 def baseline_pref_attach(spark, d):
     c = _corpus(spark, d)
     train = T.edge_aggregate(c, 1996)
@@ -286,7 +325,7 @@ def ego_rings(spark, d):
     return G.ego_rings(T.edge_aggregate(_c(spark, d)), "E0000001", [10, 20]).where("ring > 0").select("node", "ring", "strength")
 
 
-QUERIES = {f.__name__: f for f in (corpus_build, edge_aggregate, evidence_filtered_edges, node_degree, cooccurrence_pairs, path_support_2hop, path_support_3hop, path_support_3hop_whole, motif_support, top_mediators, candidate_scores, candidate_top100, missing_pairs_antijoin, explain_neighborhoods, neighborhoods_top15, edge_papers_newest, explain_papers, concept_opportunities, first_appearance, future_edges, leakage_audit, backtest_metrics, weighted_metrics_ndcg, baseline_pref_attach, heterogeneity_grouping_sets, vintage_realization, calibration_deciles, time_to_fill_curve, gap_boundary_panel, boundary_rerank, preset_priorities, slice_flags, recency_weighted_edges, cooc_trend, power_calibration, bootstrap_ci, expert_pack, regime_overlap, enrichment_topk, centrality_metrics, pagerank_5, connected_components, backbone_component, ego_rings)}
+QUERIES = {f.__name__: f for f in (corpus_build, edge_aggregate, evidence_filtered_edges, node_degree, cooccurrence_pairs, path_support_2hop, path_support_3hop, path_support_3hop_whole, motif_support, top_mediators, candidate_scores, candidate_top100, missing_pairs_antijoin, explain_neighborhoods, neighborhoods_top15, edge_papers_newest, explain_papers, concept_opportunities, first_appearance, future_edges, leakage_audit, backtest_metrics, backtest_metrics_whole, weighted_metrics_ndcg, weighted_metrics_ndcg_whole, baseline_pref_attach, heterogeneity_grouping_sets, vintage_realization, calibration_deciles, time_to_fill_curve, gap_boundary_panel, boundary_rerank, preset_priorities, slice_flags, recency_weighted_edges, cooc_trend, power_calibration, bootstrap_ci, expert_pack, regime_overlap, enrichment_topk, centrality_metrics, pagerank_5, connected_components, backbone_component, ego_rings)}
 
 # ---------------------------------------------------------------- SQL
 

@@ -1,7 +1,8 @@
 """Whole jobs against brute force over the smallest tables."""
 
 import math
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -43,3 +44,47 @@ def test_three_hops_of_all_years_with_full_fan_out(spark, rows):
     got = {(r["u"], r["v"]): (r["paths"], r["support"]) for r in Q.QUERIES["path_support_3hop_whole"](spark, D).collect()}
     assert got.keys() == want.keys() and all(got[k][0] == n and got[k][1] == pytest.approx(s, abs=1e-4, rel=1e-6) for k, (n, s) in want.items())
     assert len(got) > Q.QUERIES["path_support_3hop"](spark, D).count()
+
+
+def test_backtest_has_every_cutoff_horizon_and_model(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from claimloom.operators import features as T
+    from claimloom.operators import ranking as R
+
+    rng = random.Random(7)
+    rows = [(f"p{rng.randint(0, 30)}", rng.randint(2000, 2003), *rng.sample("ABCDEFGH", 2), float(rng.randint(1, 3)), True, 1.0) for _ in range(45)]
+    year = {}
+    rows = [(p, year.setdefault(p, y), *r) for p, y, *r in rows]
+    c = spark.createDataFrame(rows, "paper_id string, year int, src string, dst string, weight double, is_causal boolean, stability double")
+    monkeypatch.setattr(Q, "claims", lambda s, d: c)
+    got = {(r["model"], r["cutoff"], r["horizon"]): r for r in Q.QUERIES["backtest_metrics_whole"](spark, D).collect()}
+    lo, hi = min(year.values()), max(year.values())
+    nodes = sorted({x for r in rows for x in r[2:4]})
+    want = set()
+    for t in range(lo + 1, hi):
+        train = {(r[2], r[3]) for r in rows if r[1] < t}
+        papers = defaultdict(set)
+        for p, y, a, b, *_ in rows:
+            if y < t:
+                papers[p] |= {a, b}
+        cooc = lambda u, v: sum({u, v} <= x for x in papers.values())
+        missing = [(u, v) for u in nodes for v in nodes if u != v and (u, v) not in train]
+        out, inn = (Counter(e[i] for e in train) for i in (0, 1))
+        main = R.candidate_scores(T.underexplored_pairs(c, 2, t - 1), T.path_features(c, t - 1, 2, 120), T.motif_features(c, t - 1, 120))
+        scores = {
+            "main": {(r["u"], r["v"]): r["s"] for r in main.select("u", "v", F.round("score", 6).alias("s")).collect()},
+            "cooc_gap": {e: max(0, 2 - cooc(*e)) / 2 for e in missing}, "pref_attach": {e: out[e[0]] * inn[e[1]] for e in missing if out[e[0]] * inn[e[1]]},
+        }
+        for h in (x for x in (1, 3, 5) if t + x <= hi):
+            first = {}
+            for r in rows:
+                first[r[2], r[3]] = min(r[1], first.get((r[2], r[3]), 9999))
+            pos = [e for e, y in first.items() if t <= y <= t + h]
+            for m, s in scores.items():
+                ranks = [sum(x > s[e] for x in s.values()) + (sum(x == s[e] for x in s.values()) + 1) / 2 for e in pos if e in s]
+                r = got[m, t, h]
+                assert r["positives"] == len(pos) and r["mrr"] == pytest.approx(sum(1 / x for x in ranks) / len(pos), abs=1e-5), (m, t, h)
+                assert [r[f"hits_{k}"] for k in (50, 100, 500, 1000)] == [sum(x <= k for x in ranks) for k in (50, 100, 500, 1000)]
+                want.add((m, t, h))
+    assert got.keys() == want
