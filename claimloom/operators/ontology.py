@@ -158,6 +158,76 @@ def duplicate_scores(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return rows.select("u", "v", *parts, protected.alias("protected"), F.round(score, 6).alias("duplicate_score"))
 
 
+_SIGNATURES = ("normalized_label", "no_paren_signature", "punctuation_signature", "singular_signature", "paren_acronym", "initialism_signature")
+# Labels that are related but never the same concept.
+PROTECTED_LABELS = [("inflation", "inflation expectations")]
+
+
+def concept_profiles(heads: DataFrame, neighbors: DataFrame, countries: DataFrame, units: DataFrame) -> DataFrame:
+    """Profiles (id, raw, label, tokens, signature sets, neighbors, countries, units) of concepts (concept_id, preferred_label, aliases_json).
+
+    Signatures and tokens are sets over the preferred label and all aliases; ``countries`` and ``units`` are (id, value) rows.  A null or broken list of
+    aliases counts as empty.
+    """
+    names = F.filter(F.coalesce(F.from_json("aliases_json", "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    h = heads.select(F.col("concept_id").alias("id"), F.coalesce("preferred_label", F.lit("")).alias("raw"), names.alias("names"))
+    rows = h.select("id", "raw", F.explode(F.array_union(F.array("raw"), F.col("names"))).alias("name"))
+    rows = rows.select("id", "raw", L.tokens(F.col("name")).alias("tokens"), *[L.signatures(F.col("name"))[k].alias(k) for k in _SIGNATURES])
+    sets = [F.array_remove(F.collect_set(k), "").alias(k) for k in _SIGNATURES]
+    out = rows.groupBy("id").agg(F.min("raw").alias("raw"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"), *sets).withColumn("label", L.normalized(F.col("raw")))
+    out = out.join(neighbors, "id", "left")
+    for name, df in (("countries", countries), ("units", units)):
+        out = out.join(df.groupBy("id").agg(F.collect_set("value").alias(name)), "id", "left")
+    return out.select(*[c for c in out.columns if c not in ("neighbors", "countries", "units")], *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("neighbors", "countries", "units")])
+
+
+def family_scores(pairs: DataFrame, profiles: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """Hard same-family reason and soft duplicate score of concept pairs (u, v) from ``concept_profiles``.
+
+    ``reviewed`` holds (a, b, same): normalised labels with a <= b; a pair that was found different is never blocked.  The rules are ordered; a pair
+    with contrasting tokens is protected from all of them.  Similarity of embeddings and of corpus buckets is not among the terms.
+    """
+    p = lambda c: profiles.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in profiles.columns if x != "id"])
+    rows = pairs.select("u", "v").join(p("u"), "u").join(p("v"), "v").withColumn("a", F.least("u_label", "v_label")).withColumn("b", F.greatest("u_label", "v_label"))
+    rows = rows.join(reviewed.groupBy("a", "b").agg(F.min(F.col("same").cast("int")).alias("same")), ["a", "b"], "left")
+    meet = lambda x, y: F.arrays_overlap(F.col(f"u_{x}"), F.col(f"v_{y}"))
+    acronyms = meet("paren_acronym", "paren_acronym") | meet("paren_acronym", "initialism_signature") | meet("initialism_signature", "paren_acronym")
+    apart = L.jaccard(L.tokens(F.col("u_raw")), L.tokens(F.col("v_raw"))) < 0.25
+    rows = rows.withColumn("_acronyms", acronyms).withColumn("_apart", apart)
+    ask = F.col("_acronyms") | F.col("_apart")
+    rows = rows.withColumn("_ratio", L.sequence_ratio(F.when(ask, F.col("u_label")), F.when(ask, F.col("v_label"))))
+    a, b, shared = F.col("u_tokens"), F.col("v_tokens"), F.size(F.array_intersect("u_tokens", "v_tokens"))
+    protected = L.contrast(a, b)
+    for x, y in PROTECTED_LABELS:
+        protected = protected | ((F.col("a") == x) & (F.col("b") == y))
+    alias = F.when(meet("normalized_label", "normalized_label") | meet("no_paren_signature", "no_paren_signature"), 1.0).when(meet("punctuation_signature", "punctuation_signature") | meet("singular_signature", "singular_signature"), 0.8)
+    alias = alias.when(meet("paren_acronym", "paren_acronym") | meet("initialism_signature", "initialism_signature"), 0.6).otherwise(0.0)
+    parts = {
+        "containment": (0.22, L.containment(a, b)), "substring_share": (0.15, L.substring_share(F.col("u_label"), F.col("v_label"))), "lexical_overlap": (0.10, L.jaccard(a, b)),
+        "shared_tokens": (0.03, F.when(shared >= 2, shared / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))).otherwise(0.0)), "alias_overlap": (0.15, alias),
+        "neighbor_overlap": (0.10, L.jaccard(F.col("u_neighbors"), F.col("v_neighbors"))), "context_overlap": (0.03, 0.5 * L.jaccard(F.col("u_countries"), F.col("v_countries")) + 0.5 * L.jaccard(F.col("u_units"), F.col("v_units"))),
+    }
+    total = F.lit(0.0)
+    for k, (w, c) in parts.items():
+        rows = rows.withColumn(k, F.round(c, 6))
+        total = total + w * F.col(k)
+    rows = rows.withColumn("protected", protected).withColumn("contradiction", F.coalesce(F.col("_apart") & (F.col("_ratio") < 0.55), F.lit(False)))
+    reason = F.when((F.col("same") == 0) | F.col("protected"), "").when(F.col("same") == 1, "manual_same_concept_review").when(F.col("u_label") == F.col("v_label"), "exact_normalized_label")
+    reason = reason.when(meet("normalized_label", "normalized_label"), "alias_normalized_overlap").when(meet("no_paren_signature", "no_paren_signature"), "no_paren_signature_overlap")
+    reason = reason.when(meet("punctuation_signature", "punctuation_signature") | meet("singular_signature", "singular_signature"), "formatting_or_singular_variant")
+    reason = reason.when(F.col("_acronyms") & (F.col("_ratio") >= 0.60), "explicit_acronym_equivalence").otherwise("")
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), total * F.when(F.col("contradiction"), 0.5).otherwise(1.0) * F.when(F.col("protected"), 0.15).otherwise(1.0)))
+    return rows.select("u", "v", *parts, "contradiction", "protected", reason.alias("reason"), F.round(score, 6).alias("duplicate_score"))
+
+
+def family_ranking(ranked: DataFrame, scores: DataFrame, strength: float = 0.5) -> DataFrame:
+    """Final rank after duplicate suppression: pairs with a hard reason are blocked, the rest lose strength x score (``ranked`` is a bounded list)."""
+    j = ranked.join(scores.select("u", "v", "duplicate_score", "reason"), ["u", "v"], "left").fillna({"duplicate_score": 0.0, "reason": ""})
+    kept = j.where("reason = ''").withColumn("final_score", F.round(F.col("score") - strength * F.col("duplicate_score"), 6))
+    n = F.row_number().over(Window.orderBy(F.desc("final_score"), F.desc("score"), "u", "v"))
+    return kept.select("u", "v", "score", "duplicate_score", "final_score", n.alias("final_rank"), (F.col("rank") - n).alias("shift"))
+
+
 def suppressed_ranking(ranked: DataFrame, scores: DataFrame, strength: float = 0.5, hard: float = 0.95) -> DataFrame:
     """Final rank after duplicate penalties: pairs at or above ``hard`` are blocked, the rest lose strength x score."""
     j = ranked.join(scores.select("u", "v", "duplicate_score", "protected"), ["u", "v"], "left").fillna({"duplicate_score": 0.0, "protected": False})

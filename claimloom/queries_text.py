@@ -112,6 +112,29 @@ def suppression_final_rank(spark, d):
     return out.select("u", "v", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("int").alias("final_rank"), F.col("shift").cast("int").alias("shift"))
 
 
+def _family(spark, d):
+    h = table(spark, d, "head_concepts").where("instance_support > 0")
+    e = O.concept_weights(_lifted(spark, d))
+    near = e.select(F.col("src").alias("id"), F.col("dst").alias("x")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("x"))).groupBy("id").agg(F.collect_set("x").alias("neighbors"))
+    first = lambda df, at: df.groupBy("custom_id", "node_id").agg(F.min(F.struct("ingested_at", *at)).alias("f")).select("custom_id", "node_id", "f.*")
+    n = first(table(spark, d, "nodes"), ["countries_json", "unit_of_analysis_json"])
+    m = first(table(spark, d, "instance_mappings_soft"), ["concept_id"]).where("concept_id <> ''").select("custom_id", "node_id", F.col("concept_id").alias("id"))
+    context = m.join(n, ["custom_id", "node_id"])
+    of = lambda c: O.top_values(context.select("id", F.explode(F.from_json(c, "array<string>")).alias("value")), "id", "value", 5)
+    r = table(spark, d, "manual_overrides").where("override_kind in ('merge_pair', 'block_pair')")
+    reviewed = r.select(F.least("left_normalized_label", "right_normalized_label").alias("a"), F.greatest("left_normalized_label", "right_normalized_label").alias("b"), (F.col("override_kind") == "merge_pair").alias("same"))
+    pairs = e.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    return e, O.family_scores(pairs, O.concept_profiles(h, near, of("countries_json"), of("unit_of_analysis_json")), reviewed)
+
+
+def suppression_final_rank_whole(spark, d):
+    from .operators.ranking import top_ranked
+
+    e, s = _family(spark, d)
+    w = e.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("weight").alias("score"))
+    return O.family_ranking(top_ranked(w, 100_000), s).select("u", "v", "duplicate_score", "final_score", F.col("final_rank").cast("int").alias("final_rank"), F.col("shift").cast("int").alias("shift"))
+
+
 def display_refinement(spark, d):
     return B.display_labels(table(spark, d, "instance_mappings_hard"), table(spark, d, "head_concepts"))
 
@@ -194,7 +217,7 @@ def event_windows(spark, d):
     return e.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
-QUERIES = {f.__name__: f for f in (label_signatures, preferred_label, label_histograms, head_pool_cumulative, head_rank_zscores, signature_candidate_pairs, signature_unique_map, token_shortlist, embedding_knn_top3, embedding_margin_decision, concept_edge_list, concept_edge_weights, concept_edge_profiles, pair_summary_signs, duplicate_soft_score, suppression_final_rank, display_refinement, abstract_quality, rebuilt_abstracts, works_deduplicated, works_overlay, combined_sources, source_classes, extraction_qa, enum_shares, gate_grid, source_quality_rank, source_summary, mention_series, freshness_audit, stratified_sample, search_rank, fuzzy_title_match, question_filter, event_windows)}
+QUERIES = {f.__name__: f for f in (label_signatures, preferred_label, label_histograms, head_pool_cumulative, head_rank_zscores, signature_candidate_pairs, signature_unique_map, token_shortlist, embedding_knn_top3, embedding_margin_decision, concept_edge_list, concept_edge_weights, concept_edge_profiles, pair_summary_signs, duplicate_soft_score, suppression_final_rank, suppression_final_rank_whole, display_refinement, abstract_quality, rebuilt_abstracts, works_deduplicated, works_overlay, combined_sources, source_classes, extraction_qa, enum_shares, gate_grid, source_quality_rank, source_summary, mention_series, freshness_audit, stratified_sample, search_rank, fuzzy_title_match, question_filter, event_windows)}
 
 # ---------------------------------------------------------------- SQL
 
