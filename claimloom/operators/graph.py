@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from ..plans.scratch import Scratch
 from ..plans.skew import hot_keys, salted_join
 
 
-def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.85, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.85, every: int = 5, tolerance: float | None = None) -> DataFrame:
     """(node, pagerank) by weighted power iteration over (src, dst, weight); dangling mass is spread evenly.
 
-    Lineage is cut by a written table every few rounds; the total of the dangling mass is one row, broadcast.
+    Lineage is cut by a written table every few rounds; the total of the dangling mass is one row, broadcast.  With a ``tolerance`` the rounds go on,
+    whatever ``iterations`` says, until two written tables differ by at most that in sum; the rank is then within alpha^every / (1 - alpha^every) of it.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "pagerank")
@@ -25,12 +28,21 @@ def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.85, every:
         return spark.createDataFrame([], "node string, pagerank double")
     hubs = hot_keys(step, "src")
     rank = nodes.withColumn("pagerank", F.lit(1.0 / n))
-    for r in range(1, iterations + 1):
+    last = None
+    for r in count(1):
         sent = salted_join(step, rank.select(F.col("node").alias("src"), "pagerank"), "src", "inner", hot=hubs).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
         dangling = rank.agg(F.coalesce(F.sum(F.when(F.col("has_out").isNull(), F.col("pagerank"))), F.lit(0.0)).alias("loose"))
         rank = nodes.join(sent, "node", "left").crossJoin(F.broadcast(dangling)).select("node", "has_out", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("pagerank"))
-        if r % every == 0 or r == iterations:
+        if r % every == 0 or (tolerance is None and r == iterations):
             rank = scratch.write(rank, f"rank-{r}")
+            if tolerance is not None and last is not None:
+                moved = rank.join(last.select("node", F.col("pagerank").alias("old")), "node").agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
+                scratch.drop(f"rank-{r - every}")
+                if moved <= tolerance:
+                    break
+            last = rank
+        if tolerance is None and r >= iterations:
+            break
     return rank.select("node", "pagerank")
 
 

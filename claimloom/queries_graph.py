@@ -312,6 +312,10 @@ def pagerank_5(spark, d):
     return G.pagerank(T.edge_aggregate(_c(spark, d)), 5).select("node", F.round("pagerank", 9).alias("pagerank"))
 
 
+def pagerank_whole(spark, d):
+    return G.pagerank(T.edge_aggregate(_c(spark, d)), tolerance=1e-10).select("node", F.round("pagerank", 9).alias("pagerank"))
+
+
 def connected_components(spark, d):
     e = T.edge_aggregate(_c(spark, d)).where("n >= 2")
     return G.components(e.select(F.col("src").alias("u"), F.col("dst").alias("v")))
@@ -325,7 +329,7 @@ def ego_rings(spark, d):
     return G.ego_rings(T.edge_aggregate(_c(spark, d)), "E0000001", [10, 20]).where("ring > 0").select("node", "ring", "strength")
 
 
-QUERIES = {f.__name__: f for f in (corpus_build, edge_aggregate, evidence_filtered_edges, node_degree, cooccurrence_pairs, path_support_2hop, path_support_3hop, path_support_3hop_whole, motif_support, top_mediators, candidate_scores, candidate_top100, missing_pairs_antijoin, explain_neighborhoods, neighborhoods_top15, edge_papers_newest, explain_papers, concept_opportunities, first_appearance, future_edges, leakage_audit, backtest_metrics, backtest_metrics_whole, weighted_metrics_ndcg, weighted_metrics_ndcg_whole, baseline_pref_attach, heterogeneity_grouping_sets, vintage_realization, calibration_deciles, time_to_fill_curve, gap_boundary_panel, boundary_rerank, preset_priorities, slice_flags, recency_weighted_edges, cooc_trend, power_calibration, bootstrap_ci, expert_pack, regime_overlap, enrichment_topk, centrality_metrics, pagerank_5, connected_components, backbone_component, ego_rings)}
+QUERIES = {f.__name__: f for f in (corpus_build, edge_aggregate, evidence_filtered_edges, node_degree, cooccurrence_pairs, path_support_2hop, path_support_3hop, path_support_3hop_whole, motif_support, top_mediators, candidate_scores, candidate_top100, missing_pairs_antijoin, explain_neighborhoods, neighborhoods_top15, edge_papers_newest, explain_papers, concept_opportunities, first_appearance, future_edges, leakage_audit, backtest_metrics, backtest_metrics_whole, weighted_metrics_ndcg, weighted_metrics_ndcg_whole, baseline_pref_attach, heterogeneity_grouping_sets, vintage_realization, calibration_deciles, time_to_fill_curve, gap_boundary_panel, boundary_rerank, preset_priorities, slice_flags, recency_weighted_edges, cooc_trend, power_calibration, bootstrap_ci, expert_pack, regime_overlap, enrichment_topk, centrality_metrics, pagerank_5, pagerank_whole, connected_components, backbone_component, ego_rings)}
 
 # ---------------------------------------------------------------- SQL
 

@@ -88,3 +88,30 @@ def test_backtest_has_every_cutoff_horizon_and_model(spark, monkeypatch):
                 assert [r[f"hits_{k}"] for k in (50, 100, 500, 1000)] == [sum(x <= k for x in ranks) for k in (50, 100, 500, 1000)]
                 want.add((m, t, h))
     assert got.keys() == want
+
+
+def test_pagerank_is_the_fixed_point(spark, rows):
+    import numpy as np
+
+    e = edges_of(rows, 9999)
+    nodes = sorted({x for k in e for x in k})
+    at = {x: i for i, x in enumerate(nodes)}
+    m = np.zeros((len(nodes), len(nodes)))
+    for (a, b), w in e.items():
+        m[at[b], at[a]] = w
+    total = m.sum(axis=0)
+    m = np.where(total > 0, m / np.where(total > 0, total, 1), 1 / len(nodes))
+    want = np.linalg.solve(np.eye(len(nodes)) - 0.85 * m, np.full(len(nodes), 0.15 / len(nodes)))
+    got = {r["node"]: r["pagerank"] for r in Q.QUERIES["pagerank_whole"](spark, D).collect()}
+    assert got.keys() == set(nodes) and max(abs(got[x] - want[at[x]]) for x in nodes) < 2e-9
+
+
+def test_pagerank_goes_on_where_paths_are_long(spark):
+    from claimloom.operators import graph as G
+
+    n = 12
+    ring = spark.createDataFrame([(f"n{i:02d}", f"n{(i + 1) % n:02d}", 1.0) for i in range(n)] + [("x", "n00", 1.0)], "src string, dst string, weight double")
+    got = {r["node"]: r["pagerank"] for r in G.pagerank(ring, tolerance=1e-6).collect()}
+    x = 0.15 / (n + 1)
+    first = (x * sum(0.85**k for k in range(n)) + 0.85 * x) / (1 - 0.85**n)
+    assert got["x"] == pytest.approx(x) and got["n00"] == pytest.approx(first, abs=1e-6)
