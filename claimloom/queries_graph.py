@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,8 +79,8 @@ def motif_support(spark, d):
     return T.motif_features(_c(spark, d), CUTOFF, NEIGHBORS).select("u", "v", "motif_count", F.round("motif_bonus_raw", 6).alias("motif_bonus_raw"))
 
 
-def top_mediators(spark, d):
-    m = T.ranked_paths(_c(spark, d), 1996, NEIGHBORS, 3)
+def top_mediators(spark, d, cutoff=1996):
+    m = T.ranked_paths(_c(spark, d), cutoff, NEIGHBORS, 3)
     return m.select("u", "v", F.col("w").alias("mediator"), "support", F.col("rank").cast("int").alias("rank"))
 
 
@@ -111,15 +113,15 @@ def edge_papers_newest(spark, d):
     return topn_per_key(p, ["src", "dst"], [F.desc("year"), F.asc("paper_id")], 3, "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
-def explain_papers(spark, d):
+def explain_papers(spark, d, cutoff=1996):
     c = _corpus(spark, d)
-    links = R.top_ranked(T.path_features(c, 1996, 2, NEIGHBORS), 50, "path_support_raw")
-    return X.supporting_papers(links, T.ranked_paths(c, 1996, NEIGHBORS, 3), c.where("year <= 1996"), 2).withColumn("paper_rank", F.col("paper_rank").cast("int"))
+    links = R.top_ranked(T.path_features(c, cutoff, 2, NEIGHBORS), 50, "path_support_raw")
+    return X.supporting_papers(links, T.ranked_paths(c, cutoff, NEIGHBORS, 3), c.where(F.col("year") <= cutoff), 2).withColumn("paper_rank", F.col("paper_rank").cast("int"))
 
 
-def concept_opportunities(spark, d):
+def concept_opportunities(spark, d, cutoff=1996):
     c = _c(spark, d)
-    p = T.path_features(c, 1996, 2, NEIGHBORS).select("u", "v", F.round("path_support_raw", 6).alias("score"))
+    p = T.path_features(c, cutoff, 2, NEIGHBORS).select("u", "v", F.round("path_support_raw", 6).alias("score"))
     return X.links_by_concept(p, 5).withColumn("rank", F.col("rank").cast("int"))
 
 
@@ -244,15 +246,15 @@ def boundary_rerank(spark, d):
     return R.boundary_rerank(_demo_list(spark, d), 0.0, 0.2, 100).where("rank <= 100").select("u", "v", F.col("rank").cast("int").alias("rank"))
 
 
-def preset_priorities(spark, d):
-    e = R.enriched(_scored(spark, d, 1996))
+def preset_priorities(spark, d, cutoff=1996):
+    e = R.enriched(_scored(spark, d, cutoff))
     p = R.preset_scores(e)
     best = topn_per_key(p, ["preset"], [F.desc("priority"), F.asc("u"), F.asc("v")], 25, "rank")
     return best.select("preset", F.round("priority", 4).alias("priority"), F.col("rank").cast("int").alias("rank"))
 
 
-def slice_flags(spark, d):
-    s = _scored(spark, d, 1996).select("u", "v", "gap_bonus", F.round("path_support_norm", 6).alias("path"), "cooc_count")
+def slice_flags(spark, d, cutoff=1996):
+    s = _scored(spark, d, cutoff).select("u", "v", "gap_bonus", F.round("path_support_norm", 6).alias("path"), "cooc_count")
     q = s.agg(F.percentile("path", 0.85).alias("q"))
     f = R.novelty(s).crossJoin(F.broadcast(q)).select((F.col("cross_field") & (F.col("path") >= F.col("q"))).cast("int").alias("bridge"), F.col("boundary_flag").cast("int").alias("frontier"), (F.col("gap_bonus") >= 0.5).cast("int").alias("underexplored"))
     return f.groupBy("bridge", "frontier", "underexplored").agg(F.count(F.lit(1)).alias("n"))
@@ -280,11 +282,11 @@ def bootstrap_ci(spark, d):
     return E.bootstrap_mean(_c(spark, d).select("year", "paper_id", "weight"), ["year"], "weight", 50)
 
 
-def expert_pack(spark, d):
+def expert_pack(spark, d, cutoff=1996):
     from .operators.elt import blinded_items
 
     c = _c(spark, d)
-    p, m = T.path_features(c, 1996, 2, NEIGHBORS), T.motif_features(c, 1996, NEIGHBORS)
+    p, m = T.path_features(c, cutoff, 2, NEIGHBORS), T.motif_features(c, cutoff, NEIGHBORS)
     return blinded_items([("paths", p.select("u", "v", F.round("path_support_raw", 6).alias("score"))), ("motifs", m.select("u", "v", F.round("motif_bonus_raw", 6).alias("score")))], 20)
 
 
@@ -331,6 +333,10 @@ def ego_rings(spark, d):
 
 QUERIES = {f.__name__: f for f in (corpus_build, edge_aggregate, evidence_filtered_edges, node_degree, cooccurrence_pairs, path_support_2hop, path_support_3hop, path_support_3hop_whole, motif_support, top_mediators, candidate_scores, candidate_top100, missing_pairs_antijoin, explain_neighborhoods, neighborhoods_top15, edge_papers_newest, explain_papers, concept_opportunities, first_appearance, future_edges, leakage_audit, backtest_metrics, backtest_metrics_whole, weighted_metrics_ndcg, weighted_metrics_ndcg_whole, baseline_pref_attach, heterogeneity_grouping_sets, vintage_realization, calibration_deciles, time_to_fill_curve, gap_boundary_panel, boundary_rerank, preset_priorities, slice_flags, recency_weighted_edges, cooc_trend, power_calibration, bootstrap_ci, expert_pack, regime_overlap, enrichment_topk, centrality_metrics, pagerank_5, pagerank_whole, connected_components, backbone_component, ego_rings)}
 
+#: These look at no later years, so the whole job takes all claims that candidate_scores ranks.
+AT_CUTOFF = (top_mediators, explain_papers, concept_opportunities, preset_priorities, slice_flags, expert_pack)
+QUERIES |= {f"{f.__name__}_whole": partial(f, cutoff=CUTOFF) for f in AT_CUTOFF}
+
 # ---------------------------------------------------------------- SQL
 
 _B = """WITH RECURSIVE base AS (
@@ -498,3 +504,5 @@ g1 AS (SELECT b AS node, round(sum(weight), 6) AS strength FROM nb WHERE a = 'E0
 g2 AS (SELECT b AS node, round(sum(weight), 6) AS strength FROM nb WHERE a IN (SELECT node FROM g1) AND b <> 'E0000001' AND b NOT IN (SELECT node FROM g1) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20),
 """ + _END + "SELECT node, CAST(1 AS INT) AS ring, strength FROM g1 UNION ALL SELECT node, 2, strength FROM g2",
 }
+# the SQL of a query at 1996, with the cutoff alone moved
+ORACLES |= {f"{f.__name__}_whole": ORACLES[f.__name__].replace("year <= 1996", f"year <= {CUTOFF}") for f in AT_CUTOFF if f.__name__ in ORACLES}

@@ -11,7 +11,7 @@ from .operators import features as T
 from .operators import ontology as O
 from .operators import ranking as R
 from .plans.claims import claims, concepts
-from .queries_graph import _B, _END, _FIRST, _cand, _paths, _top
+from .queries_graph import CUTOFF, _B, _END, _FIRST, _cand, _paths, _top
 from .queries_text import _LIFT, _W, _Z, _lifted, _norm
 from .session import table
 
@@ -50,8 +50,8 @@ def weight_search(spark, d):
     return D.weight_search(f, pos, TRIALS, 1000).select("trial", "hits", "precision")
 
 
-def _paths_top(spark, d, k):
-    return R.top_ranked(T.path_features(claims(spark, d), 1996, 2, 120), k, "path_support_raw")
+def _paths_top(spark, d, k, cutoff=1996):
+    return R.top_ranked(T.path_features(claims(spark, d), cutoff, 2, 120), k, "path_support_raw")
 
 
 def locked_predictions(spark, d):
@@ -67,16 +67,24 @@ def direct_to_path(spark, d):
     return D.direct_to_path(claims(spark, d), 1997, 3)
 
 
-def review_queues(spark, d):
+def review_queues(spark, d, cutoff=1996):
     c = claims(spark, d)
-    p = T.path_features(c, 1996, 2, 120).select("u", "v", F.round("path_support_raw", 6).alias("score"))
-    m = T.motif_features(c, 1996, 120).select("u", "v", F.round("motif_bonus_raw", 6).alias("score"))
+    p = T.path_features(c, cutoff, 2, 120).select("u", "v", F.round("path_support_raw", 6).alias("score"))
+    m = T.motif_features(c, cutoff, 120).select("u", "v", F.round("motif_bonus_raw", 6).alias("score"))
     return D.review_queue([("paths", p), ("motifs", m)], 200)
 
 
-def idea_briefs(spark, d):
+def review_queues_whole(spark, d):
+    return review_queues(spark, d, CUTOFF)
+
+
+def idea_briefs(spark, d, cutoff=1996):
     c = claims(spark, d)
-    return X.briefs(_paths_top(spark, d, 20).select("u", "v"), T.ranked_paths(c, 1996, 120, 3), concepts(spark, d))
+    return X.briefs(_paths_top(spark, d, 20, cutoff).select("u", "v"), T.ranked_paths(c, cutoff, 120, 3), concepts(spark, d))
+
+
+def idea_briefs_whole(spark, d):
+    return idea_briefs(spark, d, CUTOFF)
 
 
 def node_strings(spark, d):
@@ -104,7 +112,7 @@ def weighted_centrality(spark, d):
     return w.select(F.explode(F.array("src", "dst")).alias("concept_id"), "weight").groupBy("concept_id").agg(F.round(F.sum("weight"), 4).alias("strength"))
 
 
-QUERIES = {f.__name__: f for f in (constrained_clusters, label_map_chain, weight_search, locked_predictions, attention_panel, direct_to_path, review_queues, idea_briefs, node_strings, distinct_partners, context_fingerprints, oriented_pairs, topic_texts, weighted_centrality)}
+QUERIES = {f.__name__: f for f in (constrained_clusters, label_map_chain, weight_search, locked_predictions, attention_panel, direct_to_path, review_queues, review_queues_whole, idea_briefs, idea_briefs_whole, node_strings, distinct_partners, context_fingerprints, oriented_pairs, topic_texts, weighted_centrality)}
 
 _LABELED = "lab AS (SELECT substr(p_type, 1, 1) || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS code, p_name || ' ' || p_type || ' (' || p_brand || ')' AS label FROM part),\n"
 
@@ -136,3 +144,5 @@ FROM l LEFT JOIN a USING (normalized_label) LEFT JOIN b USING (normalized_label)
     "topic_texts": "SELECT work_id, string_agg(name, '|||' ORDER BY topic_seq) AS topics FROM (SELECT work_id, topic_seq, min(display_name) AS name FROM works_topics WHERE display_name IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY topic_seq) <= 5) GROUP BY 1",
     "weighted_centrality": _W + _LIFT + _Z + "SELECT concept_id, round(sum(weight), 4) AS strength FROM (SELECT src AS concept_id, weight FROM cw UNION ALL SELECT dst, weight FROM cw) GROUP BY 1",
 }
+# the SQL of a query at 1996, with the cutoff alone moved
+ORACLES |= {f"{k}_whole": ORACLES[k].replace("year <= 1996", f"year <= {CUTOFF}") for k in ("review_queues", "idea_briefs")}

@@ -115,3 +115,25 @@ def test_pagerank_goes_on_where_paths_are_long(spark):
     x = 0.15 / (n + 1)
     first = (x * sum(0.85**k for k in range(n)) + 0.85 * x) / (1 - 0.85**n)
     assert got["x"] == pytest.approx(x) and got["n00"] == pytest.approx(first, abs=1e-6)
+
+
+def test_explanations_and_priorities_cover_the_claims_of_the_ranking(spark, rows):
+    import __spark_entry__ as entry
+
+    known = entry.queries()
+    assert {f"{k}_whole" for k in ("top_mediators", "explain_papers", "concept_opportunities", "preset_priorities", "slice_flags", "review_queues", "idea_briefs", "expert_pack")} <= known.keys()
+    e = edges_of(rows, Q.CUTOFF)
+    deg, out = defaultdict(int), defaultdict(list)
+    for (a, b), w in e.items():
+        deg[a] += 1
+        deg[b] += 1
+        out[a].append((b, w))
+    via = defaultdict(list)
+    for (u, w), x in e.items():
+        for v, y in out[w]:
+            if u != v and (u, v) not in e:
+                via[u, v].append(-round(x * y / (1 + math.log1p(deg[w])), 6))
+    got = defaultdict(list)
+    for r in known["top_mediators_whole"](spark, D).orderBy("u", "v", "rank").collect():
+        got[r["u"], r["v"]].append(-r["support"])
+    assert got.keys() == via.keys() and all(got[k] == pytest.approx(sorted(x)[:3], abs=2e-6) for k, x in via.items())
