@@ -237,7 +237,11 @@ def fit(rows: list[tuple[np.ndarray, list[int], int]], l2: float = 1e-6, rate: f
 
 
 def residue_scores(abstracts: DataFrame, works: DataFrame, sample_windows: int = 12_000, unseen_share: int = 5) -> tuple[DataFrame, dict]:
-    """(work_id, host, score, is_case) of every text, and the report of the fit: windows, threshold, precision and recall on unseen hosts."""
+    """(work_id, host, score, is_case) of every text, and the report of the fit: windows, threshold, precision and recall on unseen hosts.
+
+    If the training hosts hold no real text, the windows of all hosts teach, and where there is none either, the built-in real sentences; every text is
+    scored all the same, but precision and recall are null then, as no host is unseen.
+    """
     spark = abstracts.sparkSession
     scratch = Scratch(spark, "residue")
     named = works.where("work_id is not null").groupBy("work_id").agg(F.min("display_name").alias("title"), F.min("source_id").alias("host"))
@@ -260,15 +264,18 @@ def residue_scores(abstracts: DataFrame, works: DataFrame, sample_windows: int =
                         rows.append((text[s : e + reach], e - s, words, shared, int(bool(spans))))
             yield pd.DataFrame(rows, columns=["window", "width", "words", "shared", "label"])
 
-    windows = texts.where(~F.col("unseen")).mapInPandas(label, "window string, width int, words int, shared int, label int")
-    # one window of each wording, those of the smallest hash: bounded, the same on every run, and not led by common texts
-    wording = windows.groupBy("label", F.xxhash64(F.regexp_replace("window", "[0-9]+", "0")).alias("h")).agg(F.min(F.struct("window", "width", "words", "shared")).alias("w"))
-    taken = topn_per_key(wording, ["label"], [F.asc("h")], sample_windows).orderBy("label", "h").collect()
+    def sample(hosts: DataFrame) -> list:
+        windows = hosts.mapInPandas(label, "window string, width int, words int, shared int, label int")
+        # one window of each wording, those of the smallest hash: bounded, the same on every run, and not led by common texts
+        wording = windows.groupBy("label", F.xxhash64(F.regexp_replace("window", "[0-9]+", "0")).alias("h")).agg(F.min(F.struct("window", "width", "words", "shared")).alias("w"))
+        return topn_per_key(wording, ["label"], [F.asc("h")], sample_windows).orderBy("label", "h").collect()
+
+    taken = sample(texts.where(~F.col("unseen")))
+    held_out = any(r["label"] == 0 for r in taken)
+    if not held_out:  # real text only on unseen hosts, or none at all: all hosts teach, and the built-in examples beside them
+        taken = sample(texts)
     rows = [(f[:, : r["w"]["width"]].ravel(), context(r["w"]["words"], r["w"]["shared"]), r["label"]) for r, f in zip(taken, positions_of([r["w"]["window"] for r in taken]), strict=True)]
     negatives = [(r["w"]["window"], r["w"]["words"], r["w"]["shared"]) for r in taken if r["label"] == 0]
-    if not negatives:
-        empty = spark.createDataFrame([], "work_id string, host string, score double, is_case boolean")
-        return empty, {"windows": len(rows), "threshold": None, "precision": None, "recall": None}
     real = list(real_examples(negatives))
     for (text, words, shared), f in zip(real, positions_of([x[0] for x in real]), strict=True):
         rows += [(f[:, at : at + WINDOW].ravel(), context(words, shared), 0) for at in starts(len(text))]
@@ -303,7 +310,7 @@ def residue_scores(abstracts: DataFrame, works: DataFrame, sample_windows: int =
     top = max(t[0] for t in tried)
     best = min((t for t in tried if t[0] >= top - 0.002), key=lambda t: abs(t[1]))  # of equally good ones, the nearest to even odds
     out = judged.select("work_id", "host", "score", (F.col("score") >= F.lit(float(best[1]))).alias("is_case"))
-    return out, {"windows": len(rows), "threshold": float(best[1]), "precision": float(best[2]), "recall": float(best[3])}
+    return out, {"windows": len(rows), "threshold": float(best[1]), "precision": float(best[2]) if held_out else None, "recall": float(best[3]) if held_out else None}
 
 
 def residue(abstracts: DataFrame, works: DataFrame, **options) -> DataFrame:

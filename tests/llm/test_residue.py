@@ -50,3 +50,11 @@ def test_windows_cover_long_texts():
         assert s[0] == 0 and s[-1] + 64 >= n
     assert positions("aB1 é").shape == (5, 5)
     assert SEEDS.search("Cookies and consent banners changed wages.") is None
+
+
+def test_texts_are_scored_without_real_text_to_learn_from(spark):
+    cases = spark.createDataFrame([("W1", "Please enable JavaScript to view the full content of this page.", 0, 1), ("W2", "Error 502 - Page not found.", 0, 1)], A)
+    works = spark.createDataFrame([("W1", "wage dispersion", "S1", "h"), ("W2", "market entry", "S2", "h")], W)
+    assert {r["work_id"] for r in residue(cases, works).collect()} == {"W1", "W2"}
+    scored, report = residue_scores(cases, works)
+    assert scored.count() == 2 and report["precision"] is None
