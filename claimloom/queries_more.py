@@ -36,6 +36,16 @@ def label_map_chain(spark, d):
     return D.label_map(labels, [("exact", exact), ("mapped", hard.where("normalized_label is not null").select("normalized_label", "concept_id")), ("accepted", tail)])
 
 
+def label_map_chain_whole(spark, d):
+    heads = table(spark, d, "head_concepts")
+    hard = table(spark, d, "instance_mappings_hard").where("normalized_label is not null")
+    labels = hard.select("normalized_label").distinct()
+    exact = heads.select(F.col("preferred_label").alias("normalized_label"), "concept_id")
+    unique = O.unique_signature_map(labels.withColumn("preferred_label", F.col("normalized_label")), heads)
+    tail = table(spark, d, "tail_to_head_candidates").where("startswith(decision_status, 'accepted')").select("normalized_label", F.col("candidate_concept_id").alias("concept_id"))
+    return D.label_map(labels, [("exact", exact), ("signature", unique), ("mapped", hard.select("normalized_label", "concept_id")), ("accepted", tail)])
+
+
 TRIALS = [(1, 0.5, 0.2, 0.3, 0.2), (2, 0.8, 0.0, 0.2, 0.0), (3, 0.2, 0.2, 0.6, 0.3), (4, 0.0, 0.0, 1.0, 0.0)]
 
 
@@ -112,7 +122,7 @@ def weighted_centrality(spark, d):
     return w.select(F.explode(F.array("src", "dst")).alias("concept_id"), "weight").groupBy("concept_id").agg(F.round(F.sum("weight"), 4).alias("strength"))
 
 
-QUERIES = {f.__name__: f for f in (constrained_clusters, label_map_chain, weight_search, locked_predictions, attention_panel, direct_to_path, review_queues, review_queues_whole, idea_briefs, idea_briefs_whole, node_strings, distinct_partners, context_fingerprints, oriented_pairs, topic_texts, weighted_centrality)}
+QUERIES = {f.__name__: f for f in (constrained_clusters, label_map_chain, label_map_chain_whole, weight_search, locked_predictions, attention_panel, direct_to_path, review_queues, review_queues_whole, idea_briefs, idea_briefs_whole, node_strings, distinct_partners, context_fingerprints, oriented_pairs, topic_texts, weighted_centrality)}
 
 _LABELED = "lab AS (SELECT substr(p_type, 1, 1) || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS code, p_name || ' ' || p_type || ' (' || p_brand || ')' AS label FROM part),\n"
 

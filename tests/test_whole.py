@@ -137,3 +137,16 @@ def test_explanations_and_priorities_cover_the_claims_of_the_ranking(spark, rows
     for r in known["top_mediators_whole"](spark, D).orderBy("u", "v", "rank").collect():
         got[r["u"], r["v"]].append(-r["support"])
     assert got.keys() == via.keys() and all(got[k] == pytest.approx(sorted(x)[:3], abs=2e-6) for k, x in via.items())
+
+
+def test_label_chain_has_the_unique_signature_step(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    for name, rows, schema in (
+        ("head_concepts", [("c1", "trade shocks"), ("c2", "tax rate")], "concept_id string, preferred_label string"),
+        ("instance_mappings_hard", [("trade shock", None), ("tax rate", "c9"), ("river", "c7"), ("unknown", None)], "normalized_label string, concept_id string"),
+        ("tail_to_head_candidates", [("x", "c1", "accepted")], "normalized_label string, candidate_concept_id string, decision_status string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(r) for r in entry.queries()["label_map_chain_whole"](spark, str(tmp_path)).select("normalized_label", "concept_id", "origin").collect()}
+    assert got == {("trade shock", "c1", "signature"), ("tax rate", "c2", "exact"), ("river", "c7", "mapped"), ("unknown", None, "pending")}
