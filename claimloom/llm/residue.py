@@ -2,14 +2,20 @@
 
 Method.  A text is read in overlapping windows, so that residue inside a real abstract counts as much as a page that is nothing else.  A
 window's features are hashed character n-grams (folded text, and its shape of letters, digits and signs), the length of the whole text and
-how many words of the work's title it uses.  Weak labels come from phrases (``SEEDS``) and from the stored status: a window that holds a
-phrase is positive; windows of texts without any phrase are negative unless the status calls the text a placeholder; the rest are left
-out.  A logistic regression with an L2 penalty is fitted on a bounded sample of labelled windows from four fifths of the hosts; the threshold is, of
-those with the best F1 on the texts of the unseen fifth, the one nearest to even odds.  Every text is then scored as a whole, window by window.
-
-The sample has at most ``sample_windows`` windows of each label, those of the smallest hash, so it is the same on every run; everything else
-(candidates, scores, threshold use) covers all rows.  Null and blank texts are no case.  Of several rows of one work each is judged;
-one case makes the work a case.
+how many words of the work's title it uses.  Weak labels come from the stored response status and from a short list of generic phrases: windows of
+texts whose status calls them a placeholder, and windows that hold a phrase, are positive; all other windows are negative.  Both are noisy: the status is
+missing for many cases and wrong for some real texts, the phrases name few kinds.  A logistic regression with an L2 penalty is fitted on four fifths of
+the hosts.  A first fit on a sample finds the windows near or beyond its border; among these, two fits, each on half of the works, judge the labels of the other
+half: flagged windows whose like is rarely flagged are dropped, unflagged ones whose like often is are dropped or, where that is sure, turned.  The rest, with the real
+windows far from the border, makes the model.
+
+The threshold comes from the unseen fifth of the hosts.  Among cases a share ``a`` of texts is flagged, among real texts a share ``b``; ``a`` is read off
+the texts with a phrase, ``b`` off the low-scoring half, and with both the number of cases above any score follows from the number of flagged texts there, though
+nobody labelled them.  Of the thresholds within a standard error of the best F1 so estimated, the one nearest to even odds is taken.  Every text is then scored as a whole, window by window.
+
+The fit sees about ``sample_texts`` texts of each status, those of the smallest hash, and of their windows at most ``sample_windows`` of each label, so it is bounded and the
+same on every run; everything else (scores, threshold, use of the threshold) covers all rows.  Null and blank texts are no case.  Of several rows of one work
+each is judged; one case makes the work a case.
 """
 
 from __future__ import annotations
@@ -31,102 +37,50 @@ WINDOW, STRIDE = 64, 16
 TEXT_GRAMS, SHAPE_GRAMS = (3, 4, 5), (3, 5)
 _DIGIT, _SPACE = re.compile(r"\d"), re.compile(r"\s")
 STRETCH = 200_000
+#: A window whose like is flagged at better odds than this is taken for residue when labels are cleaned.
+FLAG_ODDS = 0.25
+#: A window without flag whose like is flagged at odds exp(SURE) times as good counts as residue.
+SURE = 2.0
+
+# Generic phrases by family, as (what every hit contains, pattern), over lower-cased text.
+FAMILIES = {
+    "marker": [("{{", r"\{\{\s*[\w.]+\s*\}\}"), ("${", r"\$\{[a-z_][\w.]+\}"), ("<%", r"<%=?\s*[\w.]+\s*%>"), ("{%", r"\{%\s*[\w.]+\s*%\}"), ("[[", r"\[\[\s*[\w.]+\s*\]\]"), ("<!--", r"<!--.{1,60}?-->")],
+    "filler": [("lorem ipsum", r"lorem ipsum"), ("text here", r"your text here"), ("replace this text", r"replace this text"), ("goes here", r"\b(?:abstract|text) goes here"), ("click to add", r"click to add"), ("type your", r"\btype your (?:abstract|text)"), ("todo:", r"todo:")],
+    "error": [("error ", r"\berror [45]\d\d\b"), ("page not found", r"page not found"), ("http/", r"http/\d\.\d [45]\d\d"), ("traceback (", r"traceback \(most recent"), ("unexpected error", r"an unexpected error has occurred"), ("went wrong", r"something went wrong"), ("undefined variable", r"undefined variable"), ("timed out", r"connection timed out"), ("could not be", r"could not be (?:loaded|displayed)"), ("longer exists", r"no longer exists"), ("database connection", r"error establishing a database connection")],
+    "access": [("javascript", r"(?:enable javascript|javascript is disabled)"), ("scripts", r"(?:enable scripts|turn on scripts|scripts to be turned on)"), ("use cookies", r"we use cookies"), ("has expired", r"session has expired"), ("are human", r"you are human"), ("permission to", r"do(?:es)? not have permission to"), ("browser before", r"checking your browser")],
+    "other languages": [("nicht gefunden", r"seite nicht gefunden"), ("introuvable", r"page introuvable"), ("no encontrada", r"p[áa]gina no encontrada"), ("не найдена", r"страница не найдена"), ("页面", r"页面不存在"), ("javascript", r"(?:aktivieren sie javascript|activer javascript|habilite javascript|включите javascript|请启用 ?javascript)")],
+    "stand-in": [("abstract", r"(?:no abstract (?:is )?available|abstract (?:is )?not (?:available|supplied|provided))"), ("to be completed", r"to be completed by the author")],
+}
+# Whole texts that stand in for an absent one.
+STAND_INS = frozenset(["n/a", "n.a", "na", "tba", "tbd", "none", "null", "nan", "undefined", "no abstract", "not available", "to be added", "to be announced", "string", "object object", "#ref", "#value", "#name"])
+_EDGES = " \t\r\n.,;:!?()[]<>-_*\"'"
+_PATTERNS = {k: [(n, re.compile(p, re.S)) for n, p in v] for k, v in FAMILIES.items()}
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, of equal length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[:1] or c for c in text)  # a few capitals fold to two signs
+
+
+def repeats(low: str) -> bool:
+    """Whether a text is nothing but one to three words said over and over."""
+    words = [w.strip(_EDGES) for w in low.split()]
+    return any(len(words) >= 3 * p - (p == 1) and words[p:] == words[:-p] for p in (1, 2, 3))
+
 
-# Phrases that label a text weakly.
-SEEDS = re.compile(
-    "|".join(
-        [
-            r"\{\{\s*[\w.]+\s*\}\}", r"\$\{[a-z_][\w.]*\}", r"<%=?\s*[\w.]+\s*%>", r"\{%\s*[\w.]+\s*%\}", r"\[\[\s*[\w.]+\s*\]\]", r"<<\s*[\w.]+\s*>>", r"%%[\w.]+%%", r"@@[\w.]+@@",
-            r"<!--.{1,60}?-->", r"&lt;\w+\s*/?&gt;", r"\b(?:author_name|manuscript_no|article_title|journal_name)\b",
-            r"lorem ipsum \w+", r"quodest utenim \w+", r"sitam dolori \w+", r"\blipsum\b",
-            r"\b(?:your|sample|dummy|placeholder) (?:text|paragraph)(?: here)? (?:your|sample|dummy|placeholder) (?:text|paragraph)",
-            r"type your (?:abstract|text)[\w ]*", r"replace this text[\w ]*", r"enter your (?:abstract|text)[\w ]*", r"click to add \w+", r"abstract goes here", r"insert abstract(?: here)?", r"add abstract before upload", r"paste abstract", r"to be completed by the authors?",
-            r"error [45]\d\d\b", r"\bpage (?:was )?not found\b(?! errors)", r"http/1\.[01] [45]\d\d", r"could not be (?:retrieved|loaded|displayed|located)", r"something went wrong", r"an unexpected error has occurred", r"traceback \(most recent call last\)", r"undefined variable", r"error establishing a database connection", r"can't seem to find the page", r"page has moved or no longer exists", r"temporarily unable to service", r"upstream (?:cache|server)",
-            r"do(?:es)? not have permission to view", r"access to this (?:document|article|page|content) is restricted", r"session has expired", r"log in again", r"sign in or purchase", r"please try again later", r"reload the page",
-            r"enable javascript", r"javascript is disabled", r"requires scripts to be turned on", r"turn on scripts", r"enable scripts", r"we use cookies to", r"continuing to browse", r"verify that you are human", r"checking your browser",
-            r"no abstract (?:is )?available", r"abstract (?:is )?not (?:supplied|available|provided)", r"has no abstract on file",
-            r"seite nicht gefunden", r"javascript, um diese", r"eintrag existiert nicht", r"veuillez activer javascript", r"une erreur est survenue", r"page introuvable", r"p[áa]gina no encontrada", r"compruebe la direcci[óo]n", r"страница не найдена", r"页面不存在", r"请启用脚本",
-        ]
-    )
-    + r"|\A\W*(?:tb[ad]|n\W?a|none(?: none)*|null|nan|undefined|string|to be (?:added|announced|done)|test(?: test)*|asdf\w*(?: asdf\w*)*|abstract\W+tb[ad]|(?:abstract )?not available|#\w+[!?]?|object object|xxx+.*)\W*\Z",
-    re.I | re.S,
-)
-
-# A text of more than SHORT signs that holds none of these has no phrase (each phrase contains one).
-NEEDLES = (
-    "{{ ${ <% {% [[ << %% @@ <!-- &lt; author_name manuscript_no article_title journal_name lorem utenim dolori lipsum paragraph javascript scripts cookies browse human upstream traceback http/ nicht erreur introuvable encontrada compruebe найдена 页面 脚本 abstract".split()
-    + [" text", "click to add", "to be completed", "error ", "not found", "could not be", "went wrong", "unexpected error", "undefined variable", "can't seem", "no longer exists", "temporarily unable", "permission to view", "is restricted", "has expired", "log in again", "sign in or", "try again later", "reload the page"]
-)
-SHORT = 80
-
-
-def phrases(text: str) -> list[tuple[int, int]]:
-    """Spans of the phrases in a text; most texts are dismissed by plain substring tests."""
-    if len(text) > SHORT:
-        low = text.lower()
-        if not any(n in low for n in NEEDLES) and not low.lstrip(" \t\r\n-*#([").startswith("xxx"):
-            return []
-    return [(m.start(), m.end()) for m in SEEDS.finditer(text)]
-
-
-# Examples of residue, by kind, that are planted into real windows as further weak labels.
-_OPEN_CLOSE = [("{{", "}}"), ("{{ ", " }}"), ("${", "}"), ("<%= ", " %>"), ("{%", "%}"), ("[[", "]]"), ("<<", ">>"), ("%%", "%%"), ("@@", "@@")]
-_NAMES = ["title", "abstract", "year", "country", "summary", "body_text", "article.abstract", "record.description", "AbstractText", "journal_name", "n_obs", "effect_size", "author", "null"]
-PASSAGES = [a + n + b for a, b in _OPEN_CLOSE for n in _NAMES] + [
-    "<!-- TODO: paste abstract -->", "[content blocked: turn on scripts to read more]", "Error establishing a database connection.",
-    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor", "incididunt ut labore et dolore magna aliqua.", "lorem ipsum temsed dolor amet tur eiusmod cing elit porsit", "Quodest utenim ad minim veniam, quis nostrud", "Sitam dolori minum, etdodi turdi lo seddi am porpor eipte con cing", "sed ipsum elit tempor remlor dolipsum sitcon amet litsed pis et tur eius",
-]
-PAGES = [
-    "This page has moved or no longer exists. Return to the journal home page. Go back", "Sorry, we can't seem to find the page you're looking for.", "Error 404 - Page not found.", "The requested resource could not be located on this server.",
-    "Error 503 - The server is temporarily unable to service your request. Please try again later.", "Error 504 - Gateway time-out: the upstream server did not respond.", "HTTP/1.1 500 retry-after 465 request 95b6 rejected by upstream cache", "Something went wrong while loading this article. Reload the page (429).", "Oops! An unexpected error has occurred; our team has been notified.",
-    "The entry could not be retrieved because the connection timed out. Contact the help desk (503).", "This record could not be displayed at this time. Retry (403).", "Traceback (most recent call last): render line 41 KeyError: 'abstract'", "Fatal: undefined variable title in template block 88; rendering stopped. Trace id 194a.", "Warning: undefined variable abstract in template block 27; rendering stopped.",
-    "Error 403 - Forbidden. You do not have permission to view this document.", "Access to this document is restricted to subscribers. Sign in or purchase a licence.", "Your session has expired. Please log in again to access this content.",
-    "Please enable JavaScript to view the full content of this page.", "JavaScript is disabled in your browser. Some features of this site will not work.", "This application requires scripts to be turned on. Enable them and reload.", "You need to enable scripts and cookies to run this app.", "We use cookies to improve your experience. By continuing to browse you accept our policy.", "Verify that you are human to continue to the article.", "Checking your browser before accessing the journal. This may take a few seconds.",
-    "Seite nicht gefunden. Der angeforderte Eintrag existiert nicht mehr.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Veuillez activer JavaScript pour afficher ce contenu.", "Une erreur est survenue lors du chargement de la page.", "Página no encontrada. Compruebe la dirección e inténtelo de nuevo.", "Страница не найдена, вернитесь на главную.", "页面不存在或已被删除。", "请启用脚本后再访问本页面。",
-    "your text here your text here your text here.", "sample text sample text sample text sample text.", "dummy text dummy text dummy text.", "placeholder paragraph placeholder paragraph placeholder paragraph", "Type your abstract text here. Do not exceed 200 words.", "(replace this text with the summary of your article)", "<Enter your abstract in this box, max. 250 words>", "Click to add summary", "[ABSTRACT GOES HERE]", "[Insert abstract here]", "XXX add abstract before upload XXX", "To be completed by the authors at proof stage.", "Dear AUTHOR_NAME, your manuscript MANUSCRIPT_NO titled ARTICLE_TITLE has no abstract on file.",
-    "No abstract is available for this item.", "Abstract not supplied by the publisher", "Background: {{background}} Methods: {{methods}} Results: {{results}}",
-    "TBA", "TBD", "N/A", "n.a.", "none", "None None None", "null", "NaN", "undefined", "string", "to be added", "test test test", "asdf asdf", "Abstract: TBD", "-- not available --", "#REF!", "#VALUE!", "[object Object]", "&lt;abstract/&gt;",
-]
-
-# Real sentences about such things, as weak labels the other way.
-REAL = [
-    "Portals that require JavaScript reduce filing rates; we study 404 municipalities in the north.", "Requiring JavaScript on tax portals lowers filing among 500 firms.", "Cookies and consent banners changed wage dispersion among online shops in the region.", "Page-not-found errors on tax portals raise the cost of procurement delay.", "We ask whether access denied to lenders in rural districts lowered risk sharing.", "The error term e_{it} is clustered; 503 plants are dropped because data were not available.",
-    "Placebo and placeholder prices [in brackets] are compared with posted prices in the capital.", "A server outage in the harbour serves as an instrument: service was temporarily unavailable to 40 per cent of users.", "Templates of standard contracts, with blanks to be completed by the parties, shaped consumption smoothing.", "Let ${\\beta}_{1}$ be the effect of bargaining power and <x, y> the inner product.", "The choice set is {0,1} for each firm and the map x_{it} is estimated by maximum likelihood.", "Let $\\alpha_{i}$ and ${x}_{t}$ be fixed effects, and [a, b] an interval.",
-    "Users who were not found in the register could not be reached by the survey.", "We study errors in 404 records and the loading of pages on slow connections.", "Login requirements and paywalls reduce the use of articles by students.", "The abstract notion of a placeholder is discussed with sample texts from schools.",
-]
-
-
-def real_examples(windows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """(text, words, shared title words) of the real sentences alone and beside other real text; windows are (text, words, shared)."""
-    for k, example in enumerate(REAL):
-        own = len(example.split())
-        yield example, own, -1
-        for j in range(3 if windows else 0):
-            text, words, shared = windows[(k * 11 + j * 97) % len(windows)]
-            yield (f"{text} {example}" if j else f"{example} {text}"), words + own, shared
-
-
-def planted(windows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, int, int]]:
-    """(text, start, end, words, shared): each example alone, each passage also inside real text, at varying places."""
-    for k, example in enumerate(PAGES + PASSAGES):
-        own = len(example.split())
-        yield example, 0, len(example), own, -1
-        for j in range(3 if windows else 0):
-            text, words, shared = windows[(k * 7 + j * 131) % len(windows)]
-            if k < len(PAGES):
-                yield example, 0, len(example), own, 0
-                break
-            cut = text.find(" ", (k * 29 + j * 53) % max(1, len(text)))
-            cut = len(text) if cut < 0 else cut
-            left, right = text[:cut], text[cut:] if j else ""
-            yield f"{left} {example}{right}", len(left) + 1, len(left) + 1 + len(example), words + own, shared
+def phrases(text: str, without: frozenset = frozenset()) -> list[tuple[int, int]]:
+    """Spans of the generic phrases in a text, those of the families ``without`` left out."""
+    low = lowered(text)
+    out = [m.span() for k, v in _PATTERNS.items() if k not in without for n, p in v if n in low for m in p.finditer(low)]
+    if ("stand-in" not in without and low.strip(_EDGES) in STAND_INS) or ("filler" not in without and repeats(low)):
+        out.append((0, len(text)))
+    return sorted(out)
 
 
 def fold(text: str) -> tuple[str, str]:
     """The folded text (lower case, digits as 0, white space as one blank each) and the text itself, of equal length."""
-    low = text.lower()
-    if len(low) != len(text):  # a few capitals fold to two signs
-        low = "".join(c.lower()[:1] or c for c in text)
+    low = lowered(text)
     return _SPACE.sub(" ", _DIGIT.sub("0", low)), text
 
 
@@ -189,6 +143,13 @@ def starts(length: int) -> list[int]:
     return [0] if length <= WINDOW else [*range(0, length - WINDOW, STRIDE), length - WINDOW]
 
 
+def window_scores(features: np.ndarray, s: np.ndarray, ctx: list[int], weights: np.ndarray, bias: float) -> np.ndarray:
+    """Scores of the windows that start at ``s``, from the features of the text's positions and of the text as a whole."""
+    total = np.concatenate([[0.0], np.cumsum(weights[features].sum(axis=0, dtype=np.float64))])
+    e = np.minimum(s + WINDOW, features.shape[1])
+    return bias + weights[ctx].sum() + (total[e] - total[s]) / np.sqrt(np.maximum(5 * (e - s), 1))
+
+
 def scores(texts: list[str], titles: list, weights: np.ndarray, bias: float) -> list[float]:
     """Largest window score of each text."""
     out: list[float] = []
@@ -199,118 +160,172 @@ def scores(texts: list[str], titles: list, weights: np.ndarray, bias: float) ->
             size += len(texts[at])
             at += 1
         for text, title, features in zip(texts[part:at], titles[part:at], positions_of(texts[part:at]), strict=True):
-            total = np.concatenate([[0.0], np.cumsum(weights[features].sum(axis=0))])
-            s = np.array(starts(len(text)))
-            e = np.minimum(s + WINDOW, len(text))
-            whole = bias + weights[context(*about(text, title))].sum()
-            out.append(float(whole + ((total[e] - total[s]) / np.sqrt(np.maximum(5 * (e - s), 1))).max()))
+            out.append(float(window_scores(features, np.array(starts(len(text))), context(*about(text, title)), weights, bias).max()))
     return out
 
 
-def fit(rows: list[tuple[np.ndarray, list[int], int]], l2: float = 1e-6, rate: float = 0.3, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L2 penalty by AdaGrad on (window features, context features, label)."""
-    w, g2 = np.zeros(2**BITS + 1), np.full(2**BITS + 1, 1e-6)
+def padded(rows: list[tuple[np.ndarray, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, scale) of (window features, context features): one line each, padded with an extra feature; window features weigh 1 / sqrt of their number."""
     width = 5 * WINDOW
-    x = np.full((len(rows), width + 3), 2**BITS, dtype=np.int32)  # the last weight is padding
-    scale = np.zeros((len(rows), width + 3))
-    y = np.zeros(len(rows))
-    for i, (window, ctx, label) in enumerate(rows):
-        k = len(window)
-        x[i, :k], scale[i, :k] = window, 1 / np.sqrt(max(k, 1))
-        x[i, width:], scale[i, width:] = ctx, 1.0
-        y[i] = label
-    weight_of = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    x = np.full((len(rows), width + 3), 2**BITS, dtype=np.int32)
+    scale = np.ones((len(rows), 1), dtype=np.float32)
+    for i, (window, ctx) in enumerate(rows):
+        x[i, : len(window)], x[i, width:] = window, ctx
+        scale[i] = 1 / np.sqrt(max(len(window), 1))
+    return x, scale
+
+
+def margins(x: np.ndarray, scale: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+    g = w[x]
+    return g[:, :-3].sum(axis=1) * scale[:, 0] + g[:, -3:].sum(axis=1) + bias
+
+
+def fit(x: np.ndarray, scale: np.ndarray, y: np.ndarray, balanced: bool = True, l2: float = 1e-6, rate: float = 0.3, epochs: int = 8, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Logistic regression with an L2 penalty by AdaGrad; ``balanced``: both labels weigh alike.  The last weight is that of the padding, 0."""
+    w, g2 = np.zeros(2**BITS + 1, dtype=np.float32), np.full(2**BITS + 1, 1e-6, dtype=np.float32)
+    weight_of = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) if balanced and len(y) else np.ones(len(y))
     bias, bias2 = 0.0, 1e-6
     order = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for part in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 256)):
-            z = (w[x[part]] * scale[part]).sum(axis=1) + bias
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight_of[part] / len(part)
-            grad = np.bincount(x[part].ravel(), (err[:, None] * scale[part]).ravel(), minlength=len(w)) + l2 * w
+    every = np.concatenate([np.repeat(scale, x.shape[1] - 3, axis=1), np.ones((len(x), 3), dtype=np.float32)], axis=1)
+    for _ in range(epochs if len(y) else 0):
+        for part in np.array_split(order.permutation(len(y)), max(1, len(y) // 256)):
+            z = margins(x[part], scale[part], w, bias)
+            err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight_of[part] / len(part)).astype(np.float32)
+            grad = np.bincount(x[part].ravel(), (err[:, None] * every[part]).ravel(), minlength=len(w)).astype(np.float32) + l2 * w
             g2 += grad**2
             w -= rate * grad / np.sqrt(g2)
             w[-1] = 0
             bias2 += err.sum() ** 2
             bias -= rate * err.sum() / np.sqrt(bias2)
-    return w[:-1], bias
+    return w, float(bias)
+
 
+def fit_noisy(x: np.ndarray, scale: np.ndarray, label: np.ndarray, fold: np.ndarray, cut: float) -> tuple[np.ndarray, float]:
+    """The fit without labels that a fit on other texts contradicts.  label: 0 no flag, 1 flagged, 2 holds a phrase, -1 surely real (the last two kept as they are); fold: 0 or 1, by work."""
+    y = (label > 0).astype(int)
+    keep = np.ones(len(y), dtype=bool)
+    for f in (0, 1):
+        own, other = fold == f, fold != f
+        if len(set(y[other])) == 2:
+            z = margins(x[own], scale[own], *fit(x[other], scale[other], y[other], balanced=False))
+            keep[own] = (label[own] == 2) | (label[own] == -1) | ((z >= cut) == (label[own] == 1)) | (z >= cut + SURE)
+            y[own] |= (label[own] == 0) & (z >= cut + SURE)
+    return fit(x[keep], scale[keep], y[keep])
 
 
-def residue_scores(abstracts: DataFrame, works: DataFrame, sample_windows: int = 12_000, unseen_share: int = 5) -> tuple[DataFrame, dict]:
-    """(work_id, host, score, is_case) of every text, and the report of the fit: windows, threshold, precision and recall on unseen hosts.
+def best_threshold(hist: pd.DataFrame, step: float) -> tuple[float, float, float]:
+    """(threshold, precision, recall) from texts counted by score bin ``k``, with ``flagged`` and ``seeded`` (texts with a phrase) among them.
 
-    If the training hosts hold no real text, the windows of all hosts teach, and where there is none either, the built-in real sentences; every text is
-    scored all the same, but precision and recall are null then, as no host is unseen.
+    Precision and recall are estimates from two noisy labels, see the module's text.  Where the flag says nothing, phrases alone count.
+    """
+    h = hist.groupby("k", as_index=False)[["n", "flagged", "seeded", "both"]].sum().sort_values("k", ascending=False)
+    if not len(h):
+        return 0.0, 0.0, 0.0
+    n, flagged, seeded = (h[c].to_numpy().astype(float).cumsum() for c in ("n", "flagged", "seeded"))
+    low = n > n[-1] / 2
+    b = (flagged[-1] - flagged[~low].max(initial=0.0)) / max(n[-1] - n[~low].max(initial=0.0), 1.0)
+    a = h["both"].sum() / max(1.0, h["seeded"].sum())
+    cases = np.clip((flagged - b * n) / (a - b), seeded, n) if a - b > 0.1 else seeded
+    cases = np.maximum.accumulate(cases)
+    precision, recall = cases / np.maximum(n, 1), cases / max(cases[-1], 1e-9)
+    f1 = 2 * precision * recall / np.maximum(precision + recall, 1e-9)
+    error = np.sqrt(f1.max() * max(1 - f1.max(), 0.01) / max(cases[-1], 1.0))
+    near = np.flatnonzero(f1 >= f1.max() - error)
+    i = near[np.argmin(np.abs(h["k"].to_numpy()[near]))]
+    return float(h["k"].to_numpy()[i] * step), float(precision[i]), float(recall[i])
+
+
+def residue_scores(abstracts: DataFrame, works: DataFrame, sample_texts: int = 40_000, sample_windows: int = 12_000, unseen_share: int = 5, without: frozenset = frozenset()) -> tuple[DataFrame, dict]:
+    """(work_id, host, score, is_case, seeded, withheld, unseen) of every text, and the report of the fit: windows, threshold, precision and recall on unseen hosts.
+
+    ``without`` withholds families of phrases from the labels and the threshold; ``withheld`` marks the texts that hold one of them and no other phrase.
+    If the training hosts hold no window of one label, the windows of all hosts teach; every text is scored all the same, but precision and
+    recall are null then, as no host is unseen.  Where all texts are labelled alike, all are judged alike.
     """
     spark = abstracts.sparkSession
     scratch = Scratch(spark, "residue")
     named = works.where("work_id is not null").groupBy("work_id").agg(F.min("display_name").alias("title"), F.min("source_id").alias("host"))
-    texts = abstracts.where("trim(abstract_text) <> ''").select("work_id", F.col("abstract_text").alias("text"), (F.coalesce("abstract_is_placeholder", F.lit(0)) == 1).alias("flagged")).distinct().join(named, "work_id", "left")
-    texts = texts.withColumn("unseen", F.pmod(F.xxhash64(F.coalesce("host", F.lit(""))), F.lit(unseen_share)) == 0)
+    texts = abstracts.where("trim(abstract_text) <> ''").select("work_id", F.col("abstract_text").alias("text"), (F.coalesce("abstract_is_placeholder", F.lit(0)) == 1).alias("flagged"))
+    bare = texts.where("work_id is null").withColumns({"title": F.lit(None).cast("string"), "host": F.lit(None).cast("string")})  # rows that match no work are no key to join on
+    texts = texts.where("work_id is not null").join(named, "work_id", "left").unionByName(bare)
+    texts = scratch.write(texts.withColumn("unseen", F.pmod(F.xxhash64(F.coalesce("host", F.lit(""))), F.lit(unseen_share)) == 0), "texts")
     reach = max(TEXT_GRAMS + SHAPE_GRAMS) - 1  # signs beyond a window that its n-grams touch
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pd.DataFrame], first=None) -> Iterator[pd.DataFrame]:
+        """Labelled windows; with a first model and a margin, only those that it scores above the margin."""
         for b in batches:
             rows = []
-            for text, title, flagged in zip(b["text"], b["title"], b["flagged"], strict=True):
-                spans = phrases(text)
-                if not spans and flagged:
-                    continue
+            for work, text, title, flagged in zip(b["work"], b["text"], b["title"], b["flagged"], strict=True):
+                spans = phrases(text, without)
                 words, shared = about(text, title)
-                for s in starts(len(text)):
+                at = np.array(starts(len(text)))
+                if first is not None:
+                    at = at[window_scores(positions(text), at, context(words, shared), *first.value[:2]) >= first.value[2]]
+                for s in at.tolist():
                     e = min(s + WINDOW, len(text))
-                    held = [max(0, min(e, y) - max(s, x)) / min(y - x, WINDOW) for x, y in spans]
-                    if not spans or max(held) >= 0.9:
-                        rows.append((text[s : e + reach], e - s, words, shared, int(bool(spans))))
-            yield pd.DataFrame(rows, columns=["window", "width", "words", "shared", "label"])
-
-    def sample(hosts: DataFrame) -> list:
-        windows = hosts.mapInPandas(label, "window string, width int, words int, shared int, label int")
-        # one window of each wording, those of the smallest hash: bounded, the same on every run, and not led by common texts
-        wording = windows.groupBy("label", F.xxhash64(F.regexp_replace("window", "[0-9]+", "0")).alias("h")).agg(F.min(F.struct("window", "width", "words", "shared")).alias("w"))
-        return topn_per_key(wording, ["label"], [F.asc("h")], sample_windows).orderBy("label", "h").collect()
-
-    taken = sample(texts.where(~F.col("unseen")))
-    held_out = any(r["label"] == 0 for r in taken)
-    if not held_out:  # real text only on unseen hosts, or none at all: all hosts teach, and the built-in examples beside them
-        taken = sample(texts)
-    rows = [(f[:, : r["w"]["width"]].ravel(), context(r["w"]["words"], r["w"]["shared"]), r["label"]) for r, f in zip(taken, positions_of([r["w"]["window"] for r in taken]), strict=True)]
-    negatives = [(r["w"]["window"], r["w"]["words"], r["w"]["shared"]) for r in taken if r["label"] == 0]
-    real = list(real_examples(negatives))
-    for (text, words, shared), f in zip(real, positions_of([x[0] for x in real]), strict=True):
-        rows += [(f[:, at : at + WINDOW].ravel(), context(words, shared), 0) for at in starts(len(text))]
-    put = list(planted(negatives))
-    for (text, x, y, words, shared), f in zip(put, positions_of([x[0] for x in put]), strict=True):
-        for at in starts(len(text)):
-            e = min(at + WINDOW, len(text))
-            if max(0, min(e, y) - max(at, x)) >= 0.9 * min(y - x, WINDOW):
-                rows.append((f[:, at:e].ravel(), context(words, shared), 1))
-    weights, bias = fit(rows)
-    model = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
+                    held = any(min(e, y) - max(s, x) >= 0.9 * min(y - x, WINDOW) for x, y in spans)
+                    if held or flagged or not spans:
+                        rows.append((text[s : e + reach], e - s, words, shared, flagged, held, work + s, work % 2))
+            yield pd.DataFrame(rows, columns=["window", "width", "words", "shared", "flagged", "held", "at", "fold"])
+
+    def sample(hosts: DataFrame, first=None) -> tuple[list, float]:
+        """Labelled windows (0: no flag, 1: flagged, 2: with a phrase), and how much likelier a flagged one was to be drawn than one without flag."""
+        held = {r["flagged"]: r["n"] for r in hosts.groupBy("flagged").agg(F.count(F.lit(1)).alias("n")).collect()}
+        share = {k: min(1.0, sample_texts / max(1, held.get(k, 0))) for k in (False, True)}
+        draw = F.pmod(F.xxhash64("text", "work_id", F.lit(3)), F.lit(2**30)) / 2**30
+        few = hosts.where(draw < F.when(F.col("flagged"), F.lit(share[True])).otherwise(F.lit(share[False])))
+        windows = few.select(F.pmod(F.xxhash64("work_id"), F.lit(2**40)).alias("work"), "text", "title", "flagged").mapInPandas(lambda batches: label(batches, first), "window string, width int, words int, shared int, flagged boolean, held boolean, at long, fold int")
+        # the windows of the smallest hash: bounded, the same on every run
+        labelled = windows.select(F.xxhash64("window", "at").alias("h"), "fold", F.struct("window", "width", "words", "shared").alias("w"), F.when(F.col("held"), 2).when(F.col("flagged"), 1).otherwise(0).alias("label"))
+        rows = topn_per_key(labelled, ["label"], [F.asc("h"), F.asc("w")], sample_windows).orderBy("label", "h", "w").collect()
+        drawn = {}
+        for k in (0, 1):
+            h = [r["h"] for r in rows if r["label"] == k]
+            drawn[k] = share[k == 1] * ((max(h) + 2.0**63) / 2.0**64 if len(h) >= sample_windows else 1.0)
+        return rows, drawn[1] / drawn[0]
+
+    def features(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        x, scale = padded([(f[:, : r["w"]["width"]].ravel(), context(r["w"]["words"], r["w"]["shared"])) for r, f in zip(rows, positions_of([r["w"]["window"] for r in rows]), strict=True)])
+        return x, scale, *(np.array([r[c] for r in rows], dtype=int) for c in ("label", "fold"))
+
+    hosts = texts.where(~F.col("unseen"))
+    taken, odds = sample(hosts)
+    held_out = len({r["label"] > 0 for r in taken}) == 2
+    if not held_out:  # windows of one label only on the training hosts: all hosts teach
+        hosts = texts
+        taken, odds = sample(hosts)
+    x, scale, marks, fold = features(taken)
+    weights, bias = fit(x, scale, (marks > 0).astype(int), balanced=False)
+    if len(set(marks > 0)) == 2:
+        margin = float(np.log(FLAG_ODDS * odds)) - 2
+        far = (marks == 0) & (margins(x, scale, weights, bias) < margin)
+        near, odds = sample(hosts, spark.sparkContext.broadcast((weights[:-1], bias, margin)))
+        x2, scale2, marks2, fold2 = features(near)
+        keep = far | (marks == 2)
+        marks[far] = -1
+        weights, bias = fit_noisy(np.concatenate([x[keep], x2]), np.concatenate([scale[keep], scale2]), np.concatenate([marks[keep], marks2]), np.concatenate([fold[keep], fold2]), float(np.log(FLAG_ODDS * odds)))
+        taken = taken + near
+    model = spark.sparkContext.broadcast((weights[:-1], bias))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b0 = model.value
         for b in batches:
             c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            texts_, titles = c["text"].to_pylist(), c["title"].to_pylist()
-            got = scores(texts_, titles, w, b0)
-            seeded = [bool(phrases(t)) for t in texts_]
-            yield pa.RecordBatch.from_arrays([c["work_id"], c["host"], c["unseen"], c["flagged"], pa.array(seeded, pa.bool_()), pa.array(got, pa.float64())], ["work_id", "host", "unseen", "flagged", "seeded", "score"])
+            texts_ = c["text"].to_pylist()
+            got = scores(texts_, c["title"].to_pylist(), w, b0)
+            seeded = [bool(phrases(t, without)) for t in texts_]
+            withheld = [bool(without) and not s and bool(phrases(t)) for t, s in zip(texts_, seeded, strict=True)]
+            yield pa.RecordBatch.from_arrays([c["work_id"], c["host"], c["unseen"], c["flagged"], pa.array(seeded, pa.bool_()), pa.array(withheld, pa.bool_()), pa.array(got, pa.float64())], ["work_id", "host", "unseen", "flagged", "seeded", "withheld", "score"])
 
-    judged = scratch.write(texts.mapInArrow(judge, "work_id string, host string, unseen boolean, flagged boolean, seeded boolean, score double"), "judged")
+    judged = scratch.write(texts.mapInArrow(judge, "work_id string, host string, unseen boolean, flagged boolean, seeded boolean, withheld boolean, score double"), "judged")
     # the threshold from a histogram of the unseen hosts' scores: bounded, whatever the number of texts
-    step = 20
-    hist = judged.where("unseen and (seeded or not flagged)").groupBy(F.floor(F.least(F.greatest(F.col("score"), F.lit(-50.0)), F.lit(50.0)) * step).alias("k"), "seeded").count().toPandas()
-    pos, neg = hist[hist["seeded"]], hist[~hist["seeded"]]
-    tried = []
-    for k in sorted({0, *hist["k"], *(hist["k"] + 1)}):
-        tp, fp = pos[pos["k"] >= k]["count"].sum(), neg[neg["k"] >= k]["count"].sum()
-        p, r = tp / max(1, tp + fp), tp / max(1, pos["count"].sum())
-        tried.append((2 * p * r / max(1e-9, p + r), k / step, p, r))
-    top = max(t[0] for t in tried)
-    best = min((t for t in tried if t[0] >= top - 0.002), key=lambda t: abs(t[1]))  # of equally good ones, the nearest to even odds
-    out = judged.select("work_id", "host", "score", (F.col("score") >= F.lit(float(best[1]))).alias("is_case"))
-    return out, {"windows": len(rows), "threshold": float(best[1]), "precision": float(best[2]) if held_out else None, "recall": float(best[3]) if held_out else None}
+    step = 1 / 20
+    k = F.floor(F.least(F.greatest(F.col("score"), F.lit(-50.0)), F.lit(50.0)) / step).alias("k")
+    count = lambda c: F.coalesce(F.sum(F.expr(c).cast("long")), F.lit(0))
+    hist = judged.where("unseen" if held_out else "true").groupBy(k).agg(F.count(F.lit(1)).alias("n"), count("flagged").alias("flagged"), count("seeded").alias("seeded"), count("seeded and flagged").alias("both")).toPandas()
+    threshold, precision, recall = best_threshold(hist, step) if held_out else (0.0, None, None)
+    out = judged.select("work_id", "host", "score", (F.col("score") >= F.lit(threshold)).alias("is_case"), "seeded", "withheld", "unseen")
+    return out, {"windows": len(taken), "threshold": threshold, "precision": precision, "recall": recall}
 
 
 def residue(abstracts: DataFrame, works: DataFrame, **options) -> DataFrame:
