@@ -4,9 +4,10 @@ Method.  Blank lines part a text into blocks; numbered headings and list entries
 brackets are paired first.  Spaced scripts go through a *terminator lattice*: every run of terminators, with the closing marks it
 takes along, is a possible end, and it is kept or dropped by what stands before (abbreviations, initials, ordinals, numbers), around (an open
 quotation or bracket inside a longer sentence) and after (lower case continues).  Spaceless scripts are segmented by a *word
-lattice* over a small dictionary around each gap, and the gap is classified through the final word before it and the opening word
-after it: a Thai blank ends a sentence, a Thai line break only between a final particle or an opening word; after a closed quotation in
-Chinese or Japanese a particle or continuation carries the sentence on, and an opening word begins a new one.
+lattice*: the span before a gap and the span after it, whole, each take their cheapest path through a dictionary (the words of a public vocabulary
+in that script, and function words).  A gap inclines one way by its kind (a Thai blank parts sentences, a Thai line break and a closed quotation do not); a final
+particle before it and an opening word after it speak for an end, a particle or conjunction on either side against it.  Every Thai blank and line break and every
+closed quotation in Chinese and Japanese is decided so.
 
 Offsets are code points from 0, end exclusive.  The units cover everything but white space.  Null and blank texts have no units; a text
 is cut by what it is, not by its language tag, which may be missing or wrong.
@@ -14,12 +15,17 @@ is cut by what it is, not by its language tag, which may be missing or wrong.
 
 from __future__ import annotations
 
+import base64
+import functools
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: A public vocabulary for many languages; its words in spaceless scripts are the dictionary of the lattices.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BLANK_LINE = re.compile(r"(?:\r\n?|\n| )[^\S\r\n]*(?:\r\n?|\n| )\s*| \s*")
 END = re.compile("[.!?…。！？｡؟۔।॥‼⁇⁈]+")
 #: Terminators that need no white space after them.
@@ -52,30 +58,45 @@ ORDINAL_NOUNS = frozenset("januar jänner februar märz april mai juni juli augu
 # What stands before a German ordinal.
 ORDINAL_LEADS = frozenset("am im vom zum zur beim der die das dem den des bis ab seit dieser dieses jeder".split())
 
-# Words of the lattices, with what they do at a gap.
-CARRY = {"zh": "随后 然后 接着 之后 并 并且 而 后 的 地 得 等 一词 一语 这样 来 而言 来说".split(), "ja": "と って という といった との とも とか は が を に で も の から まで など について とした として".split(), "th": "และ หรือ ที่ ซึ่ง โดย ของ ใน เพื่อ กับ แก่ จาก ต่อ ว่า".split()}
+# Words that a letter names, so that the letter is no initial.
+LETTERED = frozenset("panel plan class type group table figure model part appendix option case column row step phase series grade vitamin".split())
+
+# Function words of the spaceless scripts, by what they do at a gap.
+#: Words that carry a sentence on: particles, conjunctions, prepositions.
+CARRY = {
+    "zh": "的 地 得 并 并且 而 而后 随后 然后 接着 之后 后 来 等 这样 一样 一词 一语 似的 就 便 才 说 道 写道 问道 答道 表示 指出 称 为由".split(),
+    "ja": "と って という といった との とも とは とか とする として は が を に で も の から まで へ や など だけ ばかり について".split(),
+    "th": "และ หรือ ที่ ซึ่ง โดย ของ ใน เพื่อ กับ แก่ จาก ต่อ ว่า เป็น คือ ได้แก่ เช่น ถึง ตาม อัน".split(),
+}
+#: Words that open a sentence: pronouns, demonstratives, question words, connectors.
 OPEN = {
-    "zh": "因此 然而 但是 不过 此外 另外 同时 结果 我们 本文 这 该 一家 参见 样本 首先 其次 最后 总之".split(),
-    "ja": "したがって しかし また さらに 本稿 この その これ それ なぜ 改革 詳細 結論 ある そして".split(),
-    "th": "เหตุใด ทำไม ดังนั้น อย่างไรก็ตาม นอกจากนี้ งานวิจัย ข้อมูล ผลการ ผลกระทบ การศึกษา เรา บทความ แต่ เมื่อ หาก".split(),
+    "zh": "我 我们 你 你们 他 她 它 他们 她们 这 这些 那 那些 该 此 其 本文 因此 所以 然而 但 但是 不过 可是 此外 另外 同时 首先 其次 再次 最后 总之 例如 比如 如果 虽然 尽管 由于 为了 随着 根据 为什么 为何 怎么 结果 对于 关于".split(),
+    "ja": "したがって しかし だが また さらに なお そして それ それで そこで これ この その あの ここ 本稿 我々 私 私たち 彼 彼女 なぜ どう いつ もし たとえば 例えば まず 次に 最後に つまり すなわち ただし 一方 ところが".split(),
+    "th": "เหตุใด ทำไม ดังนั้น อย่างไรก็ตาม นอกจากนี้ แต่ เมื่อ หาก ถ้า เพราะ เรา ผม ฉัน เขา เธอ มัน นี่ นั่น อย่างไร ต่อมา สุดท้าย ใคร อะไร".split(),
 }
-FINAL = {"zh": "吗 呢 吧 啊 了".split(), "ja": "か ね よ わ だ です ます た".split(), "th": "ครับ ค่ะ คะ นะ แล้ว คงที่ ช้า ด้วย เลย".split()}
+#: Words that end a sentence: final particles and endings.
+FINAL = {"zh": "吗 呢 吧 啊 呀 啦 嘛 哦 了".split(), "ja": "か ね よ わ さ ぞ です ます でした ました だ である た ない".split(), "th": "ครับ ค่ะ คะ นะ แล้ว ด้วย เลย จ้ะ สิ หรอก มั้ย ไหม เถอะ".split()}
+#: Inclination of a gap to be an end before any word is looked at: a Thai blank parts sentences, a Thai line break or a closed quotation does not.
+PRIOR = {"blank": 3.0, "break": -1.0, "quotation": -1.0}
+BEFORE, AFTER = {"final": 2.0, "carry": -2.0}, {"open": 2.0, "carry": -2.0}
+_SPACELESS = {"zh": re.compile("[々㐀-鿿豈-﫿]+"), "ja": re.compile("[々-ヿ㐀-鿿豈-﫿]+"), "th": re.compile(f"[{THAI}]+")}
 
 
 class WordLattice:
     """Cheapest path through the dictionary words that match a span; single signs are the costly way out."""
 
-    def __init__(self, words: list[str]):
-        self.words = frozenset(words)
-        self.longest = max(map(len, words))
+    def __init__(self, cost: dict[str, float]):
+        self.cost = cost
+        self.longest = max(map(len, cost), default=1)
 
     def path(self, span: str) -> list[str]:
-        best: list[tuple[int, int]] = [(0, 0)]  # cost, start of the last word
+        best: list[tuple[float, int]] = [(0.0, 0)]  # cost, start of the last word
         for e in range(1, len(span) + 1):
-            options = [(best[e - 1][0] + 10, e - 1)]
+            options = [(best[e - 1][0] + 24.0, e - 1)]
             for s in range(max(0, e - self.longest), e):
-                if span[s:e] in self.words:
-                    options.append((best[s][0] + 4 + (e - s == 1) * 4, s))
+                c = self.cost.get(span[s:e])
+                if c is not None:
+                    options.append((best[s][0] + c, s))
             best.append(min(options))
         out, e = [], len(span)
         while e:
@@ -85,9 +106,64 @@ class WordLattice:
         return out[::-1]
 
 
-LATTICES = {k: WordLattice(CARRY[k] + OPEN[k] + FINAL[k]) for k in CARRY}
-_SETS = {k: (frozenset(CARRY[k]), frozenset(OPEN[k]), frozenset(FINAL[k])) for k in CARRY}
-REACH = 16
+def dictionaries(vocabulary: str = VOCABULARY) -> dict[str, dict[str, float]]:
+    """Words with their costs, for each spaceless script: the entries of a public vocabulary in that script, the dearer the later they come, and the function words."""
+    out: dict[str, dict[str, float]] = {k: {} for k in _SPACELESS}
+    with open(vocabulary, "rb") as f:
+        for rank, line in enumerate(f):
+            try:
+                word = base64.b64decode(line.split()[0]).decode().strip()
+            except (ValueError, IndexError):  # part of a sign, or an empty line
+                continue
+            for k, signs in _SPACELESS.items():
+                if signs.fullmatch(word):
+                    out[k].setdefault(word, 3 + math.log2(rank + 2))
+    for k, words in out.items():
+        for w in CARRY[k] + OPEN[k] + FINAL[k]:
+            words[w] = 7.0 + (len(w) == 1)
+    return out
+
+
+class Gaps:
+    """Classifier of the gaps of spaceless scripts: what the lattice words beside a gap do, over the whole spans up to the next marks or blanks."""
+
+    def __init__(self, words: dict[str, dict[str, float]]):
+        self.lattices = {k: WordLattice(c) for k, c in words.items()}
+        self.does = {k: {w: "carry" for w in CARRY[k]} for k in words}
+        self.opens, self.finals = ({k: frozenset(x[k]) for k in words} for x in (OPEN, FINAL))
+
+    def is_end(self, kind: str, gap: str, before: str, after: str) -> bool:
+        """Whether a sentence ends at a gap between two spans of a script."""
+        score = PRIOR[gap]
+        if before:
+            last = self.lattices[kind].path(before)[-1]
+            score += BEFORE["final"] if last in self.finals[kind] else BEFORE["carry"] if gap != "quotation" and last in self.does[kind] else 0.0
+            score -= 1.0 if gap == "quotation" and last in self.finals[kind] else 0.0  # what is quoted ends there anyway: half as telling
+        if after:
+            first = self.lattices[kind].path(after)[0]
+            score += AFTER["open"] if first in self.opens[kind] else AFTER["carry"] if first in self.does[kind] else 0.0
+        return score > 0
+
+
+@functools.cache
+def default_gaps() -> Gaps:
+    return Gaps(dictionaries())
+
+
+def span_before(text: str, start: int, end: int, kind: str) -> str:
+    """The signs of a script that end at ``end``, marks and blanks in between skipped once."""
+    e = end
+    while e > start and not _SPACELESS[kind].match(text[e - 1]):
+        e -= 1
+    s = e
+    while s > start and _SPACELESS[kind].match(text[s - 1]):
+        s -= 1
+    return text[s:e]
+
+
+def span_after(text: str, at: int, kind: str) -> str:
+    m = _SPACELESS[kind].match(text, at)
+    return m.group() if m else ""
 
 
 def script(c: str) -> str:
@@ -135,6 +211,17 @@ def pair_marks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def word_before(text: str, i: int) -> str:
+    """The word before position ``i`` and the white space there."""
+    e = i
+    while e and text[e - 1].isspace():
+        e -= 1
+    s = e
+    while s and (text[s - 1].isalnum() or text[s - 1] == "_"):
+        s -= 1
+    return text[s:e] if e < i else ""
+
+
 def _goes_on(text: str, dot: int, k: int) -> bool:
     """Whether a single full stop at ``dot`` belongs to an abbreviation, initial or ordinal that the sentence goes on after; ``k``: next sign."""
     i = dot
@@ -157,13 +244,12 @@ def _goes_on(text: str, dot: int, k: int) -> bool:
         before = text[:i].rstrip()
         return not (before and before[-1].isdigit())
     if len(low) == 1 and low.isalpha():
-        return script(low) == "cased" and not (i and text[:i].rstrip().endswith(("Panel", "panel", "Plan", "plan", "Class", "class", "Type", "type", "Group", "group")))
+        return script(low) == "cased" and word_before(text, i).lower() not in LETTERED
     if low.isdigit() and len(low) <= 2 and nxt.isupper():
         after = re.match(r"\w+", text[k:])
         if after and after.group().lower() in ORDINAL_NOUNS:
             return True
-        lead = re.search(r"(\w+)\s+$", text[max(0, i - 20) : i])
-        return bool(lead) and lead.group(1).lower() in ORDINAL_LEADS
+        return word_before(text, i).lower() in ORDINAL_LEADS
     return False
 
 
@@ -177,14 +263,7 @@ def _opens_low(text: str, k: int) -> bool:
     return not (k + 2 < n and (text[k + 1].isupper() or (text[k + 1].islower() and text[k + 2].isupper())))
 
 
-def _carried_on(text: str, k: int, kind: str) -> bool:
-    """After a closed quotation, whether spaceless text at ``k`` carries the sentence on."""
-    words = LATTICES[kind].path(text[k : k + REACH])
-    carry, opening, _ = _SETS[kind]
-    return words[0] in carry or words[0] not in opening
-
-
-def _ends(text: str) -> list[tuple[int, int]]:
+def _ends(text: str, classify: Gaps) -> list[tuple[int, int]]:
     """(end, next start) of every sentence but the last of one block."""
     n = len(text)
     pairs = pair_marks(text) if MARKS.search(text) else []
@@ -203,11 +282,10 @@ def _ends(text: str) -> list[tuple[int, int]]:
         if gap is not None:
             if outer(s, gap):
                 continue
-            if "\n" in text[s:gap] or "\r" in text[s:gap]:
-                after = LATTICES["th"].path(text[gap : gap + REACH])[0] in _SETS["th"][1]
-                before = LATTICES["th"].path(text[max(start, s - REACH) : s])[-1] in _SETS["th"][2]
-                if not (after or before):
-                    continue
+            kind = "break" if "\n" in text[s:gap] or "\r" in text[s:gap] else "blank"
+            before = span_before(text, s - 1, s, "th") and span_before(text, start, s, "th")
+            if not classify.is_end("th", kind, before, span_after(text, gap, "th")):
+                continue
             found.append((s, gap))
             start = gap
             continue
@@ -252,7 +330,8 @@ def _ends(text: str) -> list[tuple[int, int]]:
             frm = script(next((c for c in reversed(text[start : min(inner)]) if c.isalnum()), "0"))
             if to in ("han", "ja") and frm in ("han", "ja"):
                 ja = to == "ja" or frm == "ja" or bool(re.search("[぀-ヿ]", text[start:e]))
-                if _carried_on(text, k, "ja" if ja else "zh"):
+                kind = "ja" if ja else "zh"
+                if not classify.is_end(kind, "quotation", span_before(text, start, e, kind), span_after(text, k, kind)):
                     continue
             elif to in ("ar", "hi", "th") and to == frm:
                 continue
@@ -261,10 +340,11 @@ def _ends(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
+def sentences(text: str | None, classify: Gaps | None = None) -> list[tuple[int, int]]:
     """(start, end) of every sentence unit of a text, in order."""
     if not text:
         return []
+    classify = classify or default_gaps()
     out: list[tuple[int, int]] = []
     blocks, at = [], 0
     for m in BLANK_LINE.finditer(text):
@@ -283,23 +363,28 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             out.append((base, base + len(block)))
             continue
         begin = 0
-        for e, k in _ends(block):
+        for e, k in _ends(block, classify):
             out.append((base + begin, base + e))
             begin = k
         out.append((base + begin, base + len(block)))
     return out
 
 
-def sentence_units(documents: DataFrame) -> DataFrame:
-    """(doc_id, start_char, end_char) of all documents; a narrow map, without any shuffle."""
+def sentence_units(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, start_char, end_char) of all documents; a narrow map, without any shuffle.
+
+    ``vocabulary``: a public vocabulary (base64 entry and rank on each line), read by the driver; its words in spaceless scripts, some thousands, are broadcast.
+    """
+    words = documents.sparkSession.sparkContext.broadcast(dictionaries(vocabulary))
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classify = Gaps(words.value)
         for b in batches:
             ids = b.column(0).to_pylist()
             docs, starts, ends = [], [], []
             for doc, text in zip(ids, b.column(1).to_pylist(), strict=True):
-                for s, e in sentences(text):
+                for s, e in sentences(text, classify):
                     docs.append(doc)
                     starts.append(s)
                     ends.append(e)

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from claimloom.llm.sentences import sentence_units, sentences
+from claimloom.llm.sentences import Gaps, dictionaries, sentence_units, sentences
 
 CASES = [
     ["Growth fell by 3.5 per cent.", "Version 2.5.0 of the register helps."],
@@ -47,6 +47,33 @@ def test_thai_blanks():
     assert [text[s:e] for s, e in sentences(text)] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [  # wording that occurs in no test table
+        ("他问：“你去吗？”然后走了。天黑了。", ["他问：“你去吗？”然后走了。", "天黑了。"]),
+        ("她笑着说：“明天再来吧。”但是没有人回答。", ["她笑着说：“明天再来吧。”", "但是没有人回答。"]),
+        ("老师写下“春天来了。”的句子。大家都念。", ["老师写下“春天来了。”的句子。", "大家都念。"]),
+        ("父は「早く寝なさい。」と言った。母は黙っていた。", ["父は「早く寝なさい。」と言った。", "母は黙っていた。"]),
+        ("彼は「もう帰ろうか。」しかし誰も動かなかった。", ["彼は「もう帰ろうか。」", "しかし誰も動かなかった。"]),
+        ("兄の「行くぞ！」という声で目が覚めた。", ["兄の「行くぞ！」という声で目が覚めた。"]),
+        ("แมวนอนหลับบนเก้าอี้ หมาวิ่งเล่นในสวน", ["แมวนอนหลับบนเก้าอี้", "หมาวิ่งเล่นในสวน"]),
+        ("ฝนตกหนักมากครับ\nเมื่อวานน้ำท่วมถนน", ["ฝนตกหนักมากครับ", "เมื่อวานน้ำท่วมถนน"]),
+        ("พ่อซื้อข้าวและ\nปลาที่ตลาด", ["พ่อซื้อข้าวและ\nปลาที่ตลาด"]),
+        ("เขาชอบกินส้มและ ที่บ้านมีต้นส้ม", ["เขาชอบกินส้มและ ที่บ้านมีต้นส้ม"]),
+    ],
+)
+def test_gaps_of_spaceless_scripts_by_the_words_beside_them(text, want):
+    assert [text[s:e] for s, e in sentences(text)] == want
+
+
+def test_lattice_and_dictionary():
+    words = dictionaries()
+    assert all(len(w) > 100 for w in words.values())
+    assert Gaps(words).lattices["zh"].path("然后我们")[:2] == ["然后", "我们"]
+    text = "In Panel A. It rose. See J. Smith. Nach dem   3. Quartal fiel er."
+    assert [text[s:e] for s, e in sentences(text)] == ["In Panel A.", "It rose.", "See J. Smith.", "Nach dem   3. Quartal fiel er."]
+
+
 def test_blocks_headings_lists():
     text = " \nIntroduction\n \n2. Results\r\n\r\n3. Agrarian skill mismatch.\n\nA line\nbreak ends nothing. Next one.\n\n\nA.1 Checks"
     assert [text[s:e] for s, e in sentences(text)] == ["Introduction", "2. Results", "3. Agrarian skill mismatch.", "A line\nbreak ends nothing.", "Next one.", "A.1 Checks"]
