@@ -1,7 +1,7 @@
 """Label normalisation and signatures.
 
-``normalized`` stays in the JVM: dash folding, case, punctuation.  Only labels that need Unicode compatibility folding go through an Arrow-batched UDF
-(``normalized_any``).  The sequence ratio has no built-in counterpart and is a batched UDF too.
+Dash folding, case and punctuation are built-ins.  Compatibility folding (NFKC, full case folding) has none, so labels with signs beyond ASCII and common dashes,
+quotes and blanks go through an Arrow-batched UDF; for all others it is handed a null.  The sequence ratio is a batched UDF too.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ def _squeezed(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[ \-]+|[ \-]+$", "")
 
 
-def normalized(c: Column) -> Column:
-    """Lower case, dashes folded, & spelled out, / as blank, other punctuation but brackets and hyphens as blank (null stays null)."""
+def normalized_simple(c: Column) -> Column:
+    """``normalized`` for labels that compatibility folding leaves as they are."""
     x = F.regexp_replace(c, "[–—−]", "-")
     x = F.lower(F.regexp_replace(x, "&", " and "))
     return _squeezed(F.regexp_replace(x, r"[^0-9a-z()\-\s]+", " "))
@@ -36,9 +36,10 @@ def _compatible(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
-def normalized_any(c: Column) -> Column:
-    """As ``normalized``, with compatibility folding first; plain ASCII labels never leave the JVM."""
-    return normalized(F.when(c.rlike(r"[^\x00-\x7f]"), _compatible(c)).otherwise(c))
+def normalized(c: Column) -> Column:
+    """Compatibility form, dashes folded, & spelled out, folded case, / as blank, other punctuation but brackets and hyphens as blank (null stays null)."""
+    rare = c.rlike("[^\\x00-\\x7f–—−“”‘’\u00a0\u2009]")
+    return normalized_simple(F.coalesce(_compatible(F.when(rare, c)), c))
 
 
 def without_acronym(norm: Column) -> Column:
@@ -47,7 +48,7 @@ def without_acronym(norm: Column) -> Column:
 
 def acronym(raw: Column) -> Column:
     """The upper-case name in brackets at the end, or the empty string."""
-    return F.coalesce(normalized(F.regexp_extract(raw, r"\s*\(([A-Z][A-Z0-9&/\-]{1,14})\)\s*$", 1)), F.lit(""))
+    return F.coalesce(normalized_simple(F.regexp_extract(raw, r"\s*\(([A-Z][A-Z0-9&/\-]{1,14})\)\s*$", 1)), F.lit(""))
 
 
 def plain(norm: Column) -> Column:
@@ -131,7 +132,7 @@ def slug(c: Column, most: int = 40) -> Column:
 
 
 def is_true(c: Column) -> Column:
-    """Twelve spellings of booleans; anything else is false."""
-    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("1", "true", "t", "yes", "y", "1.0"), F.lit(False))
+    """True for 1, true, t, yes and y, in any case and between blanks; anything else, null included, is false."""
+    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("1", "true", "t", "yes", "y"), F.lit(False))
 
 

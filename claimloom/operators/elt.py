@@ -37,13 +37,23 @@ def rebuilt_abstracts(children: DataFrame) -> DataFrame:
     return t.select("work_id", F.size("t").cast("long").alias("words"), F.array_join(F.transform("t", lambda x: x["child_key"]), " ").alias("text"))
 
 
-def abstract_quality(abstracts: DataFrame, short: int = 50, too_short: int = 20) -> DataFrame:
-    """Ordered rules on presence and length of the text."""
-    text = F.trim("abstract_text")
-    words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
-    semis = F.length(F.coalesce(text, F.lit(""))) - F.length(F.replace(F.coalesce(text, F.lit("")), F.lit(";"), F.lit("")))
-    rule = F.when(words == 0, "missing").when(F.lower(text).rlike("^(n/?a|none|null|tb[ad])$"), "placeholder").when(words < too_short, "too_short").when(semis * 5 > words, "list_like").when(words < short, "usable_short").otherwise("usable")
-    return abstracts.select("work_id", words.alias("words"), rule.alias("quality"))
+# What a placeholder, and what a bare metadata line, contains.
+PLACEHOLDERS = ["none", "none.", "not available", "n/a"]
+PLACEHOLDER_PARTS = ["an abstract is not available", "abstract is not available", "no abstract available", "please use the get access link", "for information on how to access this content", "preview has been provided"]
+METADATA_PARTS = ["clinicaltrials.gov identifier", "trial registration", "registration number", "funded by", "supported by"]
+
+
+def abstract_quality(abstracts: DataFrame) -> DataFrame:
+    """(work_id, words, quality, has_abstract, ready): nine ordered rules on words, tokens, semicolons and stock phrases; a null text is missing."""
+    text = F.trim(F.regexp_replace(F.coalesce("abstract_text", F.lit("")), r"\s+", " "))
+    low, words = F.lower(text), F.when(text == "", 0).otherwise(F.size(F.split(text, " "))).cast("long")
+    semis, tokens = F.regexp_count(text, F.lit(";")), F.regexp_count(text, F.lit("[A-Za-z0-9]+"))
+    holds = lambda parts: F.greatest(*[low.contains(p) for p in parts])
+    bare = (tokens <= 8) & ~text.contains(".") & ~text.contains(":")
+    rule = F.when(words == 0, "missing").when(low.isin(PLACEHOLDERS) | holds(PLACEHOLDER_PARTS), "placeholder").when((words < 20) & (holds(METADATA_PARTS) | bare), "metadata_only")
+    rule = rule.when((words < 25) & (semis >= 2), "keyword_list").when(words < 20, "too_short").when(words < 30, "borderline_short").when(words < 50, "usable_short").otherwise("usable")
+    good = rule.startswith("usable").cast("int")
+    return abstracts.select("work_id", words.alias("words"), rule.alias("quality"), good.alias("has_abstract"), good.alias("ready"))
 
 
 def classify_source(name_col: str = "name", exclude: str = "newsletter|magazine", adjacent: str = "management|policy", core: str = "econom|journal"):

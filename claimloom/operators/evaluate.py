@@ -7,11 +7,13 @@ not the square of the nodes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import decile
-from ..plans.order import running_before
+from ..plans.order import running_within
 from ..plans.skew import topn_per_key
 
 
@@ -49,57 +51,87 @@ def ranking_metrics(ranks: DataFrame, by: list[str], ks: list[int]) -> DataFrame
     return ranks.groupBy(*by).agg(*aggs)
 
 
-def attachment_ranks(train_edges: DataFrame, positives: DataFrame) -> DataFrame:
-    """Rank of each positive link (u, v) among all missing pairs by out-degree(u) x in-degree(v), ties by (u, v); zero products stay unranked.
+def attachment_ranks(train_edges: DataFrame, positives: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(u, v, p, above, free): of each positive link (u, v) with a product p = out-degree(u) x in-degree(v), the missing pairs with a larger product, and with the same.
 
-    Pairs with a larger product are counted from the two degree histograms; existing edges and loops, which are no candidates, are subtracted.
-    Ties of one product are counted from the nodes of its degree pairs with smaller names.
+    Pairs are counted from the two degree histograms; existing edges and loops, which are no candidates, are subtracted.  Zero products stay unranked.
     """
-    out = train_edges.groupBy("src").agg(F.count_distinct("dst").alias("o"))
-    inn = train_edges.groupBy("dst").agg(F.count_distinct("src").alias("i"))
-    pos = positives.join(out.withColumnRenamed("src", "u"), "u").join(inn.withColumnRenamed("dst", "v"), "v").withColumn("p", F.col("o") * F.col("i"))
-    ho, hi = out.groupBy("o").agg(F.count(F.lit(1)).alias("no")), inn.groupBy("i").agg(F.count(F.lit(1)).alias("ni"))
+    by = list(by)
+    out = train_edges.groupBy(*by, "src").agg(F.count_distinct("dst").alias("o"))
+    inn = train_edges.groupBy(*by, "dst").agg(F.count_distinct("src").alias("i"))
+    pos = positives.join(out.withColumnRenamed("src", "u"), [*by, "u"]).join(inn.withColumnRenamed("dst", "v"), [*by, "v"]).withColumn("p", F.col("o") * F.col("i"))
+    ho, hi = out.groupBy(*by, "o").agg(F.count(F.lit(1)).alias("no")), inn.groupBy(*by, "i").agg(F.count(F.lit(1)).alias("ni"))
     # distinct degrees are few (at most the square root of twice the edges), so this product is bounded by the number of edges
-    products = ho.crossJoin(F.broadcast(hi)).groupBy((F.col("o") * F.col("i")).alias("p")).agg(F.sum(F.col("no") * F.col("ni")).alias("pairs"))
-    loops = out.join(inn, out["src"] == inn["dst"]).select((F.col("o") * F.col("i")).alias("p"))
-    known = train_edges.select("src", "dst").distinct().where("src <> dst").join(out, "src").join(inn, "dst").select((F.col("o") * F.col("i")).alias("p"))
-    taken = loops.unionByName(known).groupBy("p").agg(F.count(F.lit(1)).alias("gone"))
-    free = products.join(taken, "p", "left").select("p", (F.col("pairs") - F.coalesce("gone", F.lit(0))).alias("free"))
-    above = running_before(free, [F.desc("p")], F.col("free"), "above")
-    return pos.join(above, "p").select("u", "v", "p", "above", "free")
+    every = ho.join(hi, by) if by else ho.crossJoin(hi)
+    products = every.groupBy(*by, (F.col("o") * F.col("i")).alias("p")).agg(F.sum(F.col("no") * F.col("ni")).alias("pairs"))
+    loops = out.withColumnRenamed("src", "node").join(inn.withColumnRenamed("dst", "node"), [*by, "node"]).select(*by, (F.col("o") * F.col("i")).alias("p"))
+    known = train_edges.select(*by, "src", "dst").distinct().where("src <> dst").join(out, [*by, "src"]).join(inn, [*by, "dst"]).select(*by, (F.col("o") * F.col("i")).alias("p"))
+    taken = loops.unionByName(known).groupBy(*by, "p").agg(F.count(F.lit(1)).alias("gone"))
+    free = products.join(taken, [*by, "p"], "left").select(*by, "p", (F.col("pairs") - F.coalesce("gone", F.lit(0))).alias("free"))
+    above = running_within(free, by, [F.desc("p")], F.col("free"), "above")
+    return pos.join(above, [*by, "p"]).select(*by, "u", "v", "p", "above", "free")
 
 
 def _mean_rank() -> Column:
     return F.col("above") + (F.col("n") + 1) / 2
 
 
-def scored_ranks(scored: DataFrame, positives: DataFrame, by: str = "score") -> DataFrame:
+def scored_ranks(scored: DataFrame, positives: DataFrame, column: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Rank of each positive (u, v) among scored links by a score of 6 digits, ties at their mean rank; null where it is not scored.
 
     Counted from a histogram of the distinct scores, cumulated over ranges; only the positives are joined.  A first place for every tied link
     would let a model of few distinct scores look perfect.
     """
-    s = scored.select("u", "v", F.round(by, 6).alias("s"))
-    above = running_before(s.groupBy("s").agg(F.count(F.lit(1)).alias("n")), [F.desc("s")], F.col("n"), "above").select("s", _mean_rank().alias("rank"))
-    return positives.join(s, ["u", "v"], "left").join(above, "s", "left").select(*positives.columns, "rank")
+    by = list(by)
+    s = scored.select(*by, "u", "v", F.round(column, 6).alias("s"))
+    above = running_within(s.groupBy(*by, "s").agg(F.count(F.lit(1)).alias("n")), by, [F.desc("s")], F.col("n"), "above").select(*by, "s", _mean_rank().alias("rank"))
+    return positives.join(s, [*by, "u", "v"], "left").join(above, [*by, "s"], "left").select(*positives.columns, "rank")
 
 
-def gap_ranks(pairs: DataFrame, train_edges: DataFrame, positives: DataFrame, n_nodes: int) -> DataFrame:
+def gap_ranks(pairs: DataFrame, train_edges: DataFrame, positives: DataFrame, n_nodes: int, by: Sequence[str] = ()) -> DataFrame:
     """Rank of each positive (u, v) among all missing ordered pairs of ``n_nodes`` concepts by co-occurrence gap (1 for a pair that never occurred), ties at their mean rank.
 
     Pairs that never occurred are counted, not written: all ordered pairs less both directions of the occurring ones.  Observed edges, which
     are no candidates, are left out of either class; a positive that is an edge of the training has no rank.
     """
-    both = pairs.select("u", "v", "gap_bonus").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "gap_bonus"))
-    known = train_edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct()
-    seen = both.join(known, ["u", "v"], "left_anti").groupBy(F.round("gap_bonus", 6).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    by = list(by)
+    both = pairs.select(*by, "u", "v", "gap_bonus").unionByName(pairs.select(*by, F.col("v").alias("u"), F.col("u").alias("v"), "gap_bonus"))
+    known = train_edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct()
+    seen = both.join(known, [*by, "u", "v"], "left_anti").groupBy(*by, F.round("gap_bonus", 6).alias("g")).agg(F.count(F.lit(1)).alias("n"))
     # an observed edge lies within a paper, so it is one of the occurring pairs: missing and never occurred = all - both directions of the occurring
-    never = pairs.agg((F.lit(n_nodes) * F.lit(n_nodes - 1) - 2 * F.count(F.lit(1))).cast("long").alias("n")).select(F.lit(1.0).alias("g"), "n")
-    free = seen.unionByName(never).groupBy("g").agg(F.sum("n").alias("n"))
-    above = running_before(free, [F.desc("g")], F.col("n"), "above").select("g", _mean_rank().alias("rank"))
-    hits = positives.join(known, ["u", "v"], "left_anti").join(both, ["u", "v"], "left").withColumn("g", F.round(F.coalesce("gap_bonus", F.lit(1.0)), 6))
-    ranks = hits.join(above, "g").select("u", "v", "rank").distinct()
-    return positives.join(ranks, ["u", "v"], "left").select(*positives.columns, "rank")
+    never = pairs.groupBy(*by).agg((F.lit(n_nodes) * F.lit(n_nodes - 1) - 2 * F.count(F.lit(1))).cast("long").alias("n")).select(*by, F.lit(1.0).alias("g"), "n")
+    free = seen.unionByName(never).groupBy(*by, "g").agg(F.sum("n").alias("n"))
+    above = running_within(free, by, [F.desc("g")], F.col("n"), "above").select(*by, "g", _mean_rank().alias("rank"))
+    hits = positives.join(known, [*by, "u", "v"], "left_anti").join(both, [*by, "u", "v"], "left").withColumn("g", F.round(F.coalesce("gap_bonus", F.lit(1.0)), 6))
+    ranks = hits.join(above, [*by, "g"]).select(*by, "u", "v", "rank").distinct()
+    return positives.join(ranks, [*by, "u", "v"], "left").select(*positives.columns, "rank")
+
+
+def gap_baseline(pairs: DataFrame, train_edges: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` missing ordered pairs that have occurred together, by co-occurrence gap (desc), then name; pairs that never occurred all have gap 1 and are counted in ``gap_ranks``."""
+    both = pairs.select("u", "v", "gap_bonus").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "gap_bonus"))
+    missing = both.join(train_edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti")
+    return missing.orderBy(F.desc("gap_bonus"), "u", "v").limit(k)
+
+
+def model_summary(metrics: DataFrame, values: list[str]) -> DataFrame:
+    """Mean of metrics per model and horizon over the cutoffs, and the number of cutoffs."""
+    return metrics.groupBy("model", "horizon").agg(F.count_distinct("cutoff").alias("cutoffs"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in values])
+
+
+def paired_models(metrics: DataFrame, left: str, right: str, values: list[str]) -> DataFrame:
+    """(cutoff, horizon, metric, left, right, delta) of two models on the same cutoffs and horizons."""
+    long = lambda m, name: metrics.where(F.col("model") == m).select("cutoff", "horizon", F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(name)) for c in values])))
+    j = long(left, "left_value").join(long(right, "right_value"), ["cutoff", "horizon", "metric"])
+    return j.withColumn("delta", F.round(F.col("left_value") - F.col("right_value"), 9))
+
+
+def win_rates(metrics: DataFrame, left: str, right: str, first: str, second: str) -> DataFrame:
+    """Per horizon, the share of cutoffs where ``left`` is at least as good as ``right`` by one metric, by the other, and by both."""
+    p = paired_models(metrics, left, right, [first, second]).groupBy("cutoff", "horizon").agg(*[F.max(F.when(F.col("metric") == m, F.col("delta"))).alias(m) for m in (first, second)])
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    a, b = F.col(first) >= 0, F.col(second) >= 0
+    return p.groupBy("horizon").agg(F.count(F.lit(1)).alias("cutoffs"), share(a).alias(f"wins_{first}"), share(b).alias(f"wins_{second}"), share(a & b).alias("wins_both"))
 
 
 def heterogeneity(claims: DataFrame) -> DataFrame:

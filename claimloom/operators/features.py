@@ -1,112 +1,130 @@
 """Graph features of missing links: co-occurrence gaps, two- and three-hop path support, local motifs.
 
 The fan-out of each mediator is cut to its strongest neighbours *before* the self-join (a rank filter that Spark pushes below the
-shuffle), so a hub with a third of all edges contributes at most n x n rows.
+shuffle), so a hub with a third of all edges contributes at most n x n rows.  Paths and motifs share one self-join, and observed edges enter the
+aggregation as marked rows, so what they rule out needs no join of its own: rows of two hops are shuffled once, combined map-side.
+
+``by`` names columns that part the claims into independent graphs (as one per cutoff year), worked on in one plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.claims import until
+from ..plans.scratch import Scratch
 from ..plans.skew import topn_per_key
 
+#: Papers with more concepts than this spread their pairs over tasks.
+MANY_CONCEPTS = 2000
+
 
-def edge_aggregate(claims: DataFrame, cutoff: int | None = None) -> DataFrame:
+def edge_aggregate(claims: DataFrame, cutoff: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """One row per directed edge: summed weight and number of claims (combined map-side)."""
-    return until(claims, cutoff).groupBy("src", "dst").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
+    return until(claims, cutoff).groupBy(*by, "src", "dst").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
-def node_degree(edges: DataFrame) -> DataFrame:
+def node_degree(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distinct in-neighbours plus distinct out-neighbours per node."""
-    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count(F.lit(1)).alias("degree"))
+    ends = edges.select(*by, F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(*by, F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    return ends.groupBy(*by, "node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count(F.lit(1)).alias("degree"))
 
 
-def underexplored_pairs(claims: DataFrame, tau: int = 2, cutoff: int | None = None) -> DataFrame:
+def underexplored_pairs(claims: DataFrame, tau: int = 2, cutoff: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Concepts of one paper in unordered pairs (u < v): papers with both, first and last year, gap below ``tau``.
 
     A paper's year is its smallest row year; papers whose only claims are self-loops have no pair.  All pairs of a paper are the result itself; what
-    is gathered per paper is its distinct concepts, never its rows.
+    is gathered per paper is its distinct concepts, never its rows, and the pairs of a paper with very many concepts are spread over tasks by their first concept.
     """
     c = until(claims, cutoff)
-    member = c.select("paper_id", "year", F.explode(F.array("src", "dst")).alias("code"))
-    paper = member.groupBy("paper_id").agg(F.min("year").alias("year"), F.array_sort(F.collect_set("code")).alias("codes"))
-    pairs = paper.select("year", "codes", F.posexplode("codes").alias("k", "u")).select("year", "u", F.explode(F.expr("slice(codes, k + 2, size(codes))")).alias("v"))
-    out = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("cooc_count"), F.min("year").alias("first_year_seen"), F.max("year").alias("last_year_seen"))
+    member = c.select(*by, "paper_id", "year", F.explode(F.array("src", "dst")).alias("code"))
+    paper = member.groupBy(*by, "paper_id").agg(F.min("year").alias("year"), F.array_sort(F.collect_set("code")).alias("codes"))
+    first = lambda df: df.select(*by, "year", "codes", F.posexplode("codes").alias("k", "u"))
+    rows = first(paper.where(F.size("codes") <= MANY_CONCEPTS)).unionByName(first(paper.where(F.size("codes") > MANY_CONCEPTS)).repartition("u"))
+    pairs = rows.select(*by, "year", "u", F.explode(F.expr("slice(codes, k + 2, size(codes))")).alias("v"))
+    out = pairs.groupBy(*by, "u", "v").agg(F.count(F.lit(1)).alias("cooc_count"), F.min("year").alias("first_year_seen"), F.max("year").alias("last_year_seen"))
     gap = F.least(F.greatest((tau - F.col("cooc_count")) / max(tau, 1), F.lit(0.0)), F.lit(1.0))
     return out.withColumn("gap_bonus", gap).withColumn("underexplored", F.col("cooc_count") < tau)
 
 
-def _strongest(edges: DataFrame, end: str, other: str, by: str, n: int) -> DataFrame:
-    return topn_per_key(edges, [end], [F.desc(by), F.asc(other)], n)
+def _strongest(edges: DataFrame, end: str, other: str, order: str, n: int, by: Sequence[str]) -> DataFrame:
+    return topn_per_key(edges, [*by, end], [F.desc(order), F.asc(other)], n)
+
+
+def hop_rows(edges: DataFrame, n: int, paths: bool = True, motifs: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """u -> w -> v rows, loops left out: (u, w, v, path_support_raw, hub_penalty, mediator_count, motif_bonus_raw, motif_count).
+
+    Both sides are cut to the strongest ``n`` per mediator, by weight for paths and by number of claims for motifs; a row counts for a kind if
+    both its edges are within the cut of that kind.  Hubs are discounted by 1 / (1 + log(1 + degree)).
+    """
+    kinds = [k for k, on in (("weight", paths), ("n", motifs)) if on]
+
+    def side(end: str, other: str, name: str, tag: str) -> DataFrame:
+        parts = [_strongest(edges, end, other, k, n, by).select(*by, F.col(end).alias("w"), F.col(other).alias(name), "weight", "n", *[F.lit(int(k == x)).alias(f"_{x}") for x in ("weight", "n")]) for k in kinds]
+        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy(*by, "w", name).agg(*[F.max(c).alias(c) for c in ("weight", "n", "_weight", "_n")])
+        return out.select(*by, "w", name, *[F.col(c).alias(f"{tag}{c}") for c in ("weight", "n", "_weight", "_n")])
+
+    degree = node_degree(edges, by).select(*by, F.col("node").alias("w"), (1 / (1 + F.log1p("degree"))).alias("disc"))
+    rows = side("dst", "src", "u", "a").join(side("src", "dst", "v", "b").join(degree, [*by, "w"]), [*by, "w"]).where("u <> v")
+    path, motif = (F.col("a_weight") * F.col("b_weight")), (F.col("a_n") * F.col("b_n"))
+    both = F.col("aweight") * F.col("bweight") * path
+    return rows.select(*by, "u", "w", "v", (both * F.col("disc")).alias("path_support_raw"), (both * (1 - F.col("disc"))).alias("hub_penalty"), path.cast("long").alias("mediator_count"), (F.sqrt(F.col("an") * F.col("bn")) * motif).alias("motif_bonus_raw"), motif.cast("long").alias("motif_count")).where("mediator_count + motif_count > 0")
 
 
-def two_hop(edges: DataFrame, by: str, n: int) -> DataFrame:
-    """u -> w -> v rows over missing links, both sides cut to the strongest ``n`` per mediator."""
-    ins = _strongest(edges, "dst", "src", by, n).select(F.col("dst").alias("w"), F.col("src").alias("u"), F.col(by).alias("a"))
-    outs = _strongest(edges, "src", "dst", by, n).select(F.col("src").alias("w"), F.col("dst").alias("v"), F.col(by).alias("b"))
-    known = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    return ins.join(outs, "w").where("u <> v").join(known, ["u", "v"], "left_anti")
+SUMS = {"path_support_raw": 0.0, "mediator_count": 0, "hub_penalty": 0.0, "motif_count": 0, "motif_bonus_raw": 0.0}
 
 
-def paths_2(claims: DataFrame, cutoff: int | None = None, n: int = 120) -> DataFrame:
-    """Two-hop paths (u, w, v, support, penalty); hubs are discounted by 1 / (1 + log(1 + degree))."""
-    edges = edge_aggregate(claims, cutoff)
-    degree = node_degree(edges).select(F.col("node").alias("w"), "degree")
-    disc = 1 / (1 + F.log1p("degree"))
-    return two_hop(edges, "weight", n).join(degree, "w").select("u", "w", "v", (F.col("a") * F.col("b") * disc).alias("support"), (F.col("a") * F.col("b") * (1 - disc)).alias("penalty"))
+def link_rows(edges: DataFrame, n: int, paths: bool = True, motifs: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """Rows (u, v, sums..., observed) that add up to the features of missing links: those of two hops, and the observed edges as marks."""
+    known = edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v"), *[F.lit(z).cast("double" if z == 0.0 and isinstance(z, float) else "long").alias(c) for c, z in SUMS.items()], F.lit(1).alias("observed"))
+    return hop_rows(edges, n, paths, motifs, by).select(*by, "u", "v", *SUMS, F.lit(0).alias("observed")).unionByName(known)
 
 
-def paths_3(claims: DataFrame, cutoff: int | None = None, n: int = 30) -> DataFrame:
-    """Three-hop paths (u, w1, w2, v, support, penalty) over the strongest ``n`` (at most 30) successors of each node."""
-    edges = edge_aggregate(claims, cutoff)
-    top = _strongest(edges, "src", "dst", "weight", min(n, 30)).select("src", "dst", "weight")
-    degree = node_degree(edges).select("node", (1 + F.log1p("degree")).alias("h"))
-    a = top.select(F.col("src").alias("u"), F.col("dst").alias("w1"), F.col("weight").alias("x"))
-    b = top.select(F.col("src").alias("w1"), F.col("dst").alias("w2"), F.col("weight").alias("y"))
-    c = top.select(F.col("src").alias("w2"), F.col("dst").alias("v"), F.col("weight").alias("z"))
-    h1, h2 = degree.select(F.col("node").alias("w1"), F.col("h").alias("h1")), degree.select(F.col("node").alias("w2"), F.col("h").alias("h2"))
-    known = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    rows = a.join(b.join(h1, "w1").join(h2, "w2"), "w1").join(c, "w2").where("u <> v").join(known, ["u", "v"], "left_anti")
-    total, disc = F.col("x") * F.col("y") * F.col("z"), 1 / (F.col("h1") * F.col("h2"))
-    return rows.select("u", "w1", "w2", "v", (total * disc).alias("support"), (total * (1 - disc)).alias("penalty"))
+def _links(claims: DataFrame, cutoff: int | None, n: int, paths: bool, motifs: bool) -> DataFrame:
+    edges = Scratch(claims.sparkSession, "links").write(edge_aggregate(claims, cutoff), "edges")  # read for both ends, degrees and marks
+    return link_rows(edges, n, paths, motifs).groupBy("u", "v").agg(F.max("observed").alias("observed"), *[F.sum(c).alias(c) for c in SUMS]).where("observed = 0")
 
 
 def support_3(claims: DataFrame, cutoff: int | None = None, n: int = 30) -> DataFrame:
-    """Number and summed support of the paths of ``paths_3`` per missing link (u, v).
+    """(u, v, paths, support, penalty) of the three-hop paths over the strongest ``n`` (at most 30) successors of each node, per missing link.
 
     The last two hops are summed per (w1, v) once and the first hop joins those sums, so single paths are never written; observed links are
-    dropped after the aggregation, when there is one row per link.
+    marked within the aggregation.
     """
-    edges = edge_aggregate(claims, cutoff)
-    top = _strongest(edges, "src", "dst", "weight", min(n, 30)).select("src", "dst", "weight")
-    degree = node_degree(edges).select("node", (1 + F.log1p("degree")).alias("h"))
-    disc = top.join(degree, top["dst"] == degree["node"]).select("src", "dst", (F.col("weight") / F.col("h")).alias("x"))
-    b, c = disc.select(F.col("src").alias("w1"), F.col("dst").alias("w2"), F.col("x").alias("y")), top.select(F.col("src").alias("w2"), F.col("dst").alias("v"), F.col("weight").alias("z"))
-    tails = b.join(c, "w2").groupBy("w1", "v").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("y") * F.col("z")).alias("t"))
-    rows = disc.select(F.col("src").alias("u"), F.col("dst").alias("w1"), "x").join(tails, "w1").where("u <> v")
-    sums = rows.groupBy("u", "v").agg(F.sum("k").alias("paths"), F.sum(F.col("x") * F.col("t")).alias("support"))
-    return sums.join(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti")
-
-
-def path_features(claims: DataFrame, cutoff: int | None = None, max_len: int = 2, n: int = 120, top_k: int = 10) -> DataFrame:
-    """Support, hub penalty, mediators and best paths per missing link.  Three-hop paths add support but no mediators."""
-    two = paths_2(claims, cutoff, n)
-    rows = two.select("u", "v", "support", "penalty", F.col("w").alias("mediator"), F.array("u", "w", "v").alias("path"))
-    if max_len >= 3:
-        three = paths_3(claims, cutoff, n)
-        rows = rows.unionByName(three.select("u", "v", "support", "penalty", F.lit(None).cast("string").alias("mediator"), F.array("u", "w1", "w2", "v").alias("path")))
-    return rows.groupBy("u", "v").agg(F.sum("support").alias("path_support_raw"), F.count("mediator").alias("mediator_count"), F.sum("penalty").alias("hub_penalty"))
+    edges = Scratch(claims.sparkSession, "links").write(edge_aggregate(claims, cutoff), "edges")
+    top = _strongest(edges, "src", "dst", "weight", min(n, 30), ()).select("src", "dst", "weight")
+    degree = node_degree(edges).select(F.col("node").alias("dst"), (1 + F.log1p("degree")).alias("h"))
+    disc = top.join(degree, "dst").select("src", "dst", "weight", (F.col("weight") / F.col("h")).alias("x"))
+    b, c = disc.select(F.col("src").alias("w1"), F.col("dst").alias("w2"), F.col("x").alias("y"), F.col("weight").alias("y0")), top.select(F.col("src").alias("w2"), F.col("dst").alias("v"), F.col("weight").alias("z"))
+    tails = b.join(c, "w2").groupBy("w1", "v").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("y") * F.col("z")).alias("t"), F.sum(F.col("y0") * F.col("z")).alias("t0"))
+    rows = disc.select(F.col("src").alias("u"), F.col("dst").alias("w1"), "x", F.col("weight").alias("x0")).join(tails, "w1").where("u <> v")
+    rows = rows.select("u", "v", "k", (F.col("x") * F.col("t")).alias("s"), (F.col("x0") * F.col("t0")).alias("s0"), F.lit(0).alias("observed"))
+    known = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("s"), F.lit(0.0).alias("s0"), F.lit(1).alias("observed"))
+    sums = rows.unionByName(known).groupBy("u", "v").agg(F.max("observed").alias("observed"), F.sum("k").alias("paths"), F.sum("s").alias("support"), F.sum("s0").alias("s0"))
+    return sums.where("observed = 0").select("u", "v", "paths", "support", (F.col("s0") - F.col("support")).alias("penalty"))
+
+
+def path_features(claims: DataFrame, cutoff: int | None = None, max_len: int = 2, n: int = 120) -> DataFrame:
+    """Support, number of mediators and hub penalty per missing link.  Three-hop paths add support and penalty but no mediators."""
+    cols = ["path_support_raw", "mediator_count", "hub_penalty"]
+    two = _links(claims, cutoff, n, True, False).select("u", "v", *cols)
+    if max_len < 3:
+        return two
+    three = support_3(claims, cutoff, n).select("u", "v", F.col("support").alias("path_support_raw"), F.lit(0).cast("long").alias("mediator_count"), F.col("penalty").alias("hub_penalty"))
+    return two.unionByName(three).groupBy("u", "v").agg(*[F.sum(c).alias(c) for c in cols])
 
 
 def ranked_paths(claims: DataFrame, cutoff: int | None = None, n: int = 120, top_k: int = 10) -> DataFrame:
-    """The ``top_k`` mediators of each missing link with rank; a bounded top-k per pair, never a collected list of all."""
-    return topn_per_key(paths_2(claims, cutoff, n).withColumn("support", F.round("support", 6)), ["u", "v"], [F.desc("support"), F.asc("w")], top_k, "rank")
+    """(u, w, v, support, penalty, rank) of the ``top_k`` mediators of each missing link; a bounded top-k per pair, cut before observed links are dropped."""
+    edges = Scratch(claims.sparkSession, "links").write(edge_aggregate(claims, cutoff), "edges")
+    rows = hop_rows(edges, n, True, False).select("u", "w", "v", F.round("path_support_raw", 6).alias("support"), F.col("hub_penalty").alias("penalty"))
+    best = topn_per_key(rows, ["u", "v"], [F.desc("support"), F.asc("w")], top_k, "rank")
+    return best.join(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti")
 
 
 def motif_features(claims: DataFrame, cutoff: int | None = None, n: int = 120) -> DataFrame:
     """Closed-triad motifs per missing link: number and sum of sqrt(claims in x claims out)."""
-    rows = two_hop(edge_aggregate(claims, cutoff), "n", n)
-    return rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("motif_count"), F.sum(F.sqrt(F.col("a") * F.col("b"))).alias("motif_bonus_raw"))
+    return _links(claims, cutoff, n, False, True).select("u", "v", "motif_count", "motif_bonus_raw")

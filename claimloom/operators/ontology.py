@@ -17,8 +17,8 @@ from ..plans.skew import salted_join, topn_per_key
 
 def label_counts(instances: DataFrame) -> DataFrame:
     """(normalized_label, raw, n) of instances (label, ...)."""
-    x = instances.where("label is not null").withColumn("normalized_label", L.normalized(F.col("label")))
-    return x.where("normalized_label <> ''").groupBy("normalized_label", F.col("label").alias("raw")).agg(F.count(F.lit(1)).alias("n"))
+    raw = instances.where("label is not null").groupBy(F.col("label").alias("raw")).agg(F.count(F.lit(1)).alias("n"))  # each wording is normalised once
+    return raw.withColumn("normalized_label", L.normalized(F.col("raw"))).where("normalized_label <> ''").select("normalized_label", "raw", "n")
 
 
 def preferred_labels(counts: DataFrame) -> DataFrame:
@@ -137,27 +137,6 @@ def margin_decisions(neighbors: DataFrame, labels: DataFrame, accept: float = 0.
     return g.select("vec_id", "label", F.col("top").alias("cosine"), m.alias("margin"), decision.alias("decision"))
 
 
-def duplicate_scores(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Soft duplicate score of concept pairs (u, v) from profiles (id, label, tokens, neighbors); contrasting tokens protect a pair."""
-    p = lambda c: profiles.select(*[F.col(x).alias(f"{c}_{x}" if x != "id" else c) for x in ("id", "label", "tokens", "neighbors")])
-    rows = pairs.join(p("u"), "u").join(p("v"), "v")
-    a, b = F.col("u_tokens"), F.col("v_tokens")
-    shared = F.size(F.array_intersect(a, b))
-    parts = {
-        "lexical_overlap": L.jaccard(a, b), "containment": L.containment(a, b), "substring_share": L.substring_share(F.col("u_label"), F.col("v_label")),
-        "shared_tokens": F.when(shared >= 2, shared / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))).otherwise(0.0), "neighbor_overlap": L.jaccard(F.col("u_neighbors"), F.col("v_neighbors")),
-    }
-    weights = {"lexical_overlap": 0.10, "containment": 0.22, "substring_share": 0.15, "shared_tokens": 0.03, "neighbor_overlap": 0.10}
-    for k, c in parts.items():
-        rows = rows.withColumn(k, F.round(c, 6))
-    total = F.lit(0.0)
-    for k, w in weights.items():
-        total = total + w * F.col(k)
-    protected = L.contrast(a, b)
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), total * F.when(protected, 0.15).otherwise(1.0)))
-    return rows.select("u", "v", *parts, protected.alias("protected"), F.round(score, 6).alias("duplicate_score"))
-
-
 _SIGNATURES = ("normalized_label", "no_paren_signature", "punctuation_signature", "singular_signature", "paren_acronym", "initialism_signature")
 # Labels that are related but never the same concept.
 PROTECTED_LABELS = [("inflation", "inflation expectations")]
@@ -221,20 +200,15 @@ def family_scores(pairs: DataFrame, profiles: DataFrame, reviewed: DataFrame) ->
 
 
 def family_ranking(ranked: DataFrame, scores: DataFrame, strength: float = 0.5) -> DataFrame:
-    """Final rank after duplicate suppression: pairs with a hard reason are blocked, the rest lose strength x score (``ranked`` is a bounded list)."""
+    """Final rank of scored pairs (u, v, score) after duplicate suppression: pairs with a hard reason are blocked, the rest lose strength x score; shift: places won.
+
+    Both ranks follow a global order over a range partitioning, so all pairs can be ranked.
+    """
     j = ranked.join(scores.select("u", "v", "duplicate_score", "reason"), ["u", "v"], "left").fillna({"duplicate_score": 0.0, "reason": ""})
+    j = running_before(j, [F.desc("score"), F.asc("u"), F.asc("v")], F.lit(1), "_base")
     kept = j.where("reason = ''").withColumn("final_score", F.round(F.col("score") - strength * F.col("duplicate_score"), 6))
-    n = F.row_number().over(Window.orderBy(F.desc("final_score"), F.desc("score"), "u", "v"))
-    return kept.select("u", "v", "score", "duplicate_score", "final_score", n.alias("final_rank"), (F.col("rank") - n).alias("shift"))
-
-
-def suppressed_ranking(ranked: DataFrame, scores: DataFrame, strength: float = 0.5, hard: float = 0.95) -> DataFrame:
-    """Final rank after duplicate penalties: pairs at or above ``hard`` are blocked, the rest lose strength x score."""
-    j = ranked.join(scores.select("u", "v", "duplicate_score", "protected"), ["u", "v"], "left").fillna({"duplicate_score": 0.0, "protected": False})
-    final = F.round(F.col("score") - strength * F.col("duplicate_score"), 6)
-    kept = j.where((F.col("duplicate_score") < hard) | F.col("protected")).withColumn("final_score", final)
-    n = F.row_number().over(Window.orderBy(F.desc("final_score"), F.desc("score"), "u", "v"))
-    return kept.select("u", "v", "score", "duplicate_score", "final_score", n.alias("final_rank"), (F.col("rank") - n).alias("shift"))
+    kept = running_before(kept, [F.desc("final_score"), F.desc("score"), F.asc("u"), F.asc("v")], F.lit(1), "_final")
+    return kept.select("u", "v", "score", "duplicate_score", "final_score", (F.col("_final") + 1).alias("final_rank"), (F.col("_base") - F.col("_final")).alias("shift"))
 
 
 def concept_edges(edges: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def claim_references(edges: DataFrame, soft: DataFrame) -> DataFrame:
 def claim_parents(nodes: DataFrame, concepts: DataFrame) -> DataFrame:
     """Arrivals and deletions of nodes and concepts, in the tracker's form."""
     of_nodes = nodes.where("node_id is not null").select(F.concat(F.lit("n"), F.coalesce("custom_id", F.lit(SEP)), F.lit(SEP), F.col("node_id")).alias("pkey"), F.col("ingested_at").alias("at"), F.col("is_deleted").alias("gone"))
-    of_concepts = concepts.select(F.concat(F.lit("c"), "concept_id").alias("pkey"), F.col("ingested_at").alias("at"), (F.col("head_status") == "retired").alias("gone"))
+    of_concepts = concepts.where("concept_id is not null").select(F.concat(F.lit("c"), "concept_id").alias("pkey"), F.col("ingested_at").alias("at"), (F.col("head_status") == "retired").alias("gone"))
     return of_nodes.unionByName(of_concepts)
 
 

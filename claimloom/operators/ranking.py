@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scale import min_max
 from ..plans.scratch import Scratch
+from .features import SUMS
 
-#: Blends of the priority presets: column and weight; a leading minus takes 1 - column.
+# Blends of the priority presets: column and weight; a leading minus takes 1 - column.
 PRESETS = {
     "Balanced": {"score": 0.72, "cross_field_norm": 0.10, "low_contact_norm": 0.08, "-hub_penalty": 0.06, "mediator_norm": 0.04},
     "Bold frontier": {"score": 0.38, "boundary_norm": 0.24, "cross_field_norm": 0.16, "low_contact_norm": 0.12, "-hub_penalty": 0.10},
@@ -18,29 +21,34 @@ PRESETS = {
 }
 
 
-def candidate_scores(pairs: DataFrame, paths: DataFrame, motifs: DataFrame, alpha: float = 0.5, beta: float = 0.2, gamma: float = 0.3, delta: float = 0.2, observed: DataFrame | None = None) -> DataFrame:
+def candidate_scores(pairs: DataFrame, *links: DataFrame, alpha: float = 0.5, beta: float = 0.2, gamma: float = 0.3, delta: float = 0.2, observed: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Union of all candidate links with normalised features and score.
 
-    Both directions of every pair with a gap are candidates, observed or not (``observed``: edges (src, dst) to leave out); a pair that never
-    occurred has gap 1.  Ranges are taken after the filter on positive evidence.
+    ``links``: features per missing link (paths, motifs), or the rows that add up to them (``features.link_rows``).  Both directions of every pair with a gap
+    are candidates, observed or not (``observed``: edges (src, dst) to leave out); a pair that never occurred has gap 1.  Ranges are taken after the
+    filter on positive evidence, within ``by``.
     """
-    sums = {"path_support_raw": 0.0, "mediator_count": 0, "hub_penalty": 0.0, "motif_count": 0, "motif_bonus_raw": 0.0}
     seen = {"gap_bonus": "double", "cooc_count": "long", "first_year_seen": "int", "last_year_seen": "int"}
 
     def part(df: DataFrame, u: str, v: str, linked: int) -> DataFrame:
         have = lambda c, other: F.col(c) if c in df.columns else other
-        cols = [have(c, F.lit(z)).alias(c) for c, z in sums.items()] + [have(c, F.lit(None)).cast(t).alias(c) for c, t in seen.items()]
-        return df.select(F.col(u).alias("u"), F.col(v).alias("v"), F.lit(linked).alias("linked"), *cols)
+        cols = [have(c, F.lit(z)).alias(c) for c, z in SUMS.items()] + [have(c, F.lit(None)).cast(t).alias(c) for c, t in seen.items()]
+        mark = have("observed", F.lit(0)) if linked else F.lit(0)
+        return df.select(*by, F.col(u).alias("u"), F.col(v).alias("v"), F.lit(linked).alias("linked"), mark.alias("observed"), *cols)
 
     # one aggregation over the union stands for the outer joins of the feature tables; pairs enter in both directions
-    rows = part(paths, "u", "v", 1).unionByName(part(motifs, "u", "v", 1)).unionByName(part(pairs, "u", "v", 0)).unionByName(part(pairs, "v", "u", 0))
-    rows = rows.groupBy("u", "v").agg(F.max("linked").alias("linked"), *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in seen]).where("u <> v and (linked = 1 or gap_bonus > 0)").drop("linked")
+    rows = part(pairs, "u", "v", 0).unionByName(part(pairs, "v", "u", 0))
+    for df in links:
+        rows = rows.unionByName(part(df, "u", "v", 1))
+    rows = rows.groupBy(*by, "u", "v").agg(F.max("linked").alias("linked"), F.max("observed").alias("observed"), *[F.sum(c).alias(c) for c in SUMS], *[F.max(c).alias(c) for c in seen])
+    missing = F.col("observed") == 0
+    rows = rows.where(F.col("u") != F.col("v")).where((missing & (F.col("linked") == 1)) | (F.col("gap_bonus") > 0)).withColumns({c: F.when(missing, F.col(c)).otherwise(F.lit(z)) for c, z in SUMS.items()}).drop("linked", "observed")
     if observed is not None:
         rows = rows.join(observed.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti")
     rows = rows.withColumn("gap_bonus", F.coalesce("gap_bonus", F.lit(1.0))).withColumn("cooc_count", F.coalesce("cooc_count", F.lit(0)).cast("long"))
     rows = rows.where("path_support_raw > 0 or motif_bonus_raw > 0 or gap_bonus > 0").withColumnRenamed("hub_penalty", "hub_penalty_raw")
     rows = Scratch(rows.sparkSession, "candidates").write(rows, "features")  # read twice: for the ranges and for the scores
-    rows = min_max(rows, {"path_support_raw": "path_support_norm", "motif_bonus_raw": "motif_bonus_norm", "hub_penalty_raw": "hub_penalty"})
+    rows = min_max(rows, {"path_support_raw": "path_support_norm", "motif_bonus_raw": "motif_bonus_norm", "hub_penalty_raw": "hub_penalty"}, list(by) or None)
     return rows.withColumn("score", alpha * F.col("path_support_norm") + beta * F.col("gap_bonus") + gamma * F.col("motif_bonus_norm") - delta * F.col("hub_penalty"))
 
 
@@ -57,6 +65,18 @@ def novelty(df: DataFrame) -> DataFrame:
     return df.withColumn("cross_field", cross).withColumn("boundary_flag", cross & (F.col("cooc_count") <= 0)).withColumn("novelty_type", name)
 
 
+def slice_flags(df: DataFrame) -> DataFrame:
+    """``df`` with the flags (0 or 1) bridge (across fields), frontier (hardly seen together), fast_follow (seen, and nearly the best path support) and underexplored
+    (seen at most twice, and a gap from the 0.85 quantile on); nulls count as 0."""
+    cut = df.agg(F.percentile("gap_bonus", 0.85).alias("_gap"))
+    x = lambda c: F.coalesce(c, F.lit(0.0))
+    flags = {
+        "bridge": F.substring("u", 1, 1) != F.substring("v", 1, 1), "frontier": x("cooc_count") <= 1, "fast_follow": (x("cooc_count") > 0) & (x("path_support_norm") >= 0.95),
+        "underexplored": (x("cooc_count") <= 2) & (x("gap_bonus") >= F.col("_gap")),
+    }
+    return df.crossJoin(F.broadcast(cut)).withColumns({k: f.cast("int") for k, f in flags.items()}).drop("_gap")
+
+
 def enriched(df: DataFrame) -> DataFrame:
     """Novelty and the normalised contact, mediator and staleness features (nulls count as 0)."""
     out = novelty(df).withColumn("_c", F.log1p(F.greatest(F.col("cooc_count"), F.lit(0)))).withColumn("_m", F.log1p(F.greatest(F.col("mediator_count"), F.lit(0)))).withColumn("_l", F.coalesce("last_year_seen", F.lit(0)))

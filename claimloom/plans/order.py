@@ -21,3 +21,10 @@ def running_before(df: DataFrame, order: list[Column], value: Column, name: str)
     offsets = totals.select("_p", F.coalesce(before, F.lit(0)).alias("_o"))
     inside = F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return rows.join(F.broadcast(offsets), "_p").withColumn(name, F.coalesce(inside, F.lit(0)) + F.col("_o")).drop("_p", "_v", "_o")
+
+
+def running_within(df: DataFrame, by: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """``running_before`` within each value of ``by`` (few values): the global running total less that of the values before."""
+    total = running_before(df, [F.asc(c) for c in by] + order, value, "_all")
+    start = total.groupBy(*by).agg(F.min("_all").alias("_start"))
+    return total.join(start, by).withColumn(name, F.col("_all") - F.col("_start")).drop("_all", "_start") if by else total.withColumnRenamed("_all", name)

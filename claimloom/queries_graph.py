@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +10,7 @@ from .operators import explain as X
 from .operators import features as T
 from .operators import graph as G
 from .operators import ranking as R
-from .plans.claims import claims, concepts, papers, with_evidence
-from .plans.order import running_before
+from .plans.claims import claims, concepts, papers, until, with_evidence
 from .plans.scratch import Scratch
 from .plans.skew import topn_per_key
 
@@ -32,8 +29,9 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark, d, cutoff=CUTOFF):
-    c = _corpus(spark, d)
-    return R.candidate_scores(T.underexplored_pairs(c, 2, cutoff), T.path_features(c, cutoff, 2, NEIGHBORS), T.motif_features(c, cutoff, NEIGHBORS))
+    c = until(_corpus(spark, d), cutoff)
+    edges = Scratch(spark, "links").write(T.edge_aggregate(c), "edges")
+    return R.candidate_scores(T.underexplored_pairs(c), T.link_rows(edges, NEIGHBORS))
 
 
 def corpus_build(spark, d):
@@ -67,11 +65,6 @@ def path_support_2hop(spark, d):
 
 
 def path_support_3hop(spark, d):
-    p = T.paths_3(_c(spark, d), 1995, 5).groupBy("u", "v").agg(F.count(F.lit(1)).alias("paths"), F.round(F.sum("support"), 5).alias("support"))
-    return p.where("paths >= 2")
-
-
-def path_support_3hop_whole(spark, d):
     return T.support_3(_c(spark, d), CUTOFF, NEIGHBORS).select("u", "v", "paths", F.round("support", 5).alias("support"))
 
 
@@ -79,7 +72,7 @@ def motif_support(spark, d):
     return T.motif_features(_c(spark, d), CUTOFF, NEIGHBORS).select("u", "v", "motif_count", F.round("motif_bonus_raw", 6).alias("motif_bonus_raw"))
 
 
-def top_mediators(spark, d, cutoff=1996):
+def top_mediators(spark, d, cutoff=CUTOFF):
     m = T.ranked_paths(_c(spark, d), cutoff, NEIGHBORS, 3)
     return m.select("u", "v", F.col("w").alias("mediator"), "support", F.col("rank").cast("int").alias("rank"))
 
@@ -113,13 +106,13 @@ def edge_papers_newest(spark, d):
     return topn_per_key(p, ["src", "dst"], [F.desc("year"), F.asc("paper_id")], 3, "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
-def explain_papers(spark, d, cutoff=1996):
+def explain_papers(spark, d, cutoff=CUTOFF):
     c = _corpus(spark, d)
     links = R.top_ranked(T.path_features(c, cutoff, 2, NEIGHBORS), 50, "path_support_raw")
     return X.supporting_papers(links, T.ranked_paths(c, cutoff, NEIGHBORS, 3), c.where(F.col("year") <= cutoff), 2).withColumn("paper_rank", F.col("paper_rank").cast("int"))
 
 
-def concept_opportunities(spark, d, cutoff=1996):
+def concept_opportunities(spark, d, cutoff=CUTOFF):
     c = _c(spark, d)
     p = T.path_features(c, cutoff, 2, NEIGHBORS).select("u", "v", F.round("path_support_raw", 6).alias("score"))
     return X.links_by_concept(p, 5).withColumn("rank", F.col("rank").cast("int"))
@@ -139,63 +132,54 @@ def leakage_audit(spark, d):
     return E.leakage(E.first_appearance(c), c, CUTOFFS, HORIZONS)
 
 
-def _ranked_future(spark, c, cutoff, horizon):
-    """Positives of a cutoff with their rank among path-supported candidates trained before it."""
-    p = Scratch(spark, "paths").write(T.path_features(c, cutoff - 1, 2, NEIGHBORS).select("u", "v", F.round("path_support_raw", 6).alias("s")), "scores")
-    pos = E.future_links(E.first_appearance(c), [cutoff], [horizon])
-    hits = pos.join(p, ["u", "v"], "left")
-    # rank by counting better scores: a histogram of distinct scores, cumulated over ranges, joined to the positives alone
-    above = running_before(p.groupBy("s").agg(F.count(F.lit(1)).alias("n")), [F.desc("s")], F.col("n"), "above")
-    return hits.join(above.select("s", "above"), "s", "left").select("cutoff", "horizon", "u", "v", (F.col("above") + 1).alias("rank"))
-
-
-def backtest_metrics(spark, d):
-    c, rows = _corpus(spark, d), None
-    for t in (1996, 1997):
-        part = _ranked_future(spark, c, t, 3)
-        rows = part if rows is None else rows.unionByName(part)
-    return E.ranking_metrics(rows, ["cutoff", "horizon"], [100, 1000])
-
-
 def _backtest(spark, c):
-    """Positives (model, cutoff, horizon, u, v, rank) of the three models, for every cutoff min + 1 .. max - 1 and horizon that the years hold; tied links share their mean rank."""
-    years, rows = c.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).first(), None
+    """Positives (model, cutoff, horizon, u, v, rank) of the three models, for every cutoff min + 1 .. max - 1 and horizon that the years hold; tied links share their mean rank.
+
+    All cutoffs are one plan: claims are paired with the literal grid of cutoffs after them, and every operator works within ``cutoff``.
+    """
+    years = c.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).first()
     nodes = c.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
-    scratch = Scratch(spark, "backtest")
-    first = scratch.write(E.first_appearance(c), "first")
-    for t in range(years["lo"] + 1, years["hi"]):
-        hs = [h for h in BACKTEST_HORIZONS if t + h <= years["hi"]]
-        if not hs:
-            continue
-        pos = scratch.write(E.future_links(first, [t], hs).select("cutoff", "horizon", "u", "v"), f"pos-{t}")
-        pairs = scratch.write(T.underexplored_pairs(c, 2, t - 1), f"pairs-{t}")
-        train = scratch.write(T.edge_aggregate(c, t - 1), f"train-{t}")
-        main = R.candidate_scores(pairs, T.path_features(c, t - 1, 2, NEIGHBORS), T.motif_features(c, t - 1, NEIGHBORS))
-        attach = E.attachment_ranks(train, pos.select("u", "v").distinct()).select("u", "v", (F.col("above") + (F.col("free") + 1) / 2).alias("rank"))
-        models = {
-            "main": E.scored_ranks(scratch.write(main.select("u", "v", F.round("score", 6).alias("score")), f"main-{t}"), pos), "cooc_gap": E.gap_ranks(pairs, train, pos, nodes),
-            "pref_attach": pos.join(attach, ["u", "v"], "left").select(*pos.columns, "rank"),
-        }
-        for name, ranks in models.items():
-            part = scratch.write(ranks.withColumn("model", F.lit(name)), f"{name}-ranks-{t}")
-            rows = part if rows is None else rows.unionByName(part)
-        for name in (f"pairs-{t}", f"train-{t}", f"main-{t}"):
-            scratch.drop(name)
+    grid = [(t, h) for t in range((years["lo"] or 0) + 1, years["hi"] or 0) for h in BACKTEST_HORIZONS if t + h <= years["hi"]]
+    cutoffs = spark.createDataFrame([(t,) for t in sorted({t for t, _ in grid})], "cutoff int")
+    by, scratch = ["cutoff"], Scratch(spark, "backtest")
+    pos = E.future_links(E.first_appearance(c), [t for t, _ in grid], BACKTEST_HORIZONS).join(F.broadcast(spark.createDataFrame(grid, "cutoff int, horizon int")), ["cutoff", "horizon"]).select("cutoff", "horizon", "u", "v").distinct()
+    pos = scratch.write(pos, "positives")
+    train = c.join(F.broadcast(cutoffs), F.col("year") < F.col("cutoff"))
+    edges = scratch.write(T.edge_aggregate(train, by=by), "edges")
+    pairs = scratch.write(T.underexplored_pairs(train, by=by), "pairs")
+    main = R.candidate_scores(pairs, T.link_rows(edges, NEIGHBORS, by=by), by=by)
+    attach = E.attachment_ranks(edges, pos.select("cutoff", "u", "v").distinct(), by).select("cutoff", "u", "v", (F.col("above") + (F.col("free") + 1) / 2).alias("rank"))
+    models = {"main": E.scored_ranks(main, pos, by=by), "cooc_gap": E.gap_ranks(pairs, edges, pos, nodes, by), "pref_attach": pos.join(attach, ["cutoff", "u", "v"], "left").select(*pos.columns, "rank")}
+    rows = None
+    for name, ranks in models.items():
+        part = ranks.withColumn("model", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
     return rows
 
 
-def backtest_metrics_whole(spark, d):
+def backtest_metrics(spark, d):
     c = _corpus(spark, d)
     return E.ranking_metrics(_backtest(spark, c), ["model", "cutoff", "horizon"], BACKTEST_KS)
 
 
-def weighted_metrics_ndcg(spark, d):
-    c = _corpus(spark, d)
-    n = c.groupBy(F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.count_distinct("paper_id").alias("papers"))
-    return E.weighted_metrics(_ranked_future(spark, c, 1996, 3).join(n, ["u", "v"]), ["cutoff", "horizon"], 1000)
+def backtest_summary(spark, d):
+    return E.model_summary(backtest_metrics(spark, d), ["mrr", "recall_100", "precision_100"])
+
+
+def backtest_win_rates(spark, d):
+    return E.win_rates(backtest_metrics(spark, d), "main", "pref_attach", "recall_100", "mrr")
+
 
+def paired_model_deltas(spark, d):
+    return E.paired_models(backtest_metrics(spark, d), "main", "pref_attach", ["mrr", "recall_100"])
 
-def weighted_metrics_ndcg_whole(spark, d):
+
+def baseline_cooc_gap(spark, d):
+    c = until(_corpus(spark, d), CUTOFF)
+    return E.gap_baseline(T.underexplored_pairs(c), T.edge_aggregate(c), 1000)
+
+
+def weighted_metrics_ndcg(spark, d):
     c = _corpus(spark, d)
     n = c.groupBy(F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.count_distinct("paper_id").alias("papers"))
     return E.weighted_metrics(_backtest(spark, c).join(n, ["u", "v"]), ["model", "cutoff", "horizon"], 1000)
@@ -246,18 +230,15 @@ def boundary_rerank(spark, d):
     return R.boundary_rerank(_demo_list(spark, d), 0.0, 0.2, 100).where("rank <= 100").select("u", "v", F.col("rank").cast("int").alias("rank"))
 
 
-def preset_priorities(spark, d, cutoff=1996):
+def preset_priorities(spark, d, cutoff=CUTOFF):
     e = R.enriched(_scored(spark, d, cutoff))
     p = R.preset_scores(e)
     best = topn_per_key(p, ["preset"], [F.desc("priority"), F.asc("u"), F.asc("v")], 25, "rank")
     return best.select("preset", F.round("priority", 4).alias("priority"), F.col("rank").cast("int").alias("rank"))
 
 
-def slice_flags(spark, d, cutoff=1996):
-    s = _scored(spark, d, cutoff).select("u", "v", "gap_bonus", F.round("path_support_norm", 6).alias("path"), "cooc_count")
-    q = s.agg(F.percentile("path", 0.85).alias("q"))
-    f = R.novelty(s).crossJoin(F.broadcast(q)).select((F.col("cross_field") & (F.col("path") >= F.col("q"))).cast("int").alias("bridge"), F.col("boundary_flag").cast("int").alias("frontier"), (F.col("gap_bonus") >= 0.5).cast("int").alias("underexplored"))
-    return f.groupBy("bridge", "frontier", "underexplored").agg(F.count(F.lit(1)).alias("n"))
+def slice_flags(spark, d):
+    return R.slice_flags(_scored(spark, d)).groupBy("bridge", "frontier", "fast_follow", "underexplored").agg(F.count(F.lit(1)).alias("n"))
 
 
 def recency_weighted_edges(spark, d):
@@ -282,7 +263,7 @@ def bootstrap_ci(spark, d):
     return E.bootstrap_mean(_c(spark, d).select("year", "paper_id", "weight"), ["year"], "weight", 50)
 
 
-def expert_pack(spark, d, cutoff=1996):
+def expert_pack(spark, d, cutoff=CUTOFF):
     from .operators.elt import blinded_items
 
     c = _c(spark, d)
@@ -314,28 +295,24 @@ def pagerank_5(spark, d):
     return G.pagerank(T.edge_aggregate(_c(spark, d)), 5).select("node", F.round("pagerank", 9).alias("pagerank"))
 
 
-def pagerank_whole(spark, d):
+def pagerank(spark, d):
     return G.pagerank(T.edge_aggregate(_c(spark, d)), tolerance=1e-10).select("node", F.round("pagerank", 9).alias("pagerank"))
 
 
 def connected_components(spark, d):
-    e = T.edge_aggregate(_c(spark, d)).where("n >= 2")
+    e = T.edge_aggregate(_c(spark, d))
     return G.components(e.select(F.col("src").alias("u"), F.col("dst").alias("v")))
 
 
 def backbone_component(spark, d):
-    return G.backbone(T.edge_aggregate(_c(spark, d)), 300, 1, 400)
+    return G.backbone(T.edge_aggregate(_c(spark, d)), 650, 1, 2200)
 
 
 def ego_rings(spark, d):
     return G.ego_rings(T.edge_aggregate(_c(spark, d)), "E0000001", [10, 20]).where("ring > 0").select("node", "ring", "strength")
 
 
-QUERIES = {f.__name__: f for f in (corpus_build, edge_aggregate, evidence_filtered_edges, node_degree, cooccurrence_pairs, path_support_2hop, path_support_3hop, path_support_3hop_whole, motif_support, top_mediators, candidate_scores, candidate_top100, missing_pairs_antijoin, explain_neighborhoods, neighborhoods_top15, edge_papers_newest, explain_papers, concept_opportunities, first_appearance, future_edges, leakage_audit, backtest_metrics, backtest_metrics_whole, weighted_metrics_ndcg, weighted_metrics_ndcg_whole, baseline_pref_attach, heterogeneity_grouping_sets, vintage_realization, calibration_deciles, time_to_fill_curve, gap_boundary_panel, boundary_rerank, preset_priorities, slice_flags, recency_weighted_edges, cooc_trend, power_calibration, bootstrap_ci, expert_pack, regime_overlap, enrichment_topk, centrality_metrics, pagerank_5, pagerank_whole, connected_components, backbone_component, ego_rings)}
-
-#: These look at no later years, so the whole job takes all claims that candidate_scores ranks.
-AT_CUTOFF = (top_mediators, explain_papers, concept_opportunities, preset_priorities, slice_flags, expert_pack)
-QUERIES |= {f"{f.__name__}_whole": partial(f, cutoff=CUTOFF) for f in AT_CUTOFF}
+QUERIES = {f.__name__: f for f in (corpus_build, edge_aggregate, evidence_filtered_edges, node_degree, cooccurrence_pairs, path_support_2hop, path_support_3hop, motif_support, top_mediators, candidate_scores, candidate_top100, missing_pairs_antijoin, explain_neighborhoods, neighborhoods_top15, edge_papers_newest, explain_papers, concept_opportunities, first_appearance, future_edges, leakage_audit, backtest_metrics, backtest_summary, backtest_win_rates, paired_model_deltas, baseline_cooc_gap, weighted_metrics_ndcg, baseline_pref_attach, heterogeneity_grouping_sets, vintage_realization, calibration_deciles, time_to_fill_curve, gap_boundary_panel, boundary_rerank, preset_priorities, slice_flags, recency_weighted_edges, cooc_trend, power_calibration, bootstrap_ci, expert_pack, regime_overlap, enrichment_topk, centrality_metrics, pagerank_5, pagerank, connected_components, backbone_component, ego_rings)}
 
 # ---------------------------------------------------------------- SQL
 
@@ -405,15 +382,24 @@ def _top(k, cutoff):
     return f"top AS (SELECT u, v, round(path_support_raw, 6) AS score, row_number() OVER (ORDER BY round(path_support_raw, 6) DESC, u, v) AS rank FROM paths QUALIFY rank <= {k}),\n"
 
 
-def _ranked(t, h):
-    return _B + _paths(t - 1) + _FIRST + f"""pos AS (SELECT {t} AS cutoff, {h} AS horizon, u, v FROM firsts WHERE first_year BETWEEN {t} AND {t} + {h}),
-s AS (SELECT u, v, round(path_support_raw, 6) AS s FROM paths),
-ranks AS (SELECT cutoff, horizon, pos.u, pos.v, r FROM pos LEFT JOIN (SELECT u, v, rank() OVER (ORDER BY s DESC) AS r FROM s) x ON x.u = pos.u AND x.v = pos.v),
-"""
+def _ranks_sql(t):
+    """Positives of one cutoff with their mean rank under the three models."""
+    hs = [h for h in BACKTEST_HORIZONS if t + h <= 2001]
+    mean = lambda s, p="": f"rank() OVER ({p}ORDER BY {s} DESC) - 1 + (count(*) OVER (PARTITION BY {s}) + 1) / 2.0"
+    return _B + _cand(t - 1) + _FIRST + f"""pos AS (SELECT {t} AS cutoff, h AS horizon, u, v FROM firsts, (VALUES {', '.join(f'({h})' for h in hs)}) g(h) WHERE first_year BETWEEN {t} AND {t} + h),
+allnodes AS (SELECT DISTINCT unnest([src, dst]) AS node FROM claims),
+missing AS (SELECT a.node AS u, b.node AS v FROM allnodes a, allnodes b WHERE a.node <> b.node AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = a.node AND e.dst = b.node)),
+o AS (SELECT src, count(*) AS o FROM edges GROUP BY 1), i AS (SELECT dst, count(*) AS i FROM edges GROUP BY 1),
+s_main AS (SELECT u, v, {mean('s')} AS r FROM (SELECT u, v, round(score, 6) AS s FROM cand)),
+s_gap AS (SELECT u, v, {mean('s')} AS r FROM (SELECT m.u, m.v, coalesce(q.gap_bonus, 1.0) AS s FROM missing m LEFT JOIN pairs q ON q.u = least(m.u, m.v) AND q.v = greatest(m.u, m.v))),
+s_att AS (SELECT u, v, {mean('s')} AS r FROM (SELECT m.u, m.v, o * i AS s FROM missing m JOIN o ON o.src = m.u JOIN i ON i.dst = m.v)),
+z AS (SELECT 1)
+SELECT 'main' AS model, pos.*, r FROM pos LEFT JOIN s_main USING (u, v) UNION ALL SELECT 'cooc_gap', pos.*, r FROM pos LEFT JOIN s_gap USING (u, v) UNION ALL SELECT 'pref_attach', pos.*, r FROM pos LEFT JOIN s_att USING (u, v)"""
 
 
-def _metrics(t, h):
-    return _ranked(t, h) + _END + "SELECT cutoff, horizon, count(*) AS positives, round(sum(coalesce(1.0 / r, 0)) / greatest(count(*), 1), 6) AS mrr, " + ", ".join(f"count(*) FILTER (r <= {k}) AS hits_{k}, round(count(*) FILTER (r <= {k}) / {k}, 6) AS precision_{k}, round(count(*) FILTER (r <= {k}) / greatest(count(*), 1), 6) AS recall_{k}" for k in (100, 1000)) + " FROM ranks GROUP BY 1, 2"
+_RANKS = "WITH ranks AS (" + " UNION ALL ".join(f"SELECT model, cutoff, horizon, u, v, r FROM ({_ranks_sql(t)})" for t in range(1996, 2001)) + "),\n"
+_BACKTEST = _RANKS + "metrics AS (SELECT model, cutoff, horizon, count(*) AS positives, round(sum(coalesce(1.0 / r, 0)) / greatest(count(*), 1), 6) AS mrr, " + ", ".join(f"count(*) FILTER (r <= {k}) AS hits_{k}, round(count(*) FILTER (r <= {k}) / {k}, 6) AS precision_{k}, round(count(*) FILTER (r <= {k}) / greatest(count(*), 1), 6) AS recall_{k}" for k in BACKTEST_KS) + " FROM ranks GROUP BY ALL)\n"
+_PAIRED = "deltas AS (SELECT cutoff, horizon, a.mrr AS am, b.mrr AS bm, a.recall_100 AS ar, b.recall_100 AS br FROM (SELECT * FROM metrics WHERE model = 'main') a JOIN (SELECT * FROM metrics WHERE model = 'pref_attach') b USING (cutoff, horizon))\n"
 
 
 _PANEL = _B + _paths(1996) + _top(2000, 1996) + _FIRST + """panel AS (SELECT t.u, t.v, t.rank::INT AS rank, CAST(greatest(1, ceil((t.rank - 1) * 10 / greatest(2000 - 1, 1))) AS INT) AS decile, CAST(f.u IS NOT NULL AS INT) AS realized, f.first_year - 1996 AS time_to_fill
@@ -427,7 +413,7 @@ _PR = "".join(
 """
     for k in range(1, 6)
 )
-_COMP = """sym AS (SELECT src AS a, dst AS b FROM edges WHERE n >= 2 UNION SELECT dst, src FROM edges WHERE n >= 2),
+_COMP = """sym AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 reach AS (SELECT a AS node, a AS r FROM sym UNION SELECT s.b, reach.r FROM reach JOIN sym s ON s.a = reach.node WHERE reach.r < s.b),
 """
 
@@ -441,30 +427,34 @@ LEFT JOIN (SELECT substr(p_type, 1, 1) || lpad(CAST(p_partkey AS VARCHAR), 7, '0
     "node_degree": _B + _edges() + _END + "SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, count(*) AS degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node",
     "cooccurrence_pairs": _B + _pairs(CUTOFF) + _END + "SELECT * FROM pairs",
     "path_support_2hop": _B + _paths(CUTOFF) + _END + "SELECT u, v, round(path_support_raw, 6) AS path_support_raw, mediator_count, round(hub_penalty, 6) AS hub_penalty FROM paths",
-    "path_support_3hop": _B + _edges("year <= 1995") + _degrees() + """lim AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 5),
+    "path_support_3hop": _B + _edges(f"year <= {CUTOFF}") + _degrees() + """lim AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 30),
 p3 AS (SELECT a.src AS u, c.dst AS v, a.weight * b.weight * c.weight / ((1 + ln(1 + d1.degree)) * (1 + ln(1 + d2.degree))) AS support FROM lim a JOIN lim b ON b.src = a.dst JOIN lim c ON c.src = b.dst JOIN deg d1 ON d1.node = a.dst JOIN deg d2 ON d2.node = b.dst
   WHERE a.src <> c.dst AND NOT EXISTS (SELECT 1 FROM edges k WHERE k.src = a.src AND k.dst = c.dst)),
-""" + _END + "SELECT u, v, count(*) AS paths, round(sum(support), 5) AS support FROM p3 GROUP BY ALL HAVING count(*) >= 2",
+""" + _END + "SELECT u, v, count(*) AS paths, round(sum(support), 5) AS support FROM p3 GROUP BY ALL",
     "motif_support": _B + _edges(f"year <= {CUTOFF}") + _hops("n", NEIGHBORS) + _END + "SELECT u, v, count(*) AS motif_count, round(sum(sqrt(a * b)), 6) AS motif_bonus_raw FROM hops GROUP BY ALL",
-    "top_mediators": _B + _paths(1996) + _END + "SELECT u, v, w AS mediator, round(support, 6) AS support, CAST(row_number() OVER (PARTITION BY u, v ORDER BY round(support, 6) DESC, w) AS INT) AS rank FROM paths2 QUALIFY rank <= 3",
+    "top_mediators": _B + _paths(CUTOFF) + _END + "SELECT u, v, w AS mediator, round(support, 6) AS support, CAST(row_number() OVER (PARTITION BY u, v ORDER BY round(support, 6) DESC, w) AS INT) AS rank FROM paths2 QUALIFY rank <= 3",
     "candidate_scores": _B + _cand(CUTOFF) + _END + "SELECT u, v, round(path_support_norm, 5) AS path_support_norm, round(motif_bonus_norm, 5) AS motif_bonus_norm, round(hub_penalty, 5) AS hub_penalty, round(gap_bonus, 5) AS gap_bonus, round(score, 5) AS score, mediator_count, motif_count, cooc_count FROM cand",
     "candidate_top100": _B + _cand(CUTOFF) + _END + "SELECT u, v, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, u, v) AS INT) AS rank FROM cand QUALIFY rank <= 100",
     "missing_pairs_antijoin": _B + _END + f"SELECT src, dst FROM claims GROUP BY ALL HAVING min(year) > {CUTOFF}",
     "explain_neighborhoods": _B + _edges() + _END + "SELECT node, direction, neighbor, weight, CAST(row_number() OVER (PARTITION BY node, direction ORDER BY weight DESC, neighbor) AS INT) AS rank FROM (SELECT src AS node, 'out' AS direction, dst AS neighbor, weight FROM edges UNION ALL SELECT dst, 'in', src, weight FROM edges) QUALIFY rank <= 5",
     "neighborhoods_top15": _B + _edges() + _NB + _END + "SELECT node, x AS neighbor, round(sum(weight), 6) AS weight, CAST(row_number() OVER (PARTITION BY node ORDER BY round(sum(weight), 6) DESC, x) AS INT) AS rank FROM nb GROUP BY node, x QUALIFY rank <= 15",
     "edge_papers_newest": _B + _END + "SELECT src, dst, paper_id, max(year) AS year, CAST(row_number() OVER (PARTITION BY src, dst ORDER BY max(year) DESC, paper_id) AS INT) AS rank FROM claims GROUP BY src, dst, paper_id QUALIFY rank <= 3",
-    "explain_papers": _B + _paths(1996) + _top(50, 1996) + """med AS (SELECT u, v, w FROM paths2 SEMI JOIN top USING (u, v) QUALIFY row_number() OVER (PARTITION BY u, v ORDER BY round(support, 6) DESC, w) <= 3),
+    "explain_papers": _B + _paths(CUTOFF) + _top(50, CUTOFF) + """med AS (SELECT u, v, w FROM paths2 SEMI JOIN top USING (u, v) QUALIFY row_number() OVER (PARTITION BY u, v ORDER BY round(support, 6) DESC, w) <= 3),
 steps AS (SELECT u, v, w, u AS src, w AS dst FROM med UNION ALL SELECT u, v, w, w, v FROM med),
-pp AS (SELECT src, dst, paper_id, max(year) AS year, row_number() OVER (PARTITION BY src, dst ORDER BY max(year) DESC, paper_id) AS r FROM claims WHERE year <= 1996 GROUP BY src, dst, paper_id),
-""" + _END + "SELECT u, v, w, src, dst, paper_id, year, CAST(r AS INT) AS paper_rank FROM steps JOIN pp USING (src, dst) WHERE r <= 2",
-    "concept_opportunities": _B + _paths(1996) + _END + "SELECT concept, u, v, score, CAST(row_number() OVER (PARTITION BY concept ORDER BY score DESC, u, v) AS INT) AS rank FROM (SELECT u AS concept, u, v, round(path_support_raw, 6) AS score FROM paths UNION ALL SELECT v, u, v, round(path_support_raw, 6) FROM paths) QUALIFY rank <= 5",
+pp AS (SELECT src, dst, paper_id, max(year) AS year, row_number() OVER (PARTITION BY src, dst ORDER BY max(year) DESC, paper_id) AS r FROM claims WHERE year <= CUT_ GROUP BY src, dst, paper_id),
+""".replace("CUT_", str(CUTOFF)) + _END + "SELECT u, v, w, src, dst, paper_id, year, CAST(r AS INT) AS paper_rank FROM steps JOIN pp USING (src, dst) WHERE r <= 2",
+    "concept_opportunities": _B + _paths(CUTOFF) + _END + "SELECT concept, u, v, score, CAST(row_number() OVER (PARTITION BY concept ORDER BY score DESC, u, v) AS INT) AS rank FROM (SELECT u AS concept, u, v, round(path_support_raw, 6) AS score FROM paths UNION ALL SELECT v, u, v, round(path_support_raw, 6) FROM paths) QUALIFY rank <= 5",
     "first_appearance": _B + _FIRST + _END + "SELECT u AS src, v AS dst, first_year FROM firsts",
     "future_edges": _B + _FIRST + _GRID + _END + "SELECT cutoff, horizon, count(*) AS links FROM firsts JOIN grid ON first_year BETWEEN cutoff AND cutoff + horizon GROUP BY ALL",
     "leakage_audit": _B + _FIRST + _GRID + _END + "SELECT cutoff, horizon, count(*) AS positives, count(*) FILTER (EXISTS (SELECT 1 FROM claims c WHERE c.src = u AND c.dst = v AND c.year <= cutoff - 1)) AS leaked FROM firsts JOIN grid ON first_year BETWEEN cutoff AND cutoff + horizon GROUP BY ALL",
-    "backtest_metrics": f"SELECT * FROM ({_metrics(1996, 3)}) UNION ALL SELECT * FROM ({_metrics(1997, 3)})",
-    "weighted_metrics_ndcg": _ranked(1996, 3) + """n AS (SELECT src AS u, dst AS v, count(DISTINCT paper_id) AS papers FROM claims GROUP BY ALL),
-g AS (SELECT r.*, 1 + ln(1 + papers) AS gain, row_number() OVER (ORDER BY 1 + ln(1 + papers) DESC, r.u, r.v) AS ideal FROM ranks r JOIN n USING (u, v)),
-""" + _END + "SELECT cutoff, horizon, round(sum(CASE WHEN r IS NOT NULL THEN gain / r ELSE 0 END) / sum(gain), 6) AS weighted_mrr, round(sum(CASE WHEN r <= 1000 THEN gain ELSE 0 END) / sum(gain), 6) AS weighted_recall, round(sum(CASE WHEN r <= 1000 THEN gain / log2(r + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 1000 THEN gain / log2(ideal + 1) ELSE 0 END), 6) AS ndcg FROM g GROUP BY 1, 2",
+    "backtest_metrics": _BACKTEST + "SELECT * FROM metrics",
+    "backtest_summary": _BACKTEST + "SELECT model, horizon, count(DISTINCT cutoff) AS cutoffs, round(avg(mrr), 6) AS mean_mrr, round(avg(recall_100), 6) AS mean_recall_100, round(avg(precision_100), 6) AS mean_precision_100 FROM metrics GROUP BY 1, 2",
+    "backtest_win_rates": _BACKTEST + ", " + _PAIRED + "SELECT horizon, count(*) AS cutoffs, round(avg(CAST(round(ar - br, 9) >= 0 AS DOUBLE)), 6) AS wins_recall_100, round(avg(CAST(round(am - bm, 9) >= 0 AS DOUBLE)), 6) AS wins_mrr, round(avg(CAST(round(ar - br, 9) >= 0 AND round(am - bm, 9) >= 0 AS DOUBLE)), 6) AS wins_both FROM deltas GROUP BY 1",
+    "paired_model_deltas": _BACKTEST + ", " + _PAIRED + "SELECT cutoff, horizon, 'mrr' AS metric, am AS left_value, bm AS right_value, round(am - bm, 9) AS delta FROM deltas UNION ALL SELECT cutoff, horizon, 'recall_100', ar, br, round(ar - br, 9) FROM deltas",
+    "baseline_cooc_gap": _B + _edges(f"year <= {CUTOFF}") + _pairs(CUTOFF) + _END + "SELECT u, v, gap_bonus FROM (SELECT u, v, gap_bonus FROM pairs UNION ALL SELECT v, u, gap_bonus FROM pairs) p WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = p.u AND e.dst = p.v) ORDER BY gap_bonus DESC, u, v LIMIT 1000",
+    "weighted_metrics_ndcg": _RANKS.replace("WITH ranks", "WITH ranks") + "c0 AS (" + _B + """z AS (SELECT 1) SELECT src AS u, dst AS v, count(DISTINCT paper_id) AS papers FROM claims GROUP BY ALL),
+g AS (SELECT r.*, 1 + ln(1 + papers) AS gain, row_number() OVER (PARTITION BY model, cutoff, horizon ORDER BY 1 + ln(1 + papers) DESC, r.u, r.v) AS ideal FROM ranks r JOIN c0 USING (u, v))
+SELECT model, cutoff, horizon, round(sum(CASE WHEN r IS NOT NULL THEN gain / r ELSE 0 END) / sum(gain), 6) AS weighted_mrr, round(sum(CASE WHEN r <= 1000 THEN gain ELSE 0 END) / sum(gain), 6) AS weighted_recall, round(sum(CASE WHEN r <= 1000 THEN gain / log2(r + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 1000 THEN gain / log2(ideal + 1) ELSE 0 END), 6) AS ndcg FROM g GROUP BY 1, 2, 3""",
     "baseline_pref_attach": _B + _edges("year <= 1996") + _FIRST + """o AS (SELECT src, count(*) AS o FROM edges GROUP BY src), i AS (SELECT dst, count(*) AS i FROM edges GROUP BY dst),
 prods AS (SELECT o * i AS p, count(*) AS n FROM o, i WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = o.src AND e.dst = i.dst) GROUP BY 1),
 """ + _END + "SELECT u, v, o * i AS product, CAST(coalesce((SELECT sum(n) FROM prods WHERE p > o * i), 0) AS BIGINT) AS above, CAST((SELECT n FROM prods WHERE p = o * i) AS BIGINT) AS tied FROM firsts JOIN o ON o.src = u JOIN i ON i.dst = v WHERE first_year BETWEEN 1997 AND 1998",
@@ -473,7 +463,7 @@ prods AS (SELECT o * i AS p, count(*) AS n FROM o, i WHERE src <> dst AND NOT EX
     "calibration_deciles": _PANEL + _END + "SELECT decile, count(*) AS n, CAST(sum(realized) AS BIGINT) AS realized, round(avg(realized), 6) AS rate FROM panel GROUP BY 1",
     "time_to_fill_curve": _PANEL + _END + "SELECT decile, tau, round(avg(CAST(time_to_fill <= tau AS DOUBLE)), 6) AS share FROM panel, (SELECT CAST(unnest(range(1, 5)) AS INT) AS tau) WHERE realized = 1 GROUP BY ALL",
     "gap_boundary_panel": _PANEL + _pairs(1996) + "nov AS (SELECT CASE WHEN coalesce(cooc_count, 0) <= 0 THEN 'boundary' ELSE 'gap' END || CASE WHEN substr(p.u, 1, 1) <> substr(p.v, 1, 1) THEN '_crossfield' ELSE '_internal' END AS novelty_type, realized FROM panel p LEFT JOIN pairs q ON q.u = least(p.u, p.v) AND q.v = greatest(p.u, p.v)),\n" + _END + "SELECT novelty_type, count(*) AS n, CAST(sum(realized) AS BIGINT) AS realized, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM nov GROUP BY 1",
-    "preset_priorities": _B + _cand(1996) + f"""e0 AS (SELECT *, substr(u, 1, 1) <> substr(v, 1, 1) AS x, ln(1 + cooc_count) AS c_, ln(1 + mediator_count) AS m_, coalesce(last_year_seen, 0) AS l_ FROM cand),
+    "preset_priorities": _B + _cand(CUTOFF) + f"""e0 AS (SELECT *, substr(u, 1, 1) <> substr(v, 1, 1) AS x, ln(1 + cooc_count) AS c_, ln(1 + mediator_count) AS m_, coalesce(last_year_seen, 0) AS l_ FROM cand),
 e AS (SELECT *, 1 - ({_mm('c_')}) AS low, {_mm('m_')} AS med, 1 - ({_mm('l_')}) AS stale, CAST(x AND cooc_count <= 0 AS DOUBLE) AS bound, CAST(x AS DOUBLE) AS crossf FROM e0),
 pri AS (SELECT u, v, 'Balanced' AS preset, 0.72 * score + 0.10 * crossf + 0.08 * low + 0.06 * (1 - hub_penalty) + 0.04 * med AS p FROM e
  UNION ALL SELECT u, v, 'Bold frontier', 0.38 * score + 0.24 * bound + 0.16 * crossf + 0.12 * low + 0.10 * (1 - hub_penalty) FROM e
@@ -481,7 +471,7 @@ pri AS (SELECT u, v, 'Balanced' AS preset, 0.72 * score + 0.10 * crossf + 0.08 *
  UNION ALL SELECT u, v, 'Underexplored', 0.28 * score + 0.26 * gap_bonus + 0.20 * low + 0.14 * stale + 0.12 * (1 - hub_penalty) FROM e
  UNION ALL SELECT u, v, 'Bridge builder', 0.34 * score + 0.24 * crossf + 0.18 * bound + 0.14 * path_support_norm + 0.10 * (1 - hub_penalty) FROM e),
 """ + _END + "SELECT preset, round(round(p, 6), 4) AS priority, CAST(row_number() OVER (PARTITION BY preset ORDER BY round(p, 6) DESC, u, v) AS INT) AS rank FROM pri QUALIFY rank <= 25",
-    "slice_flags": _B + _cand(1996) + "q AS (SELECT quantile_cont(round(path_support_norm, 6), 0.85) AS q FROM cand),\n" + _END + "SELECT CAST(substr(u, 1, 1) <> substr(v, 1, 1) AND round(path_support_norm, 6) >= q AS INT) AS bridge, CAST(substr(u, 1, 1) <> substr(v, 1, 1) AND cooc_count <= 0 AS INT) AS frontier, CAST(gap_bonus >= 0.5 AS INT) AS underexplored, count(*) AS n FROM cand, q GROUP BY 1, 2, 3",
+    "slice_flags": _B + _cand(CUTOFF) + "q AS (SELECT quantile_cont(gap_bonus, 0.85) AS q FROM cand),\n" + _END + "SELECT CAST(substr(u, 1, 1) <> substr(v, 1, 1) AS INT) AS bridge, CAST(cooc_count <= 1 AS INT) AS frontier, CAST(cooc_count > 0 AND path_support_norm >= 0.95 AS INT) AS fast_follow, CAST(cooc_count <= 2 AND gap_bonus >= q AS INT) AS underexplored, count(*) AS n FROM cand, q GROUP BY 1, 2, 3, 4",
     "recency_weighted_edges": _B + _END + "SELECT src, dst, round(sum(weight * exp(-0.1 * greatest(0, 1999 - year)) * (1 + 0.2 * least(greatest(coalesce(stability, 0), 0), 1)) * (1 + 0.3 * CAST(is_causal AS DOUBLE))), 5) AS weight FROM claims WHERE year <= 1999 GROUP BY ALL",
     "cooc_trend": _B + _pairs(9999) + _END + "SELECT u, v, round(cooc_count / greatest(1, last_year_seen - first_year_seen + 1), 6) AS trend FROM pairs",
     "power_calibration": _B + """d AS (SELECT substr(src, 1, 1) AS field, year, round(avg(weight) / 10 - avg(CAST(is_causal AS DOUBLE)), 9) AS delta FROM claims GROUP BY 1, 2),
@@ -493,8 +483,8 @@ a AS (SELECT field, count(*) AS pairs, avg(delta) AS m, stddev_samp(delta) AS s
 LEFT JOIN (SELECT src, count(*) AS c, round(sum(weight), 6) AS w FROM edges GROUP BY 1) o ON o.src = n.node LEFT JOIN (SELECT dst, count(*) AS c, round(sum(weight), 6) AS w FROM edges GROUP BY 1) i ON i.dst = n.node""",
     "pagerank_5": _B + _edges() + "steps AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges),\nns AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),\ncnt AS (SELECT count(*) AS n FROM ns),\nr0 AS (SELECT node, 1.0::DOUBLE / n AS pr FROM ns, cnt),\n" + _PR + _END + "SELECT node, round(pr, 9) AS pagerank FROM r5",
     "connected_components": _B + _edges() + _COMP + _END + "SELECT node, min(r) AS component FROM reach GROUP BY 1",
-    "backbone_component": _B + _edges() + """strength AS (SELECT node, round(sum(weight), 6) AS s FROM (SELECT src AS node, weight FROM edges UNION ALL SELECT dst, weight FROM edges) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 300),
-be AS (SELECT src, dst FROM edges WHERE src IN (SELECT node FROM strength) AND dst IN (SELECT node FROM strength) ORDER BY weight DESC, src, dst LIMIT 400),
+    "backbone_component": _B + _edges() + """strength AS (SELECT node, round(sum(weight), 6) AS s FROM (SELECT src AS node, weight FROM edges UNION ALL SELECT dst, weight FROM edges) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 650),
+be AS (SELECT src, dst FROM edges WHERE src IN (SELECT node FROM strength) AND dst IN (SELECT node FROM strength) ORDER BY weight DESC, src, dst LIMIT 2200),
 bs AS (SELECT src AS a, dst AS b FROM be UNION SELECT dst, src FROM be),
 br AS (SELECT a AS node, a AS r FROM bs UNION SELECT s.b, br.r FROM br JOIN bs s ON s.a = br.node WHERE br.r < s.b),
 bl AS (SELECT node, min(r) AS component FROM br GROUP BY 1),
@@ -504,5 +494,3 @@ g1 AS (SELECT b AS node, round(sum(weight), 6) AS strength FROM nb WHERE a = 'E0
 g2 AS (SELECT b AS node, round(sum(weight), 6) AS strength FROM nb WHERE a IN (SELECT node FROM g1) AND b <> 'E0000001' AND b NOT IN (SELECT node FROM g1) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20),
 """ + _END + "SELECT node, CAST(1 AS INT) AS ring, strength FROM g1 UNION ALL SELECT node, 2, strength FROM g2",
 }
-# the SQL of a query at 1996, with the cutoff alone moved
-ORACLES |= {f"{f.__name__}_whole": ORACLES[f.__name__].replace("year <= 1996", f"year <= {CUTOFF}") for f in AT_CUTOFF if f.__name__ in ORACLES}

@@ -11,8 +11,8 @@ from .operators import features as T
 from .operators import ontology as O
 from .operators import ranking as R
 from .plans.claims import claims, concepts
-from .queries_graph import CUTOFF, _B, _END, _FIRST, _cand, _paths, _top
-from .queries_text import _LIFT, _W, _Z, _lifted, _norm
+from .queries_graph import CUTOFF, _B, _scored, _END, _FIRST, _cand, _paths, _top
+from .queries_text import _LIFT, _W, _Z, _lifted, _norm, _sig_rows
 from .session import table
 
 
@@ -28,15 +28,6 @@ def constrained_clusters(spark, d):
 
 
 def label_map_chain(spark, d):
-    heads = table(spark, d, "head_concepts")
-    hard = table(spark, d, "instance_mappings_hard")
-    labels = hard.where("normalized_label is not null").select("normalized_label")
-    exact = heads.select(F.col("preferred_label").alias("normalized_label"), "concept_id")
-    tail = table(spark, d, "tail_to_head_candidates").where("startswith(decision_status, 'accepted')").select("normalized_label", F.col("candidate_concept_id").alias("concept_id"))
-    return D.label_map(labels, [("exact", exact), ("mapped", hard.where("normalized_label is not null").select("normalized_label", "concept_id")), ("accepted", tail)])
-
-
-def label_map_chain_whole(spark, d):
     heads = table(spark, d, "head_concepts")
     hard = table(spark, d, "instance_mappings_hard").where("normalized_label is not null")
     labels = hard.select("normalized_label").distinct()
@@ -50,8 +41,7 @@ TRIALS = [(1, 0.5, 0.2, 0.3, 0.2), (2, 0.8, 0.0, 0.2, 0.0), (3, 0.2, 0.2, 0.6, 0
 
 
 def _features(spark, d):
-    c = claims(spark, d)
-    return R.candidate_scores(T.underexplored_pairs(c, 2, 1996), T.path_features(c, 1996, 2, 120), T.motif_features(c, 1996, 120))
+    return _scored(spark, d, 1996)
 
 
 def weight_search(spark, d):
@@ -77,26 +67,18 @@ def direct_to_path(spark, d):
     return D.direct_to_path(claims(spark, d), 1997, 3)
 
 
-def review_queues(spark, d, cutoff=1996):
+def review_queues(spark, d, cutoff=CUTOFF):
     c = claims(spark, d)
     p = T.path_features(c, cutoff, 2, 120).select("u", "v", F.round("path_support_raw", 6).alias("score"))
     m = T.motif_features(c, cutoff, 120).select("u", "v", F.round("motif_bonus_raw", 6).alias("score"))
     return D.review_queue([("paths", p), ("motifs", m)], 200)
 
 
-def review_queues_whole(spark, d):
-    return review_queues(spark, d, CUTOFF)
-
-
-def idea_briefs(spark, d, cutoff=1996):
+def idea_briefs(spark, d, cutoff=CUTOFF):
     c = claims(spark, d)
     return X.briefs(_paths_top(spark, d, 20, cutoff).select("u", "v"), T.ranked_paths(c, cutoff, 120, 3), concepts(spark, d))
 
 
-def idea_briefs_whole(spark, d):
-    return idea_briefs(spark, d, CUTOFF)
-
-
 def node_strings(spark, d):
     return D.node_strings(table(spark, d, "nodes"))
 
@@ -122,7 +104,7 @@ def weighted_centrality(spark, d):
     return w.select(F.explode(F.array("src", "dst")).alias("concept_id"), "weight").groupBy("concept_id").agg(F.round(F.sum("weight"), 4).alias("strength"))
 
 
-QUERIES = {f.__name__: f for f in (constrained_clusters, label_map_chain, label_map_chain_whole, weight_search, locked_predictions, attention_panel, direct_to_path, review_queues, review_queues_whole, idea_briefs, idea_briefs_whole, node_strings, distinct_partners, context_fingerprints, oriented_pairs, topic_texts, weighted_centrality)}
+QUERIES = {f.__name__: f for f in (constrained_clusters, label_map_chain, weight_search, locked_predictions, attention_panel, direct_to_path, review_queues, idea_briefs, node_strings, distinct_partners, context_fingerprints, oriented_pairs, topic_texts, weighted_centrality)}
 
 _LABELED = "lab AS (SELECT substr(p_type, 1, 1) || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS code, p_name || ' ' || p_type || ' (' || p_brand || ')' AS label FROM part),\n"
 
@@ -135,18 +117,19 @@ k AS (SELECT u, v FROM l ANTI JOIN blk USING (u, v) WHERE u NOT IN (SELECT label
 sym AS (SELECT u AS a, v AS b FROM k UNION SELECT v, u FROM k),
 reach AS (SELECT a AS node, a AS r FROM sym UNION SELECT s.b, reach.r FROM reach JOIN sym s ON s.a = reach.node WHERE reach.r < s.b)
 SELECT node, min(r) AS component FROM reach GROUP BY 1""",
-    "label_map_chain": """WITH l AS (SELECT DISTINCT normalized_label FROM instance_mappings_hard WHERE normalized_label IS NOT NULL),
+    "label_map_chain": _W + "hs AS (SELECT kind, signature, min(concept_id) AS concept_id FROM (" + _sig_rows("concept_id", "head_concepts") + ") WHERE signature <> '' GROUP BY 1, 2 HAVING count(DISTINCT concept_id) = 1),\nl AS (SELECT DISTINCT normalized_label, normalized_label AS preferred_label FROM instance_mappings_hard WHERE normalized_label IS NOT NULL),\nls AS (" + _sig_rows("normalized_label", "l") + """ WHERE signature <> ''),
+s AS (SELECT normalized_label, min(concept_id) AS c FROM ls JOIN hs USING (kind, signature) GROUP BY 1 HAVING count(DISTINCT concept_id) = 1),
 a AS (SELECT preferred_label AS normalized_label, min(concept_id) AS c FROM head_concepts WHERE concept_id <> '' GROUP BY 1),
 b AS (SELECT normalized_label, min(concept_id) AS c FROM instance_mappings_hard WHERE concept_id <> '' AND normalized_label IS NOT NULL GROUP BY 1),
 t AS (SELECT normalized_label, min(candidate_concept_id) AS c FROM tail_to_head_candidates WHERE starts_with(decision_status, 'accepted') AND candidate_concept_id <> '' GROUP BY 1)
-SELECT normalized_label, coalesce(a.c, b.c, t.c) AS concept_id, CASE WHEN a.c IS NOT NULL THEN 'exact' WHEN b.c IS NOT NULL THEN 'mapped' WHEN t.c IS NOT NULL THEN 'accepted' ELSE 'pending' END AS origin
-FROM l LEFT JOIN a USING (normalized_label) LEFT JOIN b USING (normalized_label) LEFT JOIN t USING (normalized_label)""",
+SELECT normalized_label, coalesce(a.c, s.c, b.c, t.c) AS concept_id, CASE WHEN a.c IS NOT NULL THEN 'exact' WHEN s.c IS NOT NULL THEN 'signature' WHEN b.c IS NOT NULL THEN 'mapped' WHEN t.c IS NOT NULL THEN 'accepted' ELSE 'pending' END AS origin
+FROM l LEFT JOIN a USING (normalized_label) LEFT JOIN s USING (normalized_label) LEFT JOIN b USING (normalized_label) LEFT JOIN t USING (normalized_label)""",
     "weight_search": _B + _cand(1996) + _FIRST + f"grid AS (SELECT * FROM (VALUES {', '.join(map(str, TRIALS))}) g(trial, a, b, c, d)),\nsc AS (SELECT trial, u, v, row_number() OVER (PARTITION BY trial ORDER BY round(a * round(path_support_norm, 6) + b * round(gap_bonus, 6) + c * round(motif_bonus_norm, 6) - d * round(hub_penalty, 6), 6) DESC, u, v) AS r FROM cand, grid QUALIFY r <= 1000),\n" + _END + "SELECT CAST(trial AS INT) AS trial, count(f.u) AS hits, round(count(f.u) / 1000, 6) AS precision FROM sc LEFT JOIN firsts f ON f.u = sc.u AND f.v = sc.v AND first_year BETWEEN 1997 AND 2000 GROUP BY 1",
     "locked_predictions": _B + _paths(1996) + _top(200, 1996) + _END + "SELECT 'MC-1996-H03-R' || lpad(CAST(rank AS VARCHAR), 4, '0') AS prediction_id, u, v, CAST(rank AS INT) AS rank, sha256('MC-1996-H03-R' || lpad(CAST(rank AS VARCHAR), 4, '0') || '|' || u || '|' || v) AS digest FROM top",
     "attention_panel": _B + _paths(1996) + _top(2000, 1996) + _FIRST + "h AS (SELECT t.*, f.u IS NOT NULL AS hit FROM top t LEFT JOIN firsts f ON f.u = t.u AND f.v = t.v AND first_year BETWEEN 1997 AND 2000),\nnp AS (SELECT count(*) AS np FROM firsts WHERE first_year BETWEEN 1997 AND 2000),\n" + _END + "SELECT CAST(k AS INT) AS k, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / k, 6) AS precision, round(max(np) / 1000000, 6) AS random_precision, round((count(*) FILTER (hit) / k) / (max(np) / 1000000), 6) AS lift, count(DISTINCT substr(u, 1, 1)) AS fields, round(avg(CAST(substr(u, 1, 1) <> substr(v, 1, 1) AS DOUBLE)), 6) AS cross_share FROM h, np, (SELECT unnest([100, 500, 2000]) AS k) WHERE rank <= k GROUP BY k",
     "direct_to_path": _B + _FIRST + "op AS (SELECT a.u, b.v, min(greatest(a.first_year, b.first_year)) AS opened FROM firsts a JOIN firsts b ON a.v = b.u GROUP BY 1, 2),\n" + _END + "SELECT f.u, f.v, CASE WHEN opened <= 2000 THEN opened END AS first_path_year FROM firsts f LEFT JOIN op o ON o.u = f.u AND o.v = f.v WHERE first_year <= 1997 AND (opened IS NULL OR opened > 1997)",
-    "review_queues": _B + _cand(1996) + "qa AS (SELECT u, v, round(path_support_raw, 6) AS score FROM paths ORDER BY 3 DESC, u, v LIMIT 200),\nqb AS (SELECT u, v, round(motif_bonus_raw, 6) AS score FROM motifs ORDER BY 3 DESC, u, v LIMIT 200),\n" + _END + "SELECT u, v, 'paths' AS queue, score FROM qa UNION ALL SELECT u, v, 'motifs', score FROM qb ANTI JOIN qa USING (u, v)",
-    "idea_briefs": _B + _paths(1996) + _top(20, 1996) + _LABELED + "med AS (SELECT p.u, p.v, string_agg(label, '; ' ORDER BY r) AS via FROM (SELECT u, v, w, row_number() OVER (PARTITION BY u, v ORDER BY round(support, 6) DESC, w) AS r FROM paths2 QUALIFY r <= 3) p JOIN lab ON code = w GROUP BY 1, 2),\n" + _END + "SELECT t.u, t.v, a.label || ' -> ' || b.label || ' via ' || coalesce(via, 'no mediator') AS brief FROM top t JOIN lab a ON a.code = t.u JOIN lab b ON b.code = t.v LEFT JOIN med m ON m.u = t.u AND m.v = t.v",
+    "review_queues": _B + _cand(CUTOFF) + "qa AS (SELECT u, v, round(path_support_raw, 6) AS score FROM paths ORDER BY 3 DESC, u, v LIMIT 200),\nqb AS (SELECT u, v, round(motif_bonus_raw, 6) AS score FROM motifs ORDER BY 3 DESC, u, v LIMIT 200),\n" + _END + "SELECT u, v, 'paths' AS queue, score FROM qa UNION ALL SELECT u, v, 'motifs', score FROM qb ANTI JOIN qa USING (u, v)",
+    "idea_briefs": _B + _paths(CUTOFF) + _top(20, CUTOFF) + _LABELED + "med AS (SELECT p.u, p.v, string_agg(label, '; ' ORDER BY r) AS via FROM (SELECT u, v, w, row_number() OVER (PARTITION BY u, v ORDER BY round(support, 6) DESC, w) AS r FROM paths2 QUALIFY r <= 3) p JOIN lab ON code = w GROUP BY 1, 2),\n" + _END + "SELECT t.u, t.v, a.label || ' -> ' || b.label || ' via ' || coalesce(via, 'no mediator') AS brief FROM top t JOIN lab a ON a.code = t.u JOIN lab b ON b.code = t.v LEFT JOIN med m ON m.u = t.u AND m.v = t.v",
     "node_strings": f"SELECT {_norm('label')} AS normalized_label, count(DISTINCT (custom_id, node_id)) AS instances, count(DISTINCT custom_id) AS papers, count(DISTINCT label) AS wordings, min(custom_id) AS first_paper FROM nodes WHERE label IS NOT NULL AND {_norm('label')} <> '' GROUP BY 1",
     "distinct_partners": _W + _LIFT + _Z + "SELECT concept_id, count(DISTINCT partner) AS partners, count(DISTINCT custom_id) AS papers FROM (SELECT custom_id, src AS concept_id, dst AS partner FROM lifted UNION ALL SELECT custom_id, dst, src FROM lifted) GROUP BY 1",
     "context_fingerprints": "SELECT sha1(coalesce(countries_json, '') || '|' || coalesce(end_year_json, '') || '|' || coalesce(start_year_json, '') || '|' || coalesce(unit_of_analysis_json, '') || '|' || coalesce(context_note, '')) AS fingerprint, count(DISTINCT (custom_id, node_id)) AS instances FROM nodes WHERE label IS NOT NULL GROUP BY 1",
@@ -154,5 +137,3 @@ FROM l LEFT JOIN a USING (normalized_label) LEFT JOIN b USING (normalized_label)
     "topic_texts": "SELECT work_id, string_agg(name, '|||' ORDER BY topic_seq) AS topics FROM (SELECT work_id, topic_seq, min(display_name) AS name FROM works_topics WHERE display_name IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY topic_seq) <= 5) GROUP BY 1",
     "weighted_centrality": _W + _LIFT + _Z + "SELECT concept_id, round(sum(weight), 4) AS strength FROM (SELECT src AS concept_id, weight FROM cw UNION ALL SELECT dst, weight FROM cw) GROUP BY 1",
 }
-# the SQL of a query at 1996, with the cutoff alone moved
-ORACLES |= {f"{k}_whole": ORACLES[k].replace("year <= 1996", f"year <= {CUTOFF}") for k in ("review_queues", "idea_briefs")}

@@ -25,6 +25,16 @@ def label_signatures(spark, d):
     return x.select("label", *[v.alias(k) for k, v in L.signatures(F.col("label")).items()])
 
 
+#: Fixed cases of label normalisation beyond ASCII: raw label and its form.
+LABEL_CASES = [("Ｇｒｏｗｔｈ　Ｒａｔｅ", "growth rate"), ("ﬁnancial ﬂows", "financial flows"), ("Straße", "strasse"), ("carbon—emissions", "carbon-emissions"), ("R＆D / Ｉｎｎｏｖａｔｉｏｎ", "r and d innovation"), ("CO₂ tax", "co2 tax"), ("Café culture", "caf culture"), ("Ⅳ method", "iv method"), ("tax – rate (VAT)", "tax - rate (vat)"), ("－ wages －", "wages"), ("ΣΟΦΙΑ", ""), ("№ 5", "no 5")]
+
+
+def label_normalization(spark, d):
+    """The forms of fixed labels and of all concept labels of the canonical list."""
+    x = spark.createDataFrame([r for r, _ in LABEL_CASES], "string").toDF("label").unionByName(table(spark, d, "head_concepts").select(F.col("preferred_label").alias("label")))
+    return x.where("label is not null").distinct().select("label", L.normalized(F.col("label")).alias("normalized_label"))
+
+
 def preferred_label(spark, d):
     return _preferred(spark, d)
 
@@ -81,39 +91,19 @@ def concept_edge_weights(spark, d):
     return O.concept_weights(_lifted(spark, d))
 
 
+PROFILE_ATTRIBUTES = ["relationship_type", "sign", "evidence_method", "causal_presentation", "statistical_significance"]
+
+
 def concept_edge_profiles(spark, d):
-    return O.edge_profiles(_lifted(spark, d), ["relationship_type", "sign", "evidence_method"])
+    return O.edge_profiles(_lifted(spark, d), PROFILE_ATTRIBUTES)
 
 
 def pair_summary_signs(spark, d):
     return O.pair_signs(_lifted(spark, d))
 
 
-def _dup(spark, d):
-    h = table(spark, d, "head_concepts").where("instance_support > 0")
-    e = O.concept_weights(_lifted(spark, d))
-    near = e.select(F.col("src").alias("id"), F.col("dst").alias("x")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("x"))).groupBy("id").agg(F.collect_set("x").alias("neighbors"))
-    p = h.select(F.col("concept_id").alias("id"), L.normalized(F.col("preferred_label")).alias("label"), L.tokens(F.col("preferred_label")).alias("tokens")).join(near, "id", "left")
-    p = p.withColumn("neighbors", F.coalesce("neighbors", F.array().cast("array<string>")))
-    pairs = e.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-    return e, O.duplicate_scores(pairs, p)
-
-
-def duplicate_soft_score(spark, d):
-    return _dup(spark, d)[1].select("u", "v", "lexical_overlap", "containment", "substring_share", "neighbor_overlap", F.col("protected").cast("int").alias("protected"), "duplicate_score")
-
-
-def suppression_final_rank(spark, d):
-    e, s = _dup(spark, d)
-    from .operators.ranking import top_ranked
-
-    w = e.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("weight").alias("score"))
-    out = O.suppressed_ranking(top_ranked(w, 500), s)
-    return out.select("u", "v", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("int").alias("final_rank"), F.col("shift").cast("int").alias("shift"))
-
-
 def _family(spark, d):
-    h = table(spark, d, "head_concepts").where("instance_support > 0")
+    h = table(spark, d, "head_concepts")
     e = O.concept_weights(_lifted(spark, d))
     near = e.select(F.col("src").alias("id"), F.col("dst").alias("x")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("x"))).groupBy("id").agg(F.collect_set("x").alias("neighbors"))
     first = lambda df, at: df.groupBy("custom_id", "node_id").agg(F.min(F.struct("ingested_at", *at)).alias("f")).select("custom_id", "node_id", "f.*")
@@ -127,12 +117,21 @@ def _family(spark, d):
     return e, O.family_scores(pairs, O.concept_profiles(h, near, of("countries_json"), of("unit_of_analysis_json")), reviewed)
 
 
-def suppression_final_rank_whole(spark, d):
-    from .operators.ranking import top_ranked
+def duplicate_terms(spark, d):
+    """The terms of the duplicate score that SQL can state, of all concept pairs that share a claim."""
+    s = _family(spark, d)[1]
+    return s.select("u", "v", "lexical_overlap", "containment", "substring_share", "shared_tokens", "neighbor_overlap", "alias_overlap", F.col("protected").cast("int").alias("protected"))
+
+
+def duplicate_soft_score(spark, d):
+    return _family(spark, d)[1].select("u", "v", "contradiction", "reason", "duplicate_score")
+
 
+def suppression_final_rank(spark, d):
     e, s = _family(spark, d)
     w = e.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("weight").alias("score"))
-    return O.family_ranking(top_ranked(w, 100_000), s).select("u", "v", "duplicate_score", "final_score", F.col("final_rank").cast("int").alias("final_rank"), F.col("shift").cast("int").alias("shift"))
+    ranked = w.withColumn("score", F.round("score", 6))
+    return O.family_ranking(ranked, s).select("u", "v", "duplicate_score", "final_score", F.col("final_rank").cast("int").alias("final_rank"), F.col("shift").cast("int").alias("shift"))
 
 
 def display_refinement(spark, d):
@@ -203,7 +202,7 @@ def search_rank(spark, d):
 
 
 def fuzzy_title_match(spark, d):
-    heads = table(spark, d, "head_concepts").select(F.col("selection_rank").cast("long").alias("id"), F.col("preferred_label").alias("title")).where("id is not null")
+    heads = table(spark, d, "head_concepts").select(F.col("concept_id").alias("id"), F.col("preferred_label").alias("title"))
     m = table(spark, d, "head_selection_metrics").select(F.col("row_id").alias("id"), F.col("normalized_label").alias("title"))
     return S.title_matches(m, heads)
 
@@ -217,7 +216,7 @@ def event_windows(spark, d):
     return e.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
-QUERIES = {f.__name__: f for f in (label_signatures, preferred_label, label_histograms, head_pool_cumulative, head_rank_zscores, signature_candidate_pairs, signature_unique_map, token_shortlist, embedding_knn_top3, embedding_margin_decision, concept_edge_list, concept_edge_weights, concept_edge_profiles, pair_summary_signs, duplicate_soft_score, suppression_final_rank, suppression_final_rank_whole, display_refinement, abstract_quality, rebuilt_abstracts, works_deduplicated, works_overlay, combined_sources, source_classes, extraction_qa, enum_shares, gate_grid, source_quality_rank, source_summary, mention_series, freshness_audit, stratified_sample, search_rank, fuzzy_title_match, question_filter, event_windows)}
+QUERIES = {f.__name__: f for f in (label_signatures, label_normalization, preferred_label, label_histograms, head_pool_cumulative, head_rank_zscores, signature_candidate_pairs, signature_unique_map, token_shortlist, embedding_knn_top3, embedding_margin_decision, concept_edge_list, concept_edge_weights, concept_edge_profiles, pair_summary_signs, duplicate_terms, duplicate_soft_score, suppression_final_rank, display_refinement, abstract_quality, rebuilt_abstracts, works_deduplicated, works_overlay, combined_sources, source_classes, extraction_qa, enum_shares, gate_grid, source_quality_rank, source_summary, mention_series, freshness_audit, stratified_sample, search_rank, fuzzy_title_match, question_filter, event_windows)}
 
 # ---------------------------------------------------------------- SQL
 
@@ -270,21 +269,21 @@ cw AS (SELECT src, dst, round(CAST(count(*) AS DOUBLE) + 0.25 * max(CAST(coalesc
 """
 _W = "WITH "
 _Z = "z AS (SELECT 1)\n"
-_DUP = _LIFT + f"""nbr AS (SELECT id, list_distinct(list(x)) AS nb FROM (SELECT src AS id, dst AS x FROM cw UNION ALL SELECT dst, src FROM cw) GROUP BY 1),
-prof AS (SELECT concept_id AS id, {_norm('preferred_label')} AS label, {_tokens('preferred_label')} AS tk, coalesce(nb, []) AS nb FROM head_concepts LEFT JOIN nbr ON id = concept_id WHERE instance_support > 0),
-prs AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM cw),
-m AS (SELECT u, v, a.label AS la, b.label AS lb, a.tk AS ta, b.tk AS tb, len(list_intersect(a.tk, b.tk)) AS sh, len(list_distinct(list_concat(a.tk, b.tk))) AS un, len(list_intersect(a.nb, b.nb)) AS ns, len(list_distinct(list_concat(a.nb, b.nb))) AS nu FROM prs JOIN prof a ON a.id = u JOIN prof b ON b.id = v),
-p AS (SELECT u, v, round(CASE WHEN un > 0 THEN sh / un ELSE 0 END, 6) AS lexical_overlap, round(CASE WHEN least(len(ta), len(tb)) > 0 THEN sh / least(len(ta), len(tb)) ELSE 0 END, 6) AS containment,
+_NAMES = "list_concat([coalesce(preferred_label, '')], list_filter(coalesce(from_json(aliases_json, '[\"VARCHAR\"]'), []), lambda x: x IS NOT NULL AND trim(x) <> ''))"
+_DUP = _LIFT + "nbr AS (SELECT id, list_distinct(list(x)) AS nb FROM (SELECT src AS id, dst AS x FROM cw UNION ALL SELECT dst, src FROM cw) GROUP BY 1),\nnames AS (SELECT concept_id AS id, coalesce(preferred_label, '') AS raw, unnest(" + _NAMES + ") AS name FROM head_concepts),\nsg AS (SELECT id, raw, " + _tokens("name") + " AS tk, " + ", ".join(f"{v} AS {k}" for k, v in _sigs("name").items()) + " FROM names),\nprof AS (SELECT id, " + _norm("min(raw)") + " AS label, list_distinct(flatten(list(tk))) AS tk, " + ", ".join(f"list_filter(list_distinct(list({k})), lambda x: x <> '') AS {k}" for k in _sigs("name")) + ", coalesce(any_value(nb), []) AS nb FROM sg LEFT JOIN nbr USING (id) GROUP BY id),\nprs AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM cw),\n" + f"""m AS (SELECT u, v, a.label AS la, b.label AS lb, a.tk AS ta, b.tk AS tb, len(list_intersect(a.tk, b.tk)) AS sh, len(list_distinct(list_concat(a.tk, b.tk))) AS un, len(list_intersect(a.nb, b.nb)) AS ns, len(list_distinct(list_concat(a.nb, b.nb))) AS nu,
+  CASE WHEN list_has_any(a.normalized_label, b.normalized_label) OR list_has_any(a.no_paren_signature, b.no_paren_signature) THEN 1.0 WHEN list_has_any(a.punctuation_signature, b.punctuation_signature) OR list_has_any(a.singular_signature, b.singular_signature) THEN 0.8
+    WHEN list_has_any(a.paren_acronym, b.paren_acronym) OR list_has_any(a.initialism_signature, b.initialism_signature) THEN 0.6 ELSE 0.0 END AS alias_overlap FROM prs JOIN prof a ON a.id = u JOIN prof b ON b.id = v),
+dup AS (SELECT u, v, round(CASE WHEN un > 0 THEN sh / un ELSE 0 END, 6) AS lexical_overlap, round(CASE WHEN least(len(ta), len(tb)) > 0 THEN sh / least(len(ta), len(tb)) ELSE 0 END, 6) AS containment,
   round(CASE WHEN la <> '' AND lb <> '' AND (contains(la, lb) OR contains(lb, la)) THEN least(length(la), length(lb)) / greatest(length(la), length(lb)) ELSE 0 END, 6) AS substring_share,
-  round(CASE WHEN sh >= 2 THEN sh / greatest(least(len(ta), len(tb)), 1) ELSE 0 END, 6) AS st, round(CASE WHEN nu > 0 THEN ns / nu ELSE 0 END, 6) AS neighbor_overlap,
-  CAST({" OR ".join(f"(len(list_intersect(ta, {g})) > 0 AND len(list_intersect(tb, {g})) > 0 AND list_sort(list_intersect(ta, {g})) <> list_sort(list_intersect(tb, {g})))" for g in map(str, L.CONTRASTS))} AS INT) AS protected FROM m),
-dup AS (SELECT *, round(least(1.0, greatest(0.0, (0.10 * lexical_overlap + 0.22 * containment + 0.15 * substring_share + 0.03 * st + 0.10 * neighbor_overlap) * CASE WHEN protected = 1 THEN 0.15 ELSE 1 END)), 6) AS duplicate_score FROM p),
+  round(CASE WHEN sh >= 2 THEN sh / greatest(least(len(ta), len(tb)), 1) ELSE 0 END, 6) AS shared_tokens, round(CASE WHEN nu > 0 THEN ns / nu ELSE 0 END, 6) AS neighbor_overlap, CAST(alias_overlap AS DOUBLE) AS alias_overlap,
+  CAST({" OR ".join(f"(len(list_intersect(ta, {g})) > 0 AND len(list_intersect(tb, {g})) > 0 AND list_sort(list_intersect(ta, {g})) <> list_sort(list_intersect(tb, {g})))" for g in map(str, L.CONTRASTS))} OR (least(la, lb) = 'inflation' AND greatest(la, lb) = 'inflation expectations') AS INT) AS protected FROM m),
 """
 _COS = "sims AS (SELECT q.vec_id, b.vec_id AS neighbor_id, b.label, round(list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id),\n"
 _Q = "credit rationing"
 _SCORE = "max(CASE WHEN lower(n) = 'credit rationing' THEN 100.0 WHEN starts_with(lower(n), 'credit rationing') THEN 60.0 WHEN contains(lower(n), 'credit rationing') THEN 40.0 ELSE 0 END + 20.0 * (CAST(contains(lower(n), 'credit') AS INT) + CAST(contains(lower(n), 'rationing') AS INT)) / 2)"
 
 ORACLES = {
+    "label_normalization": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in LABEL_CASES) + f") v(label, normalized_label) UNION SELECT preferred_label, {_norm('preferred_label')} FROM head_concepts WHERE preferred_label IS NOT NULL",
     "label_signatures": "SELECT DISTINCT label, " + ", ".join(f"{v} AS {k}" for k, v in _sigs("label").items()) + " FROM nodes WHERE label IS NOT NULL",
     "preferred_label": _W + _PREF + _Z + "SELECT * FROM pref",
     "label_histograms": f"SELECT normalized_label, country, count(*) AS n, CAST(row_number() OVER (PARTITION BY normalized_label ORDER BY count(*) DESC, country) AS INT) AS rank FROM (SELECT {_norm('label')} AS normalized_label, unnest(from_json(countries_json, '[\"VARCHAR\"]')) AS country FROM nodes WHERE label IS NOT NULL) WHERE country <> '' GROUP BY 1, 2 QUALIFY rank <= 3",
@@ -300,19 +299,19 @@ g AS (SELECT vec_id, max(CASE WHEN r = 1 THEN label END) AS label, max(CASE WHEN
 """ + _Z + "SELECT vec_id, label, round(top, 4) AS cosine, CASE WHEN top >= 0.4 AND round(top - second, 6) >= 0.03 THEN 'accepted' WHEN top >= 0.3 OR round(top - second, 6) >= 0.03 THEN 'review' ELSE 'rejected' END AS decision FROM g",
     "concept_edge_list": _W + _LIFT + _Z + "SELECT custom_id, edge_id, src, dst FROM lifted",
     "concept_edge_weights": _W + _LIFT + _Z + "SELECT * FROM cw",
-    "concept_edge_profiles": _W + _LIFT + _Z + "SELECT src, dst, attribute, value, count(*) AS n FROM (SELECT src, dst, unnest(['relationship_type', 'sign', 'evidence_method']) AS attribute, coalesce(unnest([relationship_type, sign, evidence_method]), 'NA') AS value FROM lifted) GROUP BY ALL",
+    "concept_edge_profiles": _W + _LIFT + _Z + "SELECT src, dst, attribute, value, count(*) AS n FROM (SELECT src, dst, unnest(['relationship_type', 'sign', 'evidence_method', 'causal_presentation', 'statistical_significance']) AS attribute, coalesce(unnest([relationship_type, sign, evidence_method, causal_presentation, statistical_significance]), 'NA') AS value FROM lifted) GROUP BY ALL",
     "pair_summary_signs": _W + _LIFT + _Z + "SELECT least(src, dst) AS u, greatest(src, dst) AS v, count(*) AS claims, count(*) FILTER (src < dst) AS forward, count(DISTINCT custom_id) AS papers, round((count(*) FILTER (sign = 'increase') - count(*) FILTER (sign = 'decrease')) / nullif(count(*) FILTER (sign IN ('increase', 'decrease', 'no_effect')), 0), 6) AS net_sign FROM lifted GROUP BY 1, 2",
-    "duplicate_soft_score": _W + _DUP + _Z + "SELECT u, v, lexical_overlap, containment, substring_share, neighbor_overlap, protected, duplicate_score FROM dup",
-    "suppression_final_rank": _W + _DUP + """base AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, round(sum(weight), 6) AS score FROM cw GROUP BY 1, 2),
-rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, u, v) AS rank FROM base QUALIFY rank <= 500),
-fin AS (SELECT u, v, score, rank, round(score - 0.5 * coalesce(duplicate_score, 0), 6) AS final_score FROM rk LEFT JOIN dup USING (u, v) WHERE coalesce(duplicate_score, 0) < 0.95 OR protected = 1),
-fr AS (SELECT *, row_number() OVER (ORDER BY final_score DESC, score DESC, u, v) AS final_rank FROM fin),
-""" + _Z + "SELECT u, v, final_score, CAST(final_rank AS INT) AS final_rank, CAST(rank - final_rank AS INT) AS shift FROM fr",
+    "duplicate_terms": _W + _DUP + _Z + "SELECT u, v, lexical_overlap, containment, substring_share, shared_tokens, neighbor_overlap, alias_overlap, protected FROM dup",
     "display_refinement": """WITH n AS (SELECT concept_id, normalized_label, count(*) AS n FROM instance_mappings_hard WHERE concept_id <> '' AND normalized_label IS NOT NULL GROUP BY ALL),
 b AS (SELECT *, n / sum(n) OVER (PARTITION BY concept_id) AS s FROM n QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY n DESC, normalized_label) = 1)
 SELECT h.concept_id, CASE WHEN coalesce(s >= 0.42, false) THEN normalized_label ELSE preferred_label END AS display_label, round(s, 6) AS share FROM head_concepts h LEFT JOIN b USING (concept_id)""",
-    "abstract_quality": r"""SELECT DISTINCT work_id, w AS words, CASE WHEN w = 0 THEN 'missing' WHEN regexp_matches(lower(t), '^(n/?a|none|null|tb[ad])$') THEN 'placeholder' WHEN w < 20 THEN 'too_short' WHEN (length(t) - length(replace(t, ';', ''))) * 5 > w THEN 'list_like' WHEN w < 50 THEN 'usable_short' ELSE 'usable' END AS quality
-FROM (SELECT work_id, coalesce(trim(abstract_text), '') AS t, len(list_filter(regexp_split_to_array(coalesce(trim(abstract_text), ''), '\s+'), lambda x: x <> '')) AS w FROM works_abstracts)""",
+    "abstract_quality": r"""WITH x AS (SELECT work_id, trim(regexp_replace(coalesce(abstract_text, ''), '\s+', ' ', 'g')) AS t FROM works_abstracts),
+y AS (SELECT work_id, t, lower(t) AS l, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS w, length(t) - length(replace(t, ';', '')) AS s, len(regexp_extract_all(t, '[A-Za-z0-9]+')) AS k FROM x),
+q AS (SELECT work_id, w AS words, CASE WHEN w = 0 THEN 'missing' WHEN l IN ('none', 'none.', 'not available', 'n/a') THEN 'placeholder'
+  WHEN contains(l, 'an abstract is not available') OR contains(l, 'abstract is not available') OR contains(l, 'no abstract available') OR contains(l, 'please use the get access link') OR contains(l, 'for information on how to access this content') OR contains(l, 'preview has been provided') THEN 'placeholder'
+  WHEN w < 20 AND (contains(l, 'clinicaltrials.gov identifier') OR contains(l, 'trial registration') OR contains(l, 'registration number') OR contains(l, 'funded by') OR contains(l, 'supported by')) THEN 'metadata_only'
+  WHEN w < 20 AND k <= 8 AND NOT contains(t, '.') AND NOT contains(t, ':') THEN 'metadata_only' WHEN w < 25 AND s >= 2 THEN 'keyword_list' WHEN w < 20 THEN 'too_short' WHEN w < 30 THEN 'borderline_short' WHEN w < 50 THEN 'usable_short' ELSE 'usable' END AS quality FROM y)
+SELECT DISTINCT work_id, words, quality, CAST(quality IN ('usable', 'usable_short') AS INT) AS has_abstract, CAST(quality IN ('usable', 'usable_short') AS INT) AS ready FROM q""",
     "works_deduplicated": "SELECT work_id, f.y AS publication_year, f.s AS source_id FROM (SELECT work_id, list_sort(list({'y': publication_year, 's': source_id}), 'ASC', 'NULLS FIRST')[1] AS f FROM works_base GROUP BY 1)",
     "works_overlay": "SELECT source_id, count(DISTINCT work_id) AS works FROM works_base WHERE source_id IN (SELECT source_id FROM works_base WHERE source_id IS NOT NULL GROUP BY source_id, corpus_bucket HAVING count(*) >= 20) GROUP BY 1",
     "combined_sources": "SELECT work_id, CASE WHEN coalesce(bool_or(corpus_bucket = 'core'), false) THEN 'core' ELSE 'any' END AS origin FROM works_base GROUP BY 1",
@@ -334,7 +333,7 @@ t AS (SELECT *, CASE WHEN docs > 0 THEN hits / docs ELSE 0 END AS share FROM s)
 SELECT year, docs, hits, round(share, 6) AS share, round(avg(share) OVER (ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS rolling, median(hits) OVER (ORDER BY year ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS median_before FROM t""",
     "freshness_audit": "SELECT max(updated_date) AS last_update, count(*) AS rows, " + ", ".join(f"count(*) FILTER (publication_year = {y}) AS works_{y}" for y in (2000, 2010, 2020)) + " FROM works_base",
     "search_rank": f"SELECT concept_id, preferred_label, instance_support, round(s, 6) AS score, CAST(row_number() OVER (ORDER BY round(s, 6) DESC, instance_support DESC, concept_id) AS INT) AS rank FROM (SELECT concept_id, preferred_label, instance_support, {_SCORE} AS s FROM (SELECT concept_id, preferred_label, instance_support, unnest(list_concat([preferred_label], coalesce(from_json(aliases_json, '[\"VARCHAR\"]'), []))) AS n FROM head_concepts) GROUP BY ALL) WHERE s > 0 QUALIFY rank <= 8",
-    "fuzzy_title_match": f"""WITH a AS (SELECT row_id AS id, {_tokens('normalized_label')} AS t FROM head_selection_metrics WHERE normalized_label IS NOT NULL), b AS (SELECT CAST(selection_rank AS BIGINT) AS id, {_tokens('preferred_label')} AS t FROM head_concepts WHERE selection_rank IS NOT NULL),
+    "fuzzy_title_match": f"""WITH a AS (SELECT row_id AS id, {_tokens('normalized_label')} AS t FROM head_selection_metrics WHERE normalized_label IS NOT NULL), b AS (SELECT concept_id AS id, {_tokens('preferred_label')} AS t FROM head_concepts WHERE preferred_label IS NOT NULL),
 j AS (SELECT a.id AS left_id, b.id AS right_id, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS overlap FROM a, b WHERE len(list_intersect(a.t, b.t)) > 0)
 SELECT left_id, right_id, overlap FROM j WHERE overlap >= 0.5 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY overlap DESC, right_id) = 1""",
     "question_filter": "SELECT DISTINCT work_id FROM works_base WHERE contains(lower(coalesce(display_name, '')), 'credit') OR contains(lower(coalesce(source_display_name, '')), 'credit')",

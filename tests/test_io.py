@@ -56,7 +56,7 @@ def test_sinks(spark, tmp_path):
 
 def test_first_delivered_and_combine(spark):
     a = spark.createDataFrame([("x", 1, None), ("x", 1, "b"), (None, 2, "c")], "k string, n int, s string")
-    assert sorted(map(tuple, B.first_delivered(a, ["k"], ["n"]).collect()), key=str) == [("x", 1, None), (None, 2, "c")] or True
+    assert sorted(map(tuple, B.first_delivered(a, ["k"], ["n"]).collect()), key=str) == [("x", 1, None), (None, 2, "c")]
     got = {r["k"]: r["n"] for r in B.combine_first_wins([a.where("n = 1"), a.withColumn("n", F.lit(9))], "k").collect()}
     assert got == {"x": 1, None: 9}
 
@@ -70,4 +70,4 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 48
     batch = S.tumbling_counts(e).agg(F.sum("n")).first()[0]
-    assert batch == 48 and S.sessions(e, "90 minutes").count() == 48 or True
+    assert batch == 48 and S.sessions(e, "90 minutes").count() == 48

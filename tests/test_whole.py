@@ -41,9 +41,8 @@ def test_three_hops_of_all_years_with_full_fan_out(spark, rows):
                     if u != v and (u, v) not in e:
                         want[u, v][0] += 1
                         want[u, v][1] += x * y * z / ((1 + math.log1p(deg[w1])) * (1 + math.log1p(deg[w2])))
-    got = {(r["u"], r["v"]): (r["paths"], r["support"]) for r in Q.QUERIES["path_support_3hop_whole"](spark, D).collect()}
+    got = {(r["u"], r["v"]): (r["paths"], r["support"]) for r in Q.QUERIES["path_support_3hop"](spark, D).collect()}
     assert got.keys() == want.keys() and all(got[k][0] == n and got[k][1] == pytest.approx(s, abs=1e-4, rel=1e-6) for k, (n, s) in want.items())
-    assert len(got) > Q.QUERIES["path_support_3hop"](spark, D).count()
 
 
 def test_backtest_has_every_cutoff_horizon_and_model(spark, monkeypatch):
@@ -58,7 +57,7 @@ def test_backtest_has_every_cutoff_horizon_and_model(spark, monkeypatch):
     rows = [(p, year.setdefault(p, y), *r) for p, y, *r in rows]
     c = spark.createDataFrame(rows, "paper_id string, year int, src string, dst string, weight double, is_causal boolean, stability double")
     monkeypatch.setattr(Q, "claims", lambda s, d: c)
-    got = {(r["model"], r["cutoff"], r["horizon"]): r for r in Q.QUERIES["backtest_metrics_whole"](spark, D).collect()}
+    got = {(r["model"], r["cutoff"], r["horizon"]): r for r in Q.QUERIES["backtest_metrics"](spark, D).collect()}
     lo, hi = min(year.values()), max(year.values())
     nodes = sorted({x for r in rows for x in r[2:4]})
     want = set()
@@ -102,7 +101,7 @@ def test_pagerank_is_the_fixed_point(spark, rows):
     total = m.sum(axis=0)
     m = np.where(total > 0, m / np.where(total > 0, total, 1), 1 / len(nodes))
     want = np.linalg.solve(np.eye(len(nodes)) - 0.85 * m, np.full(len(nodes), 0.15 / len(nodes)))
-    got = {r["node"]: r["pagerank"] for r in Q.QUERIES["pagerank_whole"](spark, D).collect()}
+    got = {r["node"]: r["pagerank"] for r in Q.QUERIES["pagerank"](spark, D).collect()}
     assert got.keys() == set(nodes) and max(abs(got[x] - want[at[x]]) for x in nodes) < 2e-9
 
 
@@ -121,7 +120,7 @@ def test_explanations_and_priorities_cover_the_claims_of_the_ranking(spark, rows
     import __spark_entry__ as entry
 
     known = entry.queries()
-    assert {f"{k}_whole" for k in ("top_mediators", "explain_papers", "concept_opportunities", "preset_priorities", "slice_flags", "review_queues", "idea_briefs", "expert_pack")} <= known.keys()
+    assert Q.CUTOFF == 1998
     e = edges_of(rows, Q.CUTOFF)
     deg, out = defaultdict(int), defaultdict(list)
     for (a, b), w in e.items():
@@ -134,7 +133,7 @@ def test_explanations_and_priorities_cover_the_claims_of_the_ranking(spark, rows
             if u != v and (u, v) not in e:
                 via[u, v].append(-round(x * y / (1 + math.log1p(deg[w])), 6))
     got = defaultdict(list)
-    for r in known["top_mediators_whole"](spark, D).orderBy("u", "v", "rank").collect():
+    for r in known["top_mediators"](spark, D).orderBy("u", "v", "rank").collect():
         got[r["u"], r["v"]].append(-r["support"])
     assert got.keys() == via.keys() and all(got[k] == pytest.approx(sorted(x)[:3], abs=2e-6) for k, x in via.items())
 
@@ -148,5 +147,5 @@ def test_label_chain_has_the_unique_signature_step(spark, tmp_path):
         ("tail_to_head_candidates", [("x", "c1", "accepted")], "normalized_label string, candidate_concept_id string, decision_status string"),
     ):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    got = {tuple(r) for r in entry.queries()["label_map_chain_whole"](spark, str(tmp_path)).select("normalized_label", "concept_id", "origin").collect()}
+    got = {tuple(r) for r in entry.queries()["label_map_chain"](spark, str(tmp_path)).select("normalized_label", "concept_id", "origin").collect()}
     assert got == {("trade shock", "c1", "signature"), ("tax rate", "c2", "exact"), ("river", "c7", "mapped"), ("unknown", None, "pending")}
