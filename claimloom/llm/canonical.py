@@ -7,8 +7,8 @@ other edits, a plural ending or a cut-off word less still.  An entry matches if
 filler words is left over; labels run together, or spelled out as single letters, are looked up without blanks.  Among matches the cheapest
 wins, then the entry with most support, then the smaller id.  Everything else is reported as unmatched.
 
-The dictionary is broadcast in blocks of at most ``block_entries`` entries, so its size is bounded whatever the list; each block is one narrow pass and
-the best match of all blocks is kept.  Without a second block nothing is shuffled for matching.
+The dictionary is broadcast in blocks of at most ``block_entries`` entries and ``block_bytes`` of text, so its size is bounded whatever the list.  Each block is one narrow
+pass with a written table behind it, so a worker holds one block at a time and builds it once; the best match of all blocks is kept.  Nothing is shuffled for matching.
 
 A null or blank label is unmatched.  Entries without label and malformed alias lists count as having none.
 """
@@ -21,18 +21,19 @@ import unicodedata
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch
+
 UNMATCHED = "unmatched"
 # Words that add nothing to a label.
 FILLERS = frozenset("the a an of in on for to and level levels degree extent amount".split())
 PREFIX, EDITS, LEAST_CUT = 7, 2, 4
 _WORD = re.compile(r"[^\W_]+")
-_SHORT_NAME = re.compile(r"\(\s*[^()\s]{1,8}\s*\)")
+_SHORT_NAME = re.compile(r"\(\s*[^()\s]+\s*\)")
 VOWELS = frozenset("aeiouy")
 
 
@@ -96,7 +97,7 @@ class Dictionary:
         self.forms: list[tuple[tuple[str, ...], int, str]] = []  # words, -support, id
         self.joined: dict[str, tuple[int, str]] = {}
         self.with_word: dict[str, set[int]] = defaultdict(set)
-        self.plain: dict[str, tuple[int, str]] = {}
+        self.letters: dict[str, list[int]] = defaultdict(list)
         ordered: dict[str, tuple[int, str]] = {}
         for ident, label, aliases, support in entries:
             rank = (-(support or 0), ident)
@@ -108,19 +109,16 @@ class Dictionary:
                 if not words:
                     continue
                 self._keep(self.joined, "".join(every), rank)
-                if len(words) == 1 and text is not label:
-                    continue  # short names are looked up as they are
+                if len(words) == 1 and text is not label and text.isupper():
+                    continue  # a code in capitals is looked up as it is
                 k = len(self.forms)
                 self.forms.append((tuple(words), *rank))
                 for w in words:
                     self.with_word[w].add(k)
                 self._keep(ordered, "".join(words), rank)
-                if len(words) <= 4:
-                    for p in permutations(words):
-                        self._keep(self.plain, "".join(p), rank)
-        for k, v in self.plain.items():
-            self.joined.setdefault(k, v)
+                self.letters["".join(sorted("".join(words)))].append(k)
         self.ordered = ordered
+        self.longest = max(map(len, self.with_word), default=0)
         self.near: dict[str, list[str]] = defaultdict(list)
         self.cut: dict[str, list[str]] = defaultdict(list)
         for w in self.with_word:
@@ -161,9 +159,14 @@ class Dictionary:
         """Whether a run-together text is made of canonical words throughout."""
         reach = [True] + [False] * len(text)
         for e in range(1, len(text) + 1):
-            reach[e] = any(reach[s] and text[s:e] in self.with_word for s in range(max(0, e - 30), e))
+            reach[e] = any(reach[s] and text[s:e] in self.with_word for s in range(max(0, e - self.longest), e))
         return reach[-1]
 
+    def shuffled(self, text: str) -> tuple[int, str] | None:
+        """(-support, id) of the best entry whose words, in any order, make up a run-together text."""
+        found = (self.forms[k] for k in self.letters.get("".join(sorted(text)), ()))
+        return min(((f[1], f[2]) for f in found if _made_of(text, list(f[0]))), default=None)
+
     def match(self, label: str | None) -> tuple[float, int, str] | None:
         """(cost, -support, id) of the best entry, or None."""
         if not label:
@@ -171,7 +174,7 @@ class Dictionary:
         every = words_of(label)
         if not every:
             return None
-        hit = self.joined.get("".join(every))
+        hit = self.joined.get("".join(every)) or self.shuffled("".join(every))
         if hit:
             return (0.0, *hit)
         words = [w for w in every if w not in FILLERS]
@@ -197,7 +200,7 @@ class Dictionary:
         best = None
         for k in forms or ():
             target, support, ident = self.forms[k]
-            if len(target) == len(words) and (cost := self._assign(near, list(target))) is not None and cost[0] <= 2 * EDITS:
+            if len(target) == len(words) and (cost := self._assign(near, list(target))) is not None:
                 got = (cost[1], support, ident)
                 best = got if best is None or got < best else best
         return best
@@ -218,20 +221,27 @@ class Dictionary:
 
     def _joined(self, words: list[str]) -> tuple[float, int, str] | None:
         text = "".join(words)
-        hit = self.joined.get(text)
+        hit = self.joined.get(text) or self.shuffled(text)
         if hit:
             return (0.1, *hit)
-        if len(text) < 10 or self.segmented(text):
+        if self.segmented(text):
             return None
         best = None
         near = {w for x in deletions(text, EDITS) for w in self.near_joined.get(x, ()) if abs(len(w) - len(text)) <= EDITS}
         for w in near:
-            d = distance(text, w, EDITS)
+            d = distance(text, w, allowed(w))
             if d and (best is None or (d[1], *self.ordered[w]) < best):
                 best = (d[1], *self.ordered[w])
         return best
 
 
+def _made_of(text: str, words: list[str]) -> bool:
+    """Whether a text is the given words in some order."""
+    if not words:
+        return not text
+    return any(text.startswith(w) and _made_of(text[len(w) :], words[:i] + words[i + 1 :]) for i, w in enumerate(words) if w not in words[:i])
+
+
 def _aliases(text: str | None) -> list[str]:
     try:
         got = json.loads(text) if text else []
@@ -240,12 +250,13 @@ def _aliases(text: str | None) -> list[str]:
     return [x for x in got if isinstance(x, str)] if isinstance(got, list) else []
 
 
-def map_labels(labels: DataFrame, concepts: DataFrame, block_entries: int = 100_000) -> DataFrame:
+def map_labels(labels: DataFrame, concepts: DataFrame, block_entries: int = 100_000, block_bytes: int = 16 << 20) -> DataFrame:
     """``labels`` (any columns and ``label``) with ``concept_id``, the entry each label names, or ``unmatched``."""
     spark = labels.sparkSession
+    scratch = Scratch(spark, "canonical")
     out = labels.withColumn("_best", F.lit(None).cast("struct<cost:double,rank:bigint,id:string>"))
     block: list = []
-    blocks = 0
+    blocks = size = 0
 
     def add(df: DataFrame, entries: list) -> DataFrame:
         held, name = spark.sparkContext.broadcast(entries), uuid.uuid4().hex
@@ -268,9 +279,13 @@ def map_labels(labels: DataFrame, concepts: DataFrame, block_entries: int = 100_
         return df.withColumn("_best", F.coalesce(F.least("_best", "_new"), "_best", "_new")).drop("_new")
 
     for r in concepts.where("concept_id is not null").select("concept_id", "preferred_label", "aliases_json", "instance_support").toLocalIterator():
+        if block and (len(block) >= block_entries or size >= block_bytes):
+            out = scratch.write(add(out, block), f"block-{blocks}")
+            if blocks:
+                scratch.drop(f"block-{blocks - 1}")
+            block, blocks, size = [], blocks + 1, 0
         block.append((r[0], r[1], _aliases(r[2]), r[3]))
-        if len(block) >= block_entries:
-            out, block, blocks = add(out, block), [], blocks + 1
+        size += len(r[1] or "") + len(r[2] or "")
     if block or not blocks:
         out = add(out, block)
     return out.withColumn("concept_id", F.coalesce("_best.id", F.lit(UNMATCHED))).drop("_best")

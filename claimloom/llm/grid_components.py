@@ -56,11 +56,9 @@ def _cells(edges: DataFrame, count: int, cell_edges: int) -> DataFrame:
     placed = edges.withColumn("i", F.least(block("u"), block("v"))).withColumn("j", F.greatest(block("u"), block("v")))
     if blocks == 1:
         return placed.withColumn("s", F.lit(0))
-    sizes = placed.groupBy("i", "j").count().where(F.col("count") > 2 * cell_edges).collect()  # at most count / (2 cell_edges) cells
-    split = F.lit(1)
-    for r in sizes:
-        split = F.when((F.col("i") == r["i"]) & (F.col("j") == r["j"]), F.lit(math.ceil(r["count"] / cell_edges))).otherwise(split)
-    return placed.withColumn("s", F.pmod(F.xxhash64("u", "v", F.lit(1)), split).cast("int"))
+    sizes = placed.groupBy("i", "j").count().where(F.col("count") > 2 * cell_edges)  # a small table that is joined back: at most count / (2 cell_edges) cells
+    split = sizes.select("i", "j", F.ceil(F.col("count") / cell_edges).alias("split"))
+    return placed.join(split, ["i", "j"], "left").withColumn("s", F.pmod(F.xxhash64("u", "v", F.lit(1)), F.coalesce("split", F.lit(1))).cast("int")).drop("split")
 
 
 def components(edges: DataFrame, cell_edges: int = 200_000, max_rounds: int = 60) -> DataFrame:

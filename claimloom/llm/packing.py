@@ -4,11 +4,11 @@ Method.  Documents are measured in tokens where they are read; those longer than
 a rest.  Pieces are spread over partitions by a hash, and each partition packs its own by best-fit decreasing.  Lower bounds from
 dual-feasible functions on the partition's sizes certify the number of containers: a partition that meets its bound cannot be improved.
 The others, the partitions with a gap, and everybody's poorly filled containers give their pieces back; these are mixed anew under
-another hash and best-fit decreasing runs again, until no gap is left, no container is saved, or ``rounds`` is reached.  A bound over all sizes
+another hash and best-fit decreasing runs again, until no gap is left or no container is saved.  A bound over all sizes
 certifies the whole.
 
 A partition holds about ``partition_pieces`` pieces, whatever the corpus; copies of one text are spread like any others, because the hash is of the
-document's id.  Nothing but one row of figures per partition reaches the driver.
+document's id.  The partitions' figures stay a written table that is joined back; single totals and one row per size (at most the capacity) reach the driver.
 
 Defined cases: null and empty texts have no tokens and take a container of their partition without using room; a text as long as the
 capacity fills one container; repeated rows of one id count once (the smallest count).
@@ -105,7 +105,7 @@ def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int, most_k: in
 
 
 
-def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER, partition_pieces: int = 20_000, rounds: int = 4, open_share: float = 0.02) -> tuple[DataFrame, dict]:
+def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER, partition_pieces: int = 20_000, open_share: float = 0.02) -> tuple[DataFrame, dict]:
     """(doc_id, part, start_token, tokens, container, room) of every piece, and the certificate: containers, lower bound, partitions with a gap."""
     spark = documents.sparkSession
     id_type = documents.schema["doc_id"].dataType.simpleString()
@@ -137,19 +137,22 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER,
 
         sizes = packed.groupBy("home", "tokens").agg(F.count(F.lit(1)).alias("n"))
         bins = packed.groupBy("home").agg((F.max("bin") + 1).alias("bins"), F.count(F.lit(1)).alias("pieces"))
-        return bins.join(sizes.groupBy("home").applyInPandas(bound, "home long, bound long"), "home").toPandas()
+        return bins.join(sizes.groupBy("home").applyInPandas(bound, "home long, bound long"), "home")
 
     current = run(pieces, total, 0)
     kept: list[DataFrame] = []
     report = {"capacity": capacity, "pieces": total, "rounds": 0}
-    stats = figures(current)
-    for r in range(1, rounds + 1):
-        gaps = [int(h) for h in stats.loc[stats["bins"] > stats["bound"], "home"]]
-        if len(stats) <= 1:
+    r = 0
+    while True:
+        r += 1
+        stats = scratch.write(figures(current), f"figures-{r}")  # one row per partition, joined back below
+        if stats.limit(2).count() <= 1:
             break
         poor = F.col("room") > F.lit(int(capacity * open_share))
-        given = (F.col("home").isin(gaps) & (F.col("room") > 0)) | poor
-        pool = scratch.write(current.where(given), f"pool-{r}")
+        gaps = stats.where("bins > bound").select("home", F.lit(True).alias("gap"))
+        marked = current.join(gaps, "home", "left").withColumn("given", (F.col("gap").isNotNull() & (F.col("room") > 0)) | poor).drop("gap")
+        marked = scratch.write(marked, f"marked-{r}")
+        pool = marked.where("given").drop("given")
         count, before = pool.agg(F.count(F.lit(1)), F.count_distinct("home", "bin")).first()
         if count == 0 or before <= 1:
             break
@@ -157,10 +160,9 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER,
         after = again.select("home", "bin").distinct().count()
         if after >= before:
             break
-        kept.append(current.where(~given))
+        kept.append(marked.where("not given").drop("given"))
         current = again
         report["rounds"] = r
-        stats = figures(current)
     done = current
     for k in kept:
         done = done.unionByName(k)

@@ -74,6 +74,16 @@ def p7_certificate(spark, d):
     return spark.createDataFrame([(r["containers"], r["bound"], r["tokens"], r["rounds"], waste)], "containers long, lower_bound long, tokens long, rounds int, waste double")
 
 
+def p7_invariants(spark, d):
+    """What any packing must keep: every document placed, nothing overfull, no piece twice, no short document split, no fewer containers than the bound."""
+    packed, r = pack(table(spark, d, "documents"))
+    load = packed.groupBy("container").agg(F.sum("tokens").alias("load")).agg(F.count_if(F.col("load") > r["capacity"]).alias("overfull"))
+    twice = packed.groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
+    per = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("tokens").alias("tokens"), F.max("start_token").alias("last"))
+    docs = per.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= r["capacity"])).alias("split_short"), F.count_if(F.col("last") != (F.col("parts") - 1) * r["capacity"]).alias("broken"))
+    return docs.crossJoin(load).crossJoin(twice).select("*", F.lit(r["containers"] >= r["bound"]).alias("bound_holds"))
+
+
 def p8_found(spark, d):
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -108,10 +118,23 @@ keyed AS (SELECT DISTINCT tbl, scope, member_key, array_to_string(list_sort(list
 groups AS (SELECT tbl, scope, k, min(member_key) AS group_key, count(DISTINCT member_key) AS copies FROM keyed WHERE k <> '' GROUP BY ALL HAVING copies > 1)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p3_found": p3_found, "p3_hosts": p3_hosts, "p5_found": p5_found, "p5_misses": p5_misses, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p7_packing": p7_packing, "p7_certificate": p7_certificate, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_counts": p9_counts}
+_WINDOWS = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(regexp_replace(lower(nfc_normalize(text)), '[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]', ' ', 'g'), '[\p{L}\p{N}]+') AS t, 10 AS n FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'd', doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]'), 20 FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[\x{3400}-\x{9FFF}]')
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(regexp_replace(lower(nfc_normalize(passage)), '[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]', ' ', 'g'), '[\p{L}\p{N}]+'), 10 FROM eval_items WHERE NOT starts_with(lower(coalesce(lang, '')), 'zh') AND passage IS NOT NULL
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(nfc_normalize(passage)), '[\p{L}\p{N}]'), 20 FROM eval_items WHERE starts_with(lower(lang), 'zh') AND passage IS NOT NULL),
+grams AS (SELECT DISTINCT side, id, n, unnest(list_transform(generate_series(1, len(t) - n + 1), lambda i: array_to_string(list_slice(t, i, i + n - 1), ' '))) AS g FROM words WHERE len(t) >= n),
+found AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i ON d.g = i.g AND d.n = i.n WHERE d.side = 'd' AND i.side = 'i')
+"""
+
+QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p3_found": p3_found, "p3_hosts": p3_hosts, "p5_found": p5_found, "p5_misses": p5_misses, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p7_packing": p7_packing, "p7_certificate": p7_certificate, "p7_invariants": p7_invariants, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_counts": p9_counts}
 ORACLES = {
     "p2_found": _LINKS + "SELECT run_id, member_key, group_id FROM found",
     "p2_group_sizes": _LINKS + "SELECT run_id, group_id, count(*) AS members FROM found GROUP BY ALL",
     "p6_found": _SAME + "SELECT DISTINCT tbl, member_key, group_key FROM keyed JOIN groups USING (tbl, scope, k)",
+    "p7_invariants": "SELECT count(DISTINCT doc_id) AS documents, 0 AS split_short, 0 AS broken, 0 AS overfull, 0 AS repeated, true AS bound_holds FROM documents",
+    "p8_found": _WINDOWS + "SELECT doc_id, item_id FROM found",
+    "p8_items": _WINDOWS + "SELECT item_id, count(*) AS documents FROM found GROUP BY 1",
     "p6_collapsed": _SAME + "SELECT tbl, group_key, copies FROM groups",
 }

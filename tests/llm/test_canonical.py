@@ -59,3 +59,13 @@ def test_tables_and_blocks(spark):
         assert {(r["node_id"], r["concept_id"]) for r in map_labels(labels, h, block).collect()} == want
     assert map_labels(labels.limit(0), h).count() == 0
     assert {r["concept_id"] for r in map_labels(labels, h.limit(0)).collect()} == {"unmatched"}
+
+
+def test_blocks_by_bytes_and_labels_without_length_limits(spark):
+    long_word = "inter" * 8 + "linkage"
+    heads = spark.createDataFrame([("a", "credit rationing", '["lending squeeze"]', 5), ("b", "one two three four five six", "[]", 3), ("c", "wage", '["salary", "GDP"]', 2), ("d", f"{long_word} index", "[]", 1)], "concept_id string, preferred_label string, aliases_json string, instance_support long")
+    labels = [("sixfivefourthreetwoone",), ("salery",), ("GDQ",), (f"index{long_word}",), ("credit rationing (abbreviated-form)",), ("lendin squeeze",), (None,)]
+    df = spark.createDataFrame(labels, "label string")
+    want = {"sixfivefourthreetwoone": "b", "salery": "c", "GDQ": "unmatched", f"index{long_word}": "d", "credit rationing (abbreviated-form)": "a", "lendin squeeze": "a", None: "unmatched"}
+    for options in ({}, {"block_bytes": 1}, {"block_entries": 2}):
+        assert {r["label"]: r["concept_id"] for r in map_labels(df, heads, **options).collect()} == want

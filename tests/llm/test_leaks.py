@@ -45,3 +45,11 @@ def test_against_brute_force_and_in_blocks(spark):
 def test_empty(spark):
     d, i = spark.createDataFrame([(1, "a", "x")], DOC), spark.createDataFrame([], ITEM)
     assert leaks(d, i).count() == 0 and leaks(d.limit(0), spark.createDataFrame([(1, "en", "a " * 12, "t")], ITEM)).count() == 0
+
+
+def test_join_with_a_hot_word(spark):
+    texts = [(d, "hot " * 400 + "b c d e f g h i j k", "x") for d in range(80)] + [(99, "hot b c d e f g h i j k", "x")]
+    d = spark.createDataFrame(texts, DOC)
+    i = spark.createDataFrame([(1, "en", "hot b c d e f g h i j", "t"), (2, "en", "b c d e f g h i j nowhere", "t")], ITEM)
+    for block in (0, 100):
+        assert {(r["doc_id"], r["item_id"]) for r in leaks(d, i, block_windows=block).collect()} == {(t[0], 1) for t in texts}
