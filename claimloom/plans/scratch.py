@@ -36,6 +36,16 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the written tables below a folder; none where it does not exist.  Tables that were never finished do not count."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    done = lambda s: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and done(s)]
+
+
 class Scratch:
     """A folder of written tables that belongs to one operator run."""
 

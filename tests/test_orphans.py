@@ -95,3 +95,36 @@ def test_hot_parent(spark):
     t.apply(refs, spark.createDataFrame([("hot", T0, True)], PARENTS))
     got = {r["reason"]: r["count"] for r in t.orphans().groupBy("reason").count().collect()}
     assert got == {"deleted": 20_000, "missing": 40_000}
+
+
+def test_state_outlives_the_tracker_and_is_compacted(spark, tmp_path):
+    rng = random.Random(5)
+    keys = [f"k{i}" for i in range(30)]
+    refs, parents, state = [], [], str(tmp_path / "state")
+    for e in range(7):
+        r = [("t", "f", f"c{rng.randint(0, 9)}", f"i{e}-{rng.randint(0, 9)}", rng.choice([*keys, None]), T0 + timedelta(days=rng.randint(0, 20))) for _ in range(15)]
+        p = [(rng.choice(keys), T0 + timedelta(days=rng.randint(0, 20)), rng.random() < 0.3) for _ in range(6)]
+        refs, parents = refs + r, parents + p
+        t = OrphanTracker(spark, state, buckets=4, compact_every=3)  # a new tracker each time, as another process would make
+        assert t.epoch == e
+        t.apply(spark.createDataFrame(r, REFS), spark.createDataFrame(p, PARENTS))
+        got = {tuple(x[:4]): x["reason"] for x in OrphanTracker(spark, state).orphans().select("ref_table", "ref_field", "custom_id", "item_id", "reason").collect()}
+        assert got == expected(refs, parents)
+    t = OrphanTracker(spark, state)
+    assert t.buckets == 4 and t.base == 5 and len(t._runs("status")) == 2 and t.parent_index().count() == len({p[0] for p in parents})
+    assert sum(r["orphans"] for r in t.snapshots().where("epoch = 6").collect()) == len(expected(refs, parents)) and t.snapshots().select("epoch").distinct().count() == 7
+
+
+def test_an_epoch_without_its_mark_is_ignored(spark, tmp_path):
+    state = str(tmp_path / "state")
+    ref = lambda i: spark.createDataFrame([("t", "f", "c", i, "k", T0)], REFS)
+    none = spark.createDataFrame([], PARENTS)
+    OrphanTracker(spark, state).apply(ref("a"), none)
+    OrphanTracker(spark, state).apply(ref("b"), none)
+    import shutil
+
+    shutil.rmtree(f"{state}/committed/epoch-1")  # the driver was lost before it committed
+    t = OrphanTracker(spark, state)
+    assert t.epoch == 1 and [r["item_id"] for r in t.orphans().collect()] == ["a"]
+    t.apply(ref("c"), spark.createDataFrame([("k", T0, False)], PARENTS))
+    assert OrphanTracker(spark, state).orphans().count() == 0 and OrphanTracker(spark, state).references().count() == 2
