@@ -13,6 +13,7 @@ from ..functions import labels as L
 from ..functions.scale import z_score
 from ..plans.order import running_before
 from ..plans.skew import salted_join, topn_per_key
+from .panels import evidence_weight
 
 
 def label_counts(instances: DataFrame) -> DataFrame:
@@ -215,7 +216,8 @@ def concept_edges(edges: DataFrame, mappings: DataFrame) -> DataFrame:
     """Claims lifted from paper-local nodes to concepts (self-loops dropped); each record counts by its earliest row."""
     first = lambda df, key, at: df.groupBy(*key).agg(F.min(F.struct(at, *[c for c in df.columns if c not in (*key, at)])).alias("f")).select(*key, "f.*")
     m = first(mappings.select("custom_id", "node_id", "ingested_at", "concept_id"), ["custom_id", "node_id"], "ingested_at").where("concept_id <> ''")
-    e = first(edges.select("custom_id", "edge_id", "ingested_at", "source_node_id", "target_node_id", "relationship_type", "sign", "uses_data", "causal_presentation", "statistical_significance", "evidence_method"), ["custom_id", "edge_id"], "ingested_at").drop("ingested_at")
+    more = [c for c in ("claim_status", "explicitness", "tentativeness") if c in edges.columns]
+    e = first(edges.select("custom_id", "edge_id", "ingested_at", "source_node_id", "target_node_id", "relationship_type", "sign", "uses_data", "causal_presentation", "statistical_significance", "evidence_method", *more), ["custom_id", "edge_id"], "ingested_at").drop("ingested_at")
     end = lambda c, n: m.select("custom_id", F.col("node_id").alias(c), F.col("concept_id").alias(n))
     return e.join(end("source_node_id", "src"), ["custom_id", "source_node_id"]).join(end("target_node_id", "dst"), ["custom_id", "target_node_id"]).where("src <> dst")
 
@@ -234,7 +236,5 @@ def pair_signs(lifted: DataFrame) -> DataFrame:
 
 
 def concept_weights(lifted: DataFrame) -> DataFrame:
-    """Edge weight from evidence: claims, and bonuses for data, causal wording, significance and a known method."""
-    any_ = lambda c: F.max(c.cast("int"))
-    bonus = 0.25 * any_(F.coalesce(F.col("uses_data") == 1, F.lit(False))) + 0.25 * any_(F.coalesce(F.col("causal_presentation") == "explicit_causal", F.lit(False))) + 0.10 * any_(F.coalesce(F.col("statistical_significance") == "significant", F.lit(False))) + 0.10 * any_(F.coalesce(~F.col("evidence_method").isin("NA", "other"), F.lit(False)))
-    return lifted.groupBy("src", "dst").agg(F.round(F.count(F.lit(1)) + bonus, 6).alias("weight"), F.count(F.lit(1)).alias("n"), F.count_distinct("custom_id").alias("papers"))
+    """Evidence weight, claims and papers per directed concept pair."""
+    return lifted.groupBy("src", "dst").agg(evidence_weight().alias("weight"), F.count(F.lit(1)).alias("n"), F.count_distinct("custom_id").alias("papers"))

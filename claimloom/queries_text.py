@@ -261,12 +261,13 @@ def _sig_rows(cols, t):
     return _SIG_ROWS.format(cols=cols, t=t, sigs=", ".join(_sigs("preferred_label").values()))
 
 
+_EVIDENCE = "round(CAST(count(*) AS DOUBLE) + 0.25 * max(CAST(coalesce(uses_data >= 1, false) AS INT)) + 0.25 * max(CAST(coalesce(causal_presentation IN ('explicit_causal', 'implicit_causal'), false) AS INT)) + 0.10 * max(CAST(coalesce(statistical_significance = 'significant', false) AS INT)) + 0.10 * max(CAST(coalesce(evidence_method NOT IN ('do_not_know', 'other'), true) AS INT)), 6)"
 _LIFT = """first_map AS (SELECT custom_id, node_id, (min({'t': ingested_at, 'c': concept_id})).c AS concept_id FROM instance_mappings_soft GROUP BY ALL),
-first_edge AS (SELECT custom_id, edge_id, min({'t': ingested_at, 'a': source_node_id, 'b': target_node_id, 'r': relationship_type, 's': sign, 'u': uses_data, 'c': causal_presentation, 'g': statistical_significance, 'm': evidence_method}) AS f FROM edges GROUP BY ALL),
-lifted AS (SELECT e.custom_id, e.edge_id, s.concept_id AS src, t.concept_id AS dst, f.r AS relationship_type, f.s AS sign, f.u AS uses_data, f.c AS causal_presentation, f.g AS statistical_significance, f.m AS evidence_method
+first_edge AS (SELECT custom_id, edge_id, min({'t': ingested_at, 'a': source_node_id, 'b': target_node_id, 'r': relationship_type, 's': sign, 'u': uses_data, 'c': causal_presentation, 'g': statistical_significance, 'm': evidence_method, 'cs': claim_status, 'ex': explicitness, 'te': tentativeness}) AS f FROM edges GROUP BY ALL),
+lifted AS (SELECT e.custom_id, e.edge_id, s.concept_id AS src, t.concept_id AS dst, f.r AS relationship_type, f.s AS sign, f.u AS uses_data, f.c AS causal_presentation, f.g AS statistical_significance, f.m AS evidence_method, f.cs AS claim_status, f.ex AS explicitness, f.te AS tentativeness
   FROM first_edge e JOIN first_map s ON s.custom_id = e.custom_id AND s.node_id = f.a JOIN first_map t ON t.custom_id = e.custom_id AND t.node_id = f.b WHERE s.concept_id <> '' AND t.concept_id <> '' AND s.concept_id <> t.concept_id),
-cw AS (SELECT src, dst, round(CAST(count(*) AS DOUBLE) + 0.25 * max(CAST(coalesce(uses_data = 1, false) AS INT)) + 0.25 * max(CAST(coalesce(causal_presentation = 'explicit_causal', false) AS INT)) + 0.10 * max(CAST(coalesce(statistical_significance = 'significant', false) AS INT)) + 0.10 * max(CAST(coalesce(evidence_method NOT IN ('NA', 'other'), false) AS INT)), 6) AS weight, count(*) AS n, count(DISTINCT custom_id) AS papers FROM lifted GROUP BY ALL),
-"""
+cw AS (SELECT src, dst, {_EVIDENCE} AS weight, count(*) AS n, count(DISTINCT custom_id) AS papers FROM lifted GROUP BY ALL),
+""".replace("{_EVIDENCE}", _EVIDENCE)
 _W = "WITH "
 _Z = "z AS (SELECT 1)\n"
 _NAMES = "list_concat([coalesce(preferred_label, '')], list_filter(coalesce(from_json(aliases_json, '[\"VARCHAR\"]'), []), lambda x: x IS NOT NULL AND trim(x) <> ''))"

@@ -109,12 +109,13 @@ class CsvDirectory(Adapter):
         self.path, self.encoding = path, encoding
 
     def _read(self, spark, name):
-        from py4j.protocol import Py4JJavaError
         from pyspark.errors import AnalysisException
 
         try:
             return spark.read.option("header", True).option("encoding", self.encoding).csv(f"{self.path}/{name}.csv")
-        except (AnalysisException, Py4JJavaError):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # a file that is there but cannot be read is no absent file
+                raise
             return None
 
     def load(self, spark: SparkSession) -> Bundle:

@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch
+
 
 def write_corpus(corpus: DataFrame, path: str) -> None:
-    """The corpus partitioned by year (readers prune by cutoff), clustered so that every year has few files."""
-    corpus.repartition("year").sortWithinPartitions("src_code", "dst_code").write.mode("overwrite").partitionBy("year").parquet(path)
+    """The corpus partitioned by year (readers prune by cutoff), clustered so that every year has few files; a year that holds very many rows is split over tasks."""
+    corpus.hint("rebalance", "year").sortWithinPartitions("src_code", "dst_code").write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def write_bundle(corpus: DataFrame, sidecars: dict[str, DataFrame], path: str) -> DataFrame:
+    """The corpus, its sidecar tables (papers, nodes, ...) and a log of the rows of each; returns the log."""
+    write_corpus(corpus, f"{path}/corpus")
+    write_store(sidecars, path)
+    counts = None
+    for name in ("corpus", *sidecars):
+        n = corpus.sparkSession.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+        counts = n if counts is None else counts.unionByName(n)
+    counts.coalesce(1).write.mode("overwrite").json(f"{path}/ingest_log")
+    return corpus.sparkSession.read.schema("name string, rows long").json(f"{path}/ingest_log")
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines, one record a line, nulls kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_store(tables: dict[str, DataFrame], path: str) -> None:
@@ -27,7 +46,7 @@ def write_shards(df: DataFrame, key: str, path: str, per_shard: int = 256) -> Da
 
 def write_buckets(df: DataFrame, bucket: str, path: str, order: list[str] | None = None) -> DataFrame:
     """One folder of gzip JSON lines per bucket, sorted inside, and a manifest of counts."""
-    out = df.repartition(bucket)
+    out = df.hint("rebalance", bucket)
     if order:
         out = out.sortWithinPartitions(bucket, *order)
     out.write.mode("overwrite").partitionBy(bucket).option("compression", "gzip").json(path)
@@ -42,14 +61,23 @@ def digest(df: DataFrame) -> str:
 
 
 def append_new(spark: SparkSession, df: DataFrame, path: str, keys: list[str]) -> int:
-    """Append only rows whose key is not stored yet; returns how many (resumable runs)."""
+    """Append only rows whose key is not stored yet, one row per key (the smallest); returns how many (resumable runs).
+
+    The new rows are computed once, into a table of their own, and counted there.  A null key is a key like any other.
+    """
     from pyspark.errors import AnalysisException
 
+    rest = [c for c in df.columns if c not in keys]
+    new = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else df.distinct()
     try:
-        done = spark.read.parquet(path).select(*keys).distinct()
-        new = df.join(done, keys, "left_anti")
-    except AnalysisException:
-        new = df
+        done = spark.read.parquet(path).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        new = new.join(done, same, "left_anti")
+    new = Scratch(spark, "append").write(new.select(*df.columns), "new")
     n = new.count()
     if n:
         new.write.mode("append").parquet(path)

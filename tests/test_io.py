@@ -52,6 +52,13 @@ def test_sinks(spark, tmp_path):
     assert K.write_buckets(df, "year", str(tmp_path / "buckets"), ["id"]).count() == 3
     assert K.digest(df) == K.digest(df.orderBy(F.rand(3))) != K.digest(df.limit(29))
     assert K.append_new(spark, df, str(tmp_path / "log"), ["id"]) == 30 and K.append_new(spark, df, str(tmp_path / "log"), ["id"]) == 0
+    more = spark.createDataFrame([(100, "b", 2000), (100, "a", 2001), (None, "x", 2000), (None, "x", 2000)], df.schema)
+    assert K.append_new(spark, more, str(tmp_path / "log"), ["id"]) == 2 and K.append_new(spark, more, str(tmp_path / "log"), ["id"]) == 0
+    corpus = df.select(F.col("k").alias("src_code"), F.col("k").alias("dst_code"), "year")
+    log = K.write_bundle(corpus, {"papers": df}, str(tmp_path / "bundle"))
+    assert {r["name"]: r["rows"] for r in log.collect()} == {"corpus": 30, "papers": 30}
+    K.write_jsonl(more, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 4
 
 
 def test_first_delivered_and_combine(spark):
