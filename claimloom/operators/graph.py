@@ -60,7 +60,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for r in range(1, max_rounds + 1):
         near = salted_join(both, label.select(F.col("node").alias("v"), "component"), "v", "inner", hot=hubs).select(F.col("u").alias("node"), "component")
         low = near.unionByName(label.select("node", "component")).groupBy("node").agg(F.min("component").alias("component"))
-        jump = low.join(low.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"))
+        giant = hot_keys(label, "component")  # a component that holds most nodes is one key of this join: its rows are salted
+        jump = salted_join(low, low.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left", hot=giant).select("node", F.least("component", F.coalesce("up", "component")).alias("component"))
         new = scratch.write(jump, f"label-{r}")
         changed = new.join(label.select("node", F.col("component").alias("old")), "node").where("component <> old").limit(1).count()
         label = new

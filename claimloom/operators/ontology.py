@@ -92,6 +92,22 @@ def token_shortlist(tail: DataFrame, heads: DataFrame, most_df: int = 500, k: in
     return topn_per_key(rows.select("normalized_label", "concept_id", "shared", "jaccard"), ["normalized_label"], [F.desc("jaccard"), F.asc("concept_id")], k, "rank")
 
 
+#: Cells of one matrix of similarities: 32 MB of doubles.
+MATRIX_CELLS = 4_000_000
+
+
+def _top(sims: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the ``n`` largest values of each row, ties at the border by the smaller id."""
+    by_id = np.argsort(ids, kind="stable")  # the earlier column of equal values is that of the smaller id
+    s = sims[:, by_id]
+    least = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+    above = s > least
+    room = n - above.sum(axis=1, keepdims=True)
+    tied = s == least
+    keep = above | (tied & (np.cumsum(tied, axis=1) <= room))
+    return by_id[np.nonzero(keep)[1].reshape(len(s), n)]
+
+
 def vector_neighbors(queries: DataFrame, base: DataFrame, k: int = 3, block: int = 20_000) -> DataFrame:
     """Exact k nearest by cosine: ``queries`` (vec_id, embedding) is a stated query set, broadcast in blocks of at most ``block`` vectors
     against all rows of ``base``; each Arrow batch is one matrix product, each batch keeps its own top k, and a rank per query ends it."""
@@ -108,12 +124,17 @@ def vector_neighbors(queries: DataFrame, base: DataFrame, k: int = 3, block: int
                 if not len(b):
                     continue
                 m = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-                sims = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).T
-                sims[ids[:, None] == b["vec_id"].to_numpy()[None, :]] = -2
-                n = min(k, sims.shape[1])
-                top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-                rows_, cols = np.repeat(np.arange(len(ids)), n), top.ravel()
-                yield pd.DataFrame({"vec_id": ids[rows_], "neighbor_id": b["vec_id"].to_numpy()[cols], "cosine": sims[rows_, cols].round(6)}).query("cosine > -2")
+                m, own = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).T, b["vec_id"].to_numpy()
+                n = min(k, len(b))
+                step = max(1, MATRIX_CELLS // len(b))
+                for at in range(0, len(ids), step):  # a product of bounded size, whatever the block and the batch
+                    some = ids[at : at + step]
+                    sims = q[at : at + step] @ m
+                    sims[some[:, None] == own[None, :]] = -2
+                    sims = sims.round(6)
+                    order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :n] if len(b) <= 4 * n else _top(sims, own, n)
+                    rows_, cols = np.repeat(np.arange(len(some)), n), order.ravel()
+                    yield pd.DataFrame({"vec_id": some[rows_], "neighbor_id": own[cols], "cosine": sims[rows_, cols]}).query("cosine > -2")
 
         return base.where("embedding is not null").select("vec_id", "embedding").mapInPandas(run, "vec_id long, neighbor_id long, cosine double")
 

@@ -27,3 +27,13 @@ def test_true_duplicates_are_blocked_and_the_rest_scored(spark):
     assert got["c6", "c7"]["context_overlap"] == 1.0 and got["d1", "d2"]["alias_overlap"] == 1.0
     ranked = spark.createDataFrame([(u, v, 1.0) for u, v in WANT], "u string, v string, score double")
     assert {(r["u"], r["v"]) for r in O.family_ranking(ranked, O.family_scores(pairs, O.concept_profiles(heads, near, ctx, ctx), reviewed)).collect()} == {k for k, r in WANT.items() if not r}
+
+
+def test_top_of_a_similarity_matrix_breaks_ties_by_id():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sims, ids = rng.integers(0, 4, (30, 50)) / 4, rng.permutation(50)
+    got = O._top(sims, ids, 5)
+    for row, cols in zip(sims, got, strict=True):
+        assert sorted(ids[cols]) == sorted(ids[i] for i in sorted(range(50), key=lambda i: (-row[i], ids[i]))[:5])
