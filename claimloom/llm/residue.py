@@ -186,12 +186,11 @@ def fit(x: np.ndarray, scale: np.ndarray, y: np.ndarray, balanced: bool = True,
     weight_of = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) if balanced and len(y) else np.ones(len(y))
     bias, bias2 = 0.0, 1e-6
     order = np.random.default_rng(seed)
-    every = np.concatenate([np.repeat(scale, x.shape[1] - 3, axis=1), np.ones((len(x), 3), dtype=np.float32)], axis=1)
     for _ in range(epochs if len(y) else 0):
         for part in np.array_split(order.permutation(len(y)), max(1, len(y) // 256)):
             z = margins(x[part], scale[part], w, bias)
             err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight_of[part] / len(part)).astype(np.float32)
-            grad = np.bincount(x[part].ravel(), (err[:, None] * every[part]).ravel(), minlength=len(w)).astype(np.float32) + l2 * w
+            grad = np.bincount(x[part].ravel(), (err[:, None] * np.concatenate([np.repeat(scale[part], x.shape[1] - 3, axis=1), np.ones((len(part), 3), dtype=np.float32)], axis=1)).ravel(), minlength=len(w)).astype(np.float32) + l2 * w
             g2 += grad**2
             w -= rate * grad / np.sqrt(g2)
             w[-1] = 0
