@@ -47,9 +47,10 @@ def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.85, every:
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, component) of an undirected edge table (u, v): smallest label with pointer jumping, so rounds follow the logarithm of the longest chain.
+    """(node, component) of an undirected edge table (u, v): smallest label with hooking and pointer jumping, so rounds follow the logarithm of the longest chain.
 
-    Each round is a written table.  Used for graphs of concepts; the matching of records has its own operator.
+    A smaller label that a node hears of goes to the node that gave its label, too; else it walks through a component that has settled on another label
+    one edge a round.  Each round is a written table.  Used for graphs of concepts; the matching of records has its own operator.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
@@ -58,12 +59,14 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     hubs = hot_keys(both, "v")
     label = scratch.write(both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")), "label-0")
     for r in range(1, max_rounds + 1):
-        near = salted_join(both, label.select(F.col("node").alias("v"), "component"), "v", "inner", hot=hubs).select(F.col("u").alias("node"), "component")
-        low = near.unionByName(label.select("node", "component")).groupBy("node").agg(F.min("component").alias("component"))
+        near = salted_join(both, label.select(F.col("node").alias("v"), "component"), "v", "inner", hot=hubs).select(F.col("u").alias("node"), "component", F.lit(None).cast(both.schema["u"].dataType).alias("old"))
+        heard = near.unionByName(label.select("node", "component", F.col("component").alias("old"))).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
+        low = heard.select(F.explode(F.array("node", "old")).alias("node"), "component").groupBy("node").agg(F.min("component").alias("component"))
         giant = hot_keys(label, "component")  # a component that holds most nodes is one key of this join: its rows are salted
         jump = salted_join(low, low.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left", hot=giant).select("node", F.least("component", F.coalesce("up", "component")).alias("component"))
         new = scratch.write(jump, f"label-{r}")
         changed = new.join(label.select("node", F.col("component").alias("old")), "node").where("component <> old").limit(1).count()
+        scratch.drop(f"label-{r - 1}")
         label = new
         if not changed:
             return label

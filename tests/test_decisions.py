@@ -1,5 +1,7 @@
 """Clusters under constraints, label maps, searches and queues."""
 
+import random
+
 from claimloom.operators import decisions as D
 
 
@@ -14,6 +16,15 @@ def test_constrained_clusters(spark):
     assert D.constrained_clusters(e, e, isolated, e).count() == 0
 
 
+def test_clusters_of_a_long_chain_in_any_order_settle(spark):
+    names = [f"n{i:04d}" for i in range(1000)]
+    random.Random(1).shuffle(names)
+    merged = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "u string, v string")
+    e = merged.limit(0)
+    got = D.constrained_clusters(e, e, e.select(e.u.alias("label")), merged)
+    assert [tuple(r) for r in got.groupBy("component").count().collect()] == [("n0000", 1000)]
+
+
 def test_label_map_priority(spark):
     labels = spark.createDataFrame([("a",), ("b",), ("c",), ("a",), (None,)], "normalized_label string")
     m = lambda rows: spark.createDataFrame(rows, "normalized_label string, concept_id string")
