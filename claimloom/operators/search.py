@@ -44,8 +44,8 @@ def title_matches(left: DataFrame, right: DataFrame, least: float = 0.5) -> Data
 
     cand = prefixes(a, "a").join(prefixes(b, "b"), "w").select("a", "b").distinct()
     scored = cand.join(a, "a").join(b, "b").select("a", "b", F.round(L.jaccard(F.col("a_t"), F.col("b_t")), 6).alias("overlap")).where(F.col("overlap") >= least)
-    best = F.max(F.struct("overlap", (-F.col("b")).alias("nb")))
-    return scored.groupBy("a").agg(best.alias("x")).select(F.col("a").alias("left_id"), (-F.col("x.nb")).alias("right_id"), F.col("x.overlap").alias("overlap"))
+    best = F.min(F.struct((-F.col("overlap")).alias("less"), "b"))  # ids are of any type: of equal overlaps the first id
+    return scored.groupBy("a").agg(best.alias("x")).select(F.col("a").alias("left_id"), F.col("x.b").alias("right_id"), (-F.col("x.less")).alias("overlap"))
 
 
 def question_filter(df: DataFrame, text: str, columns: list[str], cross_only: bool = False) -> DataFrame:

@@ -53,6 +53,12 @@ def test_title_matches(spark):
     assert [tuple(r) for r in S.title_matches(a, b).collect()] == [(1, 7, 0.8)]
 
 
+def test_title_matches_of_named_ids(spark):
+    a = spark.createDataFrame([("L1", "credit rationing in banks"), ("L2", "nothing alike")], "id string, title string")
+    b = spark.createDataFrame([("H9", "credit rationing banks"), ("H10", "in credit rationing banks"), ("H2", "Banks in credit rationing")], "id string, title string")
+    assert [tuple(r) for r in S.title_matches(a, b).collect()] == [("L1", "H10", 1.0)]
+
+
 def test_pools_and_pairs_on_empty(spark):
     e = spark.createDataFrame([], "normalized_label string, preferred_label string, instances long")
     assert O.signature_pairs(e).count() == 0 and O.head_pool(e.select("normalized_label", "instances"), 1, 0.5).count() == 0
