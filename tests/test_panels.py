@@ -18,6 +18,19 @@ def test_queries_equal_their_sql(spark, name):
     assert differences(spark, duck(D), Q.QUERIES[name], Q.ORACLES[name], D) == ""
 
 
+def test_cluster_support_of_a_long_chain_equals_its_sql(spark, tmp_path):
+    names = [f"label {i:03d}" for i in range(600)]
+    random.Random(2).shuffle(names)
+    tables = {
+        "tail_to_head_candidates": ([("label 000", "H1", "accepted_auto"), ("apart", "H2", "accepted_auto"), ("apart", "H1", "rejected")], "normalized_label string, candidate_concept_id string, decision_status string"),
+        "manual_overrides": ([("merge_pair", a, b, None) for a, b in zip(names, names[1:], strict=False)], "override_kind string, left_normalized_label string, right_normalized_label string, label string"),
+        "head_selection_metrics": ([(x, i, i / 7) for i, x in enumerate([*names, "apart", None])], "normalized_label string, instance_count long, head_rank_score double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert differences(spark, duck(str(tmp_path)), Q.QUERIES["cluster_support"], Q.ORACLES["cluster_support"], str(tmp_path)) == ""
+
+
 def test_capped_selection_is_greedy_and_fills(spark):
     rng = random.Random(4)
     rows = [(rng.choice("ABCDEF"), rng.choice("GHIJKL"), f"f{rng.randint(0, 5)}", i) for i in range(1, 120)]
